@@ -122,7 +122,6 @@ def filtered(df: DataFrame, keys=KEYS, col: str = "close", q: str = "q", r: str
     df = with_blocks(df, b)
     part = [*keys, "blk", "more"]
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in [*keys, "blk"])
-    names = [*[k for k in df.columns if k in keys], "blk"]
     names = [f.name for f in df.schema if f.name in [*keys, "blk"]]
 
     def reduce_block(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +140,8 @@ def filtered(df: DataFrame, keys=KEYS, col: str = "close", q: str = "q", r: str
         return pd.DataFrame([row | {"n": n}])
 
     sum_schema = f"{key_schema}, n bigint, " + ", ".join(f"{c} double" for c in _ELEM + _STATE)
-    slim = df.select(*names, "more", F.col("n").cast("bigint").alias("n"), F.col("i").cast("bigint").alias("i"), col, q, r)
+    df = df.withColumn("i", F.col("i").cast("bigint"))
+    slim = df.select(*names, "more", F.col("n").cast("bigint").alias("n"), "i", col, q, r)
     sums = slim.where("more").groupBy(*part).applyInPandas(
         lambda key, pdf: reduce_block(key, pdf)[[*names, "n", *_ELEM, *_STATE]], sum_schema
     )
@@ -179,14 +179,14 @@ def filtered(df: DataFrame, keys=KEYS, col: str = "close", q: str = "q", r: str
     return df.join(est, [*keys, "blk", "i"]).withColumn("kalman_residual", F.col(col) - F.col("kalman_price"))
 
 
-def denoise(series: DataFrame, preset: str = "adaptive", keys=KEYS, q: float | None = None, r: float | None = None, backfill: bool = False, block: int | None = None) -> DataFrame:
-    """Filter every series with one preset, or with its own ``q``/``r``."""
+def denoise(series: DataFrame, preset: str = "adaptive", keys=KEYS, q: float | str | None = None, r: float | str | None = None, backfill: bool = False, block: int | None = None) -> DataFrame:
+    """Filter every series with a preset; ``q``/``r`` replace its noises by numbers or by columns of the frame."""
     pq, pr, adaptive = PRESETS[preset]
-    base_q, base_r = F.lit(float(q or pq)), F.lit(float(r or pr))
+    base_q, base_r = (F.col(x) if isinstance(x, str) else F.lit(float(x)) for x in (q or pq, r or pr))
     if adaptive:
         d = noise_scale(series, keys=keys, backfill=backfill, block=block)
         d = d.withColumn("_scale", scale_of(F.col("atr"), base_r))
     else:
         d = with_blocks(series, block).withColumn("_scale", F.lit(1.0))
-    d = d.withColumn("q", base_q * F.col("_scale")).withColumn("r", base_r * F.col("_scale"))
-    return filtered(d, keys, block=block).drop("_scale", "q", "r")
+    d = d.withColumns({"_q": base_q * F.col("_scale"), "_r": base_r * F.col("_scale")})
+    return filtered(d, keys, q="_q", r="_r", block=block).drop("_scale", "_q", "_r")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidebars.operators.blocks import block_scan
 from tidebars.operators.features import ratio
 from tidebars.operators.signals import START
-from tidebars.session import KEYS
+from tidebars.session import KEYS, cut
 
 CAPITAL = 100_000.0
 CONFIG_COLS = ["config_id", "fast", "slow", "leverage", "stop", "buy_bps", "sell_bps", "weight"]
@@ -66,7 +66,8 @@ def stop_exits(sig: DataFrame, keys, block: int | None = None) -> DataFrame:
 def with_stops(sig: DataFrame, keys, block: int | None = None) -> DataFrame:
     """Replace ``sig``/``prev_sig`` by the positions really held once trailing stops are applied."""
     keys = list(keys)
-    ex = stop_exits(sig, keys, block)
+    sig = cut(sig)  # read several times below; recomputing the windows each time would cost more than one write
+    ex = cut(stop_exits(sig, keys, block))
     marks = ex.select(*keys, "i", F.lit(1).alias("_now"), F.lit(0).alias("_then")).unionByName(
         ex.select(*keys, (F.col("i") + 1).alias("i"), F.lit(0).alias("_now"), F.lit(1).alias("_then"))
     ).groupBy(*keys, "i").agg(F.max("_now").alias("_now"), F.max("_then").alias("_then"))
@@ -195,8 +196,8 @@ def trade_states(w: DataFrame, keys, capital: float = CAPITAL, lot: int = 0) ->
 def joint(w: DataFrame, keys, capital: float = CAPITAL, start: int = START, lot: int = 0, block: int | None = None) -> DataFrame:
     """Equity ``v`` per bar of shared-cash portfolios; 0 from the first bar whose value before trading is not positive."""
     keys = list(keys)
-    w = w.where(F.col("i") >= start).withColumn("i", F.col("i").cast("bigint"))
-    d = w.join(trade_states(w, keys, capital, lot), [*keys, "i"], "left")
+    w = cut(w.where(F.col("i") >= start).withColumn("i", F.col("i").cast("bigint")))
+    d = w.join(cut(trade_states(w, keys, capital, lot)), [*keys, "i"], "left")
     d = block_scan(d, {"_st": ("last", F.when(F.col("cash").isNotNull(), F.struct("cash", "shares")))}, keys, block)
     held = F.aggregate(
         F.arrays_zip(F.col("_st.shares").alias("sh"), F.transform("legs", lambda x: x["close"]).alias("px")),

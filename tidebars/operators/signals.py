@@ -31,9 +31,10 @@ class Config:
     buy_bps: float = 5.0
     sell_bps: float = 15.0
     weight: float = 1.0
+    only_leg: int = 0  # 0: every leg of a portfolio
 
 
-_TYPES = {"config_id": "string", "fast": "int", "slow": "int"}
+_TYPES = {"config_id": "string", "fast": "int", "slow": "int", "only_leg": "int"}
 
 
 def config_array(configs: Sequence[Config]) -> Column:
@@ -45,7 +46,10 @@ def config_array(configs: Sequence[Config]) -> Column:
 
 
 def with_configs(df: DataFrame, configs: Sequence[Config]) -> DataFrame:
-    return df.withColumn("_cfg", F.explode(config_array(configs))).select("*", "_cfg.*").drop("_cfg")
+    d = df.withColumn("_cfg", F.explode(config_array(configs))).select("*", "_cfg.*").drop("_cfg")
+    if "leg" in df.columns:
+        d = d.where((F.col("only_leg") == 0) | (F.col("only_leg") == F.col("leg")))
+    return d.drop("only_leg")
 
 
 # The ten-pair sweep and the fee table (buy, sell bps; a quarter and three quarters of the round trip).
