@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["windows", "ledgers"]
+MODULES = ["windows", "ledgers", "aggregates", "trading"]
 
 
 def catalog() -> dict:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidebars.functions.hashing import normal
 from tidebars.operators import ledger as lg
 from tidebars.operators import regime as rg
+from tidebars.operators import routing as rt
 from tidebars.operators import signals as sg
 from tidebars.operators.alignment import LEG_KEYS, aligned, portfolios
 from tidebars.operators.denoise import denoise
@@ -284,36 +284,12 @@ def pair_vol(spark, sf):
 @Q.add("f10_inverse_vol_weights", o.aligned(_PAIR_VOL + f""" SELECT symbol, ds AS d, {o.rnd('CASE WHEN lo > 0 THEN (1/vol)/tot ELSE 0.5 END', 8)} AS weight
   FROM (SELECT *, min(vol) OVER (PARTITION BY d) AS lo, sum(1/nullif(vol, 0)) OVER (PARTITION BY d) AS tot FROM raw WHERE i > 252)"""))
 def inverse_vol(spark, sf):
-    return with_inverse_vol(pair_vol(spark, sf)).select("symbol", day().alias("d"), r("vol_weight", 8).alias("weight"))
-
-
-def with_inverse_vol(d):
-    w = Window.partitionBy("portfolio", "ts")  # as many rows as the portfolio has legs
-    inv = 1 / F.nullif(F.col("vol"), F.lit(0.0))
-    return d.withColumn("vol_weight", F.when(F.min("vol").over(w) > 0, inv / F.sum(inv).over(w)).otherwise(1 / F.count("*").over(w)))
+    return pair_vol(spark, sf).select("symbol", day().alias("d"), r(rt.inverse_vol_weight(), 8).alias("weight"))
 
 
 @Q.add("f11_vol_target_leverage", o.aligned(_PAIR_VOL + f" SELECT symbol, ds AS d, {o.rnd("CASE WHEN vol > 0 THEN least(5.0, greatest(1.0, 5*CASE symbol WHEN 'A' THEN 0.006 ELSE 0.015 END/vol)) ELSE 5.0 END", 8)} AS leverage FROM raw WHERE i > 252"))
 def vol_target(spark, sf):
-    return with_vol_leverage(pair_vol(spark, sf)).select("symbol", day().alias("d"), r("vol_leverage", 8).alias("leverage"))
-
-
-TARGET_VOL = {1: 0.006, 2: 0.015}  # fixed values, by leg
-
-
-def with_vol_leverage(d, top: float = 5.0):
-    target = rg.lookup(F.col("leg"), TARGET_VOL)
-    lev = F.least(F.lit(top), F.greatest(F.lit(1.0), top * target / F.nullif(F.col("vol"), F.lit(0.0))))
-    return d.withColumn("vol_leverage", F.when(F.col("vol") > 0, lev).otherwise(top))
-
-
-# Trailing stops per agent label, by leg, with the default for unknown labels.
-AGENT_STOPS = {1: {"DQN": 0.015, "A2C": 0.02, "DDPG": 0.03, "PPO": 0.05}, 2: {"DQN": 0.008, "A2C": 0.01, "DDPG": 0.015, "PPO": 0.02}}
-DEFAULT_STOP = {1: 0.05, 2: 0.02}
-
-
-def agent_stop(agent, leg):
-    return F.when(leg == 1, rg.lookup(agent, AGENT_STOPS[1], DEFAULT_STOP[1])).otherwise(rg.lookup(agent, AGENT_STOPS[2], DEFAULT_STOP[2]))
+    return pair_vol(spark, sf).select("symbol", day().alias("d"), r(rt.vol_target_leverage(), 8).alias("leverage"))
 
 
 _AGENT_SQL = "CASE regime WHEN 'EXTREME_VOLATILITY' THEN 'DQN' WHEN 'HIGH_VOLATILITY' THEN 'A2C' WHEN 'LOW_VOLATILITY' THEN 'DDPG' ELSE 'PPO' END"
@@ -323,4 +299,49 @@ _STOP_SQL = "CASE WHEN symbol = 'A' THEN CASE agent WHEN 'DQN' THEN 0.015 WHEN '
 @Q.add("f12_regime_stops", o.aligned(o.HYSTERESIS + f" SELECT symbol, ds AS d, agent, CAST({_STOP_SQL} AS DOUBLE) AS stop FROM (SELECT *, {_AGENT_SQL} AS agent FROM reg)"))
 def regime_stops(spark, sf):
     d = rg.with_regime(pair(spark, sf), keys=LEG_KEYS).withColumn("agent", rg.agent_of(F.col("regime"), rg.ROUTES_BY_CODE))
-    return d.select("symbol", day().alias("d"), "agent", agent_stop(F.col("agent"), F.col("leg")).alias("stop"))
+    return d.select("symbol", day().alias("d"), "agent", rt.agent_stop(F.col("agent"), F.col("leg")).alias("stop"))
+
+
+# ── routing study ────────────────────────────────────────────────────────────────────────────────────
+_ROUTES_SQL = """pm AS (SELECT a || '|' || b_ || '|' || c || '|' || e AS config_id, a, b_, c, e FROM (VALUES ('DQN'), ('PPO'), ('DDPG'), ('A2C')) v1(a), (VALUES ('DQN'), ('PPO'), ('DDPG'), ('A2C')) v2(b_),
+  (VALUES ('DQN'), ('PPO'), ('DDPG'), ('A2C')) v3(c), (VALUES ('DQN'), ('PPO'), ('DDPG'), ('A2C')) v4(e) WHERE a <> b_ AND a <> c AND a <> e AND b_ <> c AND b_ <> e AND c <> e)"""
+_ROUTED_SQL = o.HYSTERESIS + ", " + _ROUTES_SQL + f""",
+  td AS (SELECT symbol, i, CASE WHEN i > 30 AND avg(close) OVER {o.over(-10, -1)} > avg(close) OVER {o.over(-30, -1)} THEN 1.0 ELSE -1.0 END AS trend FROM b),
+  sz AS (SELECT reg.*, trend, (1/vol)/sum(1/vol) OVER (PARTITION BY d) * least(5.0, greatest(1.0, 5*CASE reg.symbol WHEN 'A' THEN 0.006 ELSE 0.015 END/vol)) AS size FROM reg JOIN td ON td.symbol = reg.symbol AND td.i = reg.i),
+  ag AS (SELECT sz.*, config_id, CASE regime WHEN 'LOW_VOLATILITY' THEN a WHEN 'NORMAL_VOLATILITY' THEN b_ WHEN 'HIGH_VOLATILITY' THEN c ELSE e END AS agent FROM sz CROSS JOIN pm),
+  lg AS (SELECT config_id, symbol, i, d, close, size, CAST({_STOP_SQL} AS DOUBLE) AS stop, trend*CASE agent WHEN 'DQN' THEN 0.5 WHEN 'PPO' THEN 0.95 WHEN 'DDPG' THEN 0.75 ELSE 0.8 END AS sig FROM ag),
+  j AS MATERIALIZED (SELECT x.config_id, x.i, x.d, x.close AS c1, y.close AS c2, x.sig AS s1, y.sig AS s2, x.size AS w1, y.size AS w2, x.stop AS st1, y.stop AS st2
+    FROM lg x JOIN lg y ON x.config_id = y.config_id AND x.i = y.i AND x.symbol = 'A' AND y.symbol = 'R'
+    UNION ALL SELECT config_id, 252, NULL, 1, 1, 0, 0, 0, 0, 9, 9 FROM pm),
+  led(config_id, i, cash, h1, h2, l1, l2, k1, k2, o1, o2, v, dead, trades) AS (
+  SELECT config_id, CAST(252 AS BIGINT), CAST(100000 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), false, false, CAST(100000 AS DOUBLE), false, 0 FROM pm
+  UNION ALL SELECT config_id, i, cash-(g1-h1)*c1-f1-(g2-h2)*c2-f2, g1, g2, a1, a2,
+    CASE WHEN a1 <> l1 AND g1 > 1e-5 AND g1 > h1 THEN greatest(q1, c1) ELSE q1 END, CASE WHEN a2 <> l2 AND g2 > 1e-5 AND g2 > h2 THEN greatest(q2, c2) ELSE q2 END,
+    CASE WHEN a1 <> l1 THEN g1 > 1e-5 ELSE o1 END, CASE WHEN a2 <> l2 THEN g2 > 1e-5 ELSE o2 END,
+    CASE WHEN gone THEN 0 ELSE pv-f1-f2 END, gone, CASE WHEN gone THEN 0 ELSE (a1 <> l1)::INT + (a2 <> l2)::INT END
+  FROM (SELECT *, abs(g1-h1)*c1*CASE WHEN g1 > h1 THEN 0.0005 ELSE 0.0015 END AS f1, abs(g2-h2)*c2*CASE WHEN g2 > h2 THEN 0.0005 ELSE 0.0015 END AS f2 FROM (
+    SELECT *, CASE WHEN a1 = l1 THEN h1 WHEN a1 > 0 THEN a1*pv*w1/c1 ELSE h1*(1+a1) END AS g1, CASE WHEN a2 = l2 THEN h2 WHEN a2 > 0 THEN a2*pv*w2/c2 ELSE h2*(1+a2) END AS g2 FROM (
+    SELECT *, CASE WHEN o1 AND (q1-c1)/q1 > st1 THEN -1.0 ELSE s1 END AS a1, CASE WHEN o2 AND (q2-c2)/q2 > st2 THEN -1.0 ELSE s2 END AS a2 FROM (
+    SELECT x.*, r.cash, r.h1, r.h2, r.l1, r.l2, r.o1, r.o2, CASE WHEN r.o1 THEN greatest(r.k1, x.c1) ELSE r.k1 END AS q1, CASE WHEN r.o2 THEN greatest(r.k2, x.c2) ELSE r.k2 END AS q2,
+      r.cash+r.h1*x.c1+r.h2*x.c2 AS pv, (r.dead OR r.cash+r.h1*x.c1+r.h2*x.c2 <= 0) AS gone FROM led r JOIN j x ON x.config_id = r.config_id AND x.i = r.i+1))))),
+  eq AS MATERIALIZED (SELECT led.config_id, led.i, led.v, led.trades, j.d FROM led JOIN j ON j.config_id = led.config_id AND j.i = led.i WHERE led.i > 252)"""
+
+
+def routing_equity(spark, sf):
+    return kept(spark, (sf, "routing"), lambda: lg.routed(rt.wide_legs(rt.routed_legs(pair(spark, sf))), PK))
+
+
+@Q.add("f13_routing_ablation", o.aligned(_ROUTED_SQL + ", " + o.perf(keys="config_id") + f""", tt AS (SELECT config_id, CAST(sum(trades) AS BIGINT) AS trades FROM eq GROUP BY config_id)
+  SELECT config_id, {o.rnd('cum_return')} AS cum_return, {o.rnd('sharpe')} AS sharpe, {o.rnd('max_drawdown')} AS max_drawdown, trades, row_number() OVER (ORDER BY sharpe DESC, config_id) AS rank, config_id = 'DQN|PPO|DDPG|A2C' AS is_proposed FROM p JOIN tt USING (config_id)"""))
+def routing(spark, sf):
+    eq = routing_equity(spark, sf)
+    m = performance(eq, PK).join(eq.groupBy(*PK).agg(F.sum("trades").alias("trades")), PK)
+    d = ranked(m, within=("portfolio",))
+    return d.select("config_id", *[r(c).alias(c) for c in ("cum_return", "sharpe", "max_drawdown")], "trades", F.col("rank").cast("bigint").alias("rank"), (F.col("config_id") == "DQN|PPO|DDPG|A2C").alias("is_proposed"))
+
+
+@Q.add("c6_mapping_permutations", o.daily(o.HYSTERESIS + ", " + _ROUTES_SQL + """ SELECT config_id, symbol, count(*) FILTER (agent = 'DQN') AS cautious_bars, count(*) FILTER (agent = 'PPO') AS trend_bars FROM (
+  SELECT symbol, config_id, CASE regime WHEN 'LOW_VOLATILITY' THEN a WHEN 'NORMAL_VOLATILITY' THEN b_ WHEN 'HIGH_VOLATILITY' THEN c ELSE e END AS agent FROM reg CROSS JOIN pm) GROUP BY config_id, symbol"""))
+def permutations_of_mappings(spark, sf):
+    d = rt.with_mappings(rg.with_regime(daily(spark, sf)))
+    return d.groupBy("config_id", "symbol").agg(F.count(F.when(F.col("agent") == "DQN", 1)).alias("cautious_bars"), F.count(F.when(F.col("agent") == "PPO", 1)).alias("trend_bars"))
