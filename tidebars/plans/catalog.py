@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["windows", "ledgers", "aggregates", "trading"]
+MODULES = ["windows", "ledgers", "aggregates", "trading", "resampling"]
 
 
 def catalog() -> dict:
