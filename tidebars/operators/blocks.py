@@ -28,9 +28,9 @@ SUB = 1024  # rows over which decay weights are rescaled
 EXACT_BITS = 70  # weights below 2**-70 are lost to rounding in a double sum anyway
 
 
-def index_series(df: DataFrame, keys=KEYS, ts: str = "ts", chunk: str = "year") -> DataFrame:
+def index_series(df: DataFrame, keys=KEYS, ts: str = "ts", chunk: str = "year", tie: str | None = None) -> DataFrame:
     """Add ``i`` and ``n``: rows are numbered inside (series, calendar chunk) and shifted by the counts of
-    earlier chunks, so no task sees more than one chunk of a series. (series, ts) must be unique."""
+    earlier chunks, so no task sees more than one chunk of a series. (series, ts) must be unique, or (series, ts, tie)."""
     keys = list(keys)
     df = df.withColumn("_c", F.date_trunc(chunk, F.col(ts).cast("timestamp")))
     per_key = Window.partitionBy(*keys)
@@ -44,7 +44,7 @@ def index_series(df: DataFrame, keys=KEYS, ts: str = "ts", chunk: str = "year")
             F.sum("_m").over(per_key).alias("n"),
         )
     )
-    rn = F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(ts))
+    rn = F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(ts, *([tie] if tie else [])))
     return (
         df.join(counts, [*keys, "_c"])
         .withColumn("i", rn + F.col("_off"))
