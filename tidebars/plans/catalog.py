@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sources_sinks", "relational", "windows", "ledgers", "aggregates", "trading", "resampling"]
+MODULES = ["sources_sinks", "relational", "windows", "ledgers", "aggregates", "trading", "resampling", "streams"]
 
 
 def catalog() -> dict:

@@ -68,7 +68,7 @@ def priced(ticks: DataFrame, scale: float) -> DataFrame:
     return (
         ticks.join(carry, [*keys, "ts", "part"])
         .select(
-            *keys, "ts", "part", "qty",
+            *keys, "ts", "part", "qty", "ord",
             F.row_number().over(w).alias("rn"),
             (100 * F.exp((run + F.col("_carry")) * F.lit(scale))).alias("px"),
         )
