@@ -41,8 +41,8 @@ def draws(lengths: DataFrame, keys, reps: int, block_length: float = 10.0, seed:
 def indices(runs: DataFrame, keys) -> DataFrame:
     """Runs written out: (keys, rep, i, idx)."""
     k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1))
-    d = runs.select(*keys, "rep", "n", "i0", "pos", k.alias("k"))
-    return d.select(*keys, "rep", (F.col("i0") + F.col("k")).alias("i"), F.pmod(F.col("pos") + F.col("k"), F.col("n")).alias("idx"))
+    d = runs.select(*keys, "rep", "n", "i0", "pos", k.alias("_k"))
+    return d.select(*keys, "rep", (F.col("i0") + F.col("_k")).alias("i"), F.pmod(F.col("pos") + F.col("_k"), F.col("n")).alias("idx"))
 
 
 def prefix_sums(series: DataFrame, keys, cols: dict, block: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ def arrivals(df: DataFrame, path: str, slices: int, ts: str = "ts"):
     """Append ``df`` to a folder in ``slices`` pieces of equal time span, yielding after each: a stream that is drained in
     between sees the data as it would have come in. Every piece is written by as many tasks as it needs."""
     lo, hi = df.agg(F.min(F.col(ts).cast("double")), F.max(F.col(ts).cast("double"))).first()
-    width = (hi - lo) / slices
+    width = (hi - lo) / slices or 1.0
     at = F.least(F.floor((F.col(ts).cast("double") - lo) / width), F.lit(slices - 1))
     for k in range(slices):
         df.where(at == k).write.mode("append").parquet(path)
