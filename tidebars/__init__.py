@@ -1 +1,8 @@
 """Market time-series analytics as Spark jobs over long bar tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -14,8 +14,17 @@ def _col(x) -> Column:
 
 def uniform(seed, i) -> Column:
     """In [0, 1): the first 32 bits of md5('seed:i')."""
-    text = F.concat(_col(seed).cast("string"), F.lit(":"), _col(i).cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296
+    return F.conv(_bits(seed, i), 16, 10).cast("double") / 4294967296
+
+
+def _bits(seed, i) -> Column:
+    return F.substring(F.md5(F.concat(_col(seed).cast("string"), F.lit(":"), _col(i).cast("string"))), 1, 8)
+
+
+def below(seed, i, p: float) -> Column:
+    """Whether ``uniform(seed, i) < p``, without turning the bits into a number: eight hex digits compare like their value."""
+    edge = math.ceil(p * 4294967296)
+    return F.lit(True) if edge > 0xFFFFFFFF else _bits(seed, i) < F.lit(f"{edge:08x}")
 
 
 def normal(seed, i) -> Column:

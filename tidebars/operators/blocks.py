@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidebars.session import KEYS
 
 BLOCK = 16384
-SUB = 1024  # rows over which decay weights are rescaled
+SUB = 2048  # rows over which decay weights are rescaled; 0.72**-2048 is still a double
 EXACT_BITS = 70  # weights below 2**-70 are lost to rounding in a double sum anyway
 
 
@@ -57,16 +57,16 @@ def _div(expr: str, block: int) -> Column:
 
 
 def with_blocks(df: DataFrame, block: int | None = None) -> DataFrame:
-    if "blk" in df.columns:
-        return df
     b = block or BLOCK
-    return df.withColumn("blk", _div("i - 1", b)).withColumn("more", F.col("blk") < _div("n - 1", b))
+    if "blk" not in df.columns:
+        df = df.withColumn("blk", _div("i - 1", b)).withColumn("more", F.col("blk") < _div("n - 1", b))
+    return df if "_run" in df.columns else df.withColumn("_run", _div("i - 1", SUB))
 
 
 def halo(df: DataFrame, lookback: int, block: int | None = None) -> DataFrame:
     """Send every row to its own block and to each later block that looks back on it."""
     b = block or BLOCK
-    df = df.drop("blk", "more").withColumn("_own", _div("i - 1", b))
+    df = df.drop("blk", "more", "_run").withColumn("_own", _div("i - 1", b)).withColumn("_run", _div("i - 1", SUB))
     last = _div("n - 1", b)
     reach = F.least(_div(f"i - 1 + {int(lookback)}", b), last)
     return (
@@ -80,7 +80,9 @@ def owned(df: DataFrame) -> DataFrame:
 
 
 def in_block(keys=KEYS):
-    return Window.partitionBy(*keys, "blk", "more").orderBy("i")
+    """Rows of a block in order. ``_run`` (the number of a run of ``SUB`` rows) never decreases with ``i``, so it does
+    not change the order; naming it lets windows per block and windows per run share one sort."""
+    return Window.partitionBy(*keys, "blk", "more").orderBy("_run", "i")
 
 
 def rows(a: int, b: int = 0, keys=KEYS):
@@ -102,20 +104,28 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
     return F.coalesce(local, carry)
 
 
-def block_scan(df: DataFrame, specs: dict[str, tuple[str, Column]], keys=KEYS, block: int | None = None) -> DataFrame:
-    """Running ``sum``/``product``/``max``/``min``/``last`` (last non-null) over whole series."""
+def longest(df: DataFrame) -> int:
+    """Length of the longest series; only ``n`` is read, everything else is pruned."""
+    return df.agg(F.max("n")).first()[0] or 0
+
+
+def block_scan(df: DataFrame, specs: dict[str, tuple[str, Column]], keys=KEYS, block: int | None = None, most: int | None = None) -> DataFrame:
+    """Running ``sum``/``product``/``max``/``min``/``last`` (last non-null) over whole series.
+
+    ``most`` is the length of the longest series if the caller knows it. When all series fit one block no carry
+    is planned: it would cost an exchange of all rows for a join that finds nothing.
+    """
     keys, b = list(keys), block or BLOCK
     df = with_blocks(df, b)
     local_w = in_block(keys).rowsBetween(Window.unboundedPreceding, 0)
-    ins = df.select("*", *[c.alias(f"_x_{o}") for o, (_, c) in specs.items()])
 
-    def running(o, kind):
-        x = F.col(f"_x_{o}")
-        return F.last(x, ignorenulls=True).over(local_w) if kind == "last" else _AGG[kind](x).over(local_w)
+    def running(x, kind, w):
+        return F.last(x, ignorenulls=True).over(w) if kind == "last" else _AGG[kind](x).over(w)
 
-    local = ins.select(
-        *df.columns, *[running(o, kind).alias(f"_l_{o}") for o, (kind, _) in specs.items()]
-    )
+    ins = df.select("*", *[c.alias(f"_x_{o}") for o, (_, c) in specs.items()])
+    if (longest(df) if most is None else most) <= b:
+        return ins.select(*df.columns, *[running(F.col(f"_x_{o}"), kind, local_w).alias(o) for o, (kind, _) in specs.items()])
+    local = ins.select(*df.columns, *[running(F.col(f"_x_{o}"), kind, local_w).alias(f"_l_{o}") for o, (kind, _) in specs.items()])
 
     def total(o, kind):
         x = F.col(f"_x_{o}")
@@ -125,16 +135,11 @@ def block_scan(df: DataFrame, specs: dict[str, tuple[str, Column]], keys=KEYS, b
         F.max("n").alias("_n"), *[total(o, kind).alias(f"_t_{o}") for o, (kind, _) in specs.items()]
     )
     carry_w = Window.partitionBy(*keys).orderBy("blk").rowsBetween(Window.unboundedPreceding, 0)
-
-    def carried(o, kind):
-        x = F.col(f"_t_{o}")
-        return F.last(x, ignorenulls=True).over(carry_w) if kind == "last" else _AGG[kind](x).over(carry_w)
-
     carry = totals.select(
         *keys,
         (F.col("blk") + 1).alias("blk"),
         (F.col("blk") + 1 < _div("_n - 1", b)).alias("more"),
-        *[carried(o, kind).alias(f"_c_{o}") for o, (kind, _) in specs.items()],
+        *[running(F.col(f"_t_{o}"), kind, carry_w).alias(f"_c_{o}") for o, (kind, _) in specs.items()],
     )
     joined = local.join(carry, [*keys, "blk", "more"], "left")
     return joined.select(
@@ -152,34 +157,35 @@ def _carry_step(field: str, a: float):
     return lambda acc, e: acc * F.lit(a**SUB) + e[field]
 
 
-def decayed_sums(df: DataFrame, specs: dict[str, tuple[Column, float]], keys=KEYS) -> DataFrame:
+def decayed_sums(df: DataFrame, specs: dict[str, tuple[Column, float]], keys=KEYS, most: int | None = None) -> DataFrame:
     """``y[i] = sum over j <= i of u[j] * a**(i-j)`` for each ``out: (u, a)``; NULL ``u`` counts as 0.
 
     Every first-order recurrence ``y = a*y + u`` (exponential and Wilder averages) is such a sum. Inside
     runs of ``SUB`` rows it is a rescaled prefix sum; earlier runs of the block enter through their last
-    value. Needs rows from ``halo`` with a lookback of at least ``reach_of(a)``.
+    value, which is left out where the longest series (``most``) is a single run. Needs rows from ``halo`` with
+    a lookback of at least ``reach_of(a)``.
     """
     for _, a in specs.values():
-        if not 0.6 <= a < 1:
-            raise ValueError("decay factor must lie in [0.6, 1)")
+        if not 0.72 <= a < 1:
+            raise ValueError("decay factor must lie in [0.72, 1)")
     cols = df.columns
     p = F.col("_p")
-    run_w = Window.partitionBy(*keys, "blk", "more", "_sb").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    run_w = Window.partitionBy(*keys, "blk", "more", "_run").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     before = in_block(keys).rowsBetween(Window.unboundedPreceding, -1)
-    d = df.withColumn("_p", F.expr(f"(i - 1) % {SUB}")).withColumn("_sb", _div("i - 1", SUB))
+    d = df.withColumn("_p", F.expr(f"(i - 1) % {SUB}").cast("double"))
     d = d.select(
         "*",
         *[
-            (F.coalesce(F.sum(u * F.pow(F.lit(a), -p)).over(run_w), F.lit(0.0)) * F.pow(F.lit(a), p)).alias(f"_s_{o}")
+            (F.coalesce(F.sum(u * F.exp(p * -math.log(a))).over(run_w), F.lit(0.0)) * F.exp(p * math.log(a))).alias(f"_s_{o}")
             for o, (u, a) in specs.items()
         ],
     )
-    ends = F.collect_list(
-        F.when(p == SUB - 1, F.struct(*[F.col(f"_s_{o}") for o in specs]))
-    ).over(before)
+    if most is not None and most <= SUB:
+        return d.select(*cols, *[F.col(f"_s_{o}").alias(o) for o in specs])
+    ends = F.collect_list(F.when(p == SUB - 1, F.struct(*[F.col(f"_s_{o}") for o in specs]))).over(before)
     d = d.withColumn("_ends", ends)
     out = []
     for o, (_, a) in specs.items():
         carry = F.aggregate("_ends", F.lit(0.0), _carry_step(f"_s_{o}", a))
-        out.append((F.col(f"_s_{o}") + F.pow(F.lit(a), p + 1) * carry).alias(o))
+        out.append((F.col(f"_s_{o}") + F.exp((p + 1) * math.log(a)) * carry).alias(o))
     return d.select(*cols, *out)

@@ -8,12 +8,13 @@ first ``period`` values; RSI averages start from 0 on the first bar and are show
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidebars.operators.blocks import decayed_sums, halo, in_block, owned, reach_of, rows
+from tidebars.operators.blocks import decayed_sums, halo, in_block, longest, owned, reach_of, rows
 from tidebars.session import KEYS
 
 # The two feature registries.
@@ -86,31 +87,32 @@ def wilder_drive(col: str, period: int, start: int = 1, keys=KEYS) -> Column:
     return F.when(i > seed_at, F.col(col) / period).when(i == seed_at, seed)
 
 
-def add_atr(df: DataFrame, period: int = 14, keys=KEYS, out: str = "atr_14") -> DataFrame:
+def add_atr(df: DataFrame, period: int = 14, keys=KEYS, out: str = "atr_14", most: int | None = None) -> DataFrame:
     d = df.withColumn("_tr", true_range(keys))
     d = d.withColumn("_u", wilder_drive("_tr", period, keys=keys))
-    d = decayed_sums(d, {"_atr": (F.col("_u"), 1 - 1 / period)}, keys)
+    d = decayed_sums(d, {"_atr": (F.col("_u"), 1 - 1 / period)}, keys, most)
     return d.withColumn(out, full(F.col("_atr"), period)).drop("_tr", "_u", "_atr")
 
 
-def add_rsi(df: DataFrame, period: int = 14, keys=KEYS, out: str = "rsi_14") -> DataFrame:
+def add_rsi(df: DataFrame, period: int = 14, keys=KEYS, out: str = "rsi_14", most: int | None = None) -> DataFrame:
     a = 1 - 1 / period
     d = df.withColumn("_d", F.coalesce(F.col("close") - lag("close", keys=keys), F.lit(0.0)))
     d = decayed_sums(
         d,
         {"_g": (F.greatest(F.col("_d"), F.lit(0.0)) / period, a), "_ls": (F.greatest(-F.col("_d"), F.lit(0.0)) / period, a)},
         keys,
+        most,
     )
     rsi = F.when(F.col("_ls") == 0, 100.0).otherwise(100 - 100 / (1 + ratio(F.col("_g"), F.col("_ls"))))
     return d.withColumn(out, full(rsi, period)).drop("_d", "_g", "_ls")
 
 
-def add_macd(df: DataFrame, keys=KEYS) -> DataFrame:
+def add_macd(df: DataFrame, keys=KEYS, most: int | None = None) -> DataFrame:
     """Line from bar 26, signal and difference from bar 34; the signal average starts at bar 26."""
     c = F.col("close")
-    d = decayed_sums(df, {"_f": (ema_drive(c, EMA12), EMA12), "_s": (ema_drive(c, EMA26), EMA26)}, keys)
+    d = decayed_sums(df, {"_f": (ema_drive(c, EMA12), EMA12), "_s": (ema_drive(c, EMA26), EMA26)}, keys, most)
     d = d.withColumn("macd", full(F.col("_f") - F.col("_s"), 26))
-    d = decayed_sums(d, {"_sig": (ema_drive(F.col("macd"), EMA9, 26), EMA9)}, keys)
+    d = decayed_sums(d, {"_sig": (ema_drive(F.col("macd"), EMA9, 26), EMA9)}, keys, most)
     return (
         d.withColumn("macd_signal", full(F.col("_sig"), 34))
         .withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
@@ -118,7 +120,7 @@ def add_macd(df: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
-def add_adx(df: DataFrame, period: int = 30, keys=KEYS, out: str = "dx_30") -> DataFrame:
+def add_adx(df: DataFrame, period: int = 30, keys=KEYS, out: str = "dx_30", most: int | None = None) -> DataFrame:
     """Wilder's index: directional moves and range from bar 2, averages from bar ``period+1``, the index
     itself from bar ``2*period``."""
     a = 1 - 1 / period
@@ -130,23 +132,23 @@ def add_adx(df: DataFrame, period: int = 30, keys=KEYS, out: str = "dx_30") -> D
     names = ["_pdm", "_mdm", "_tr"]
     for c in names:
         d = d.withColumn(f"{c}_u", wilder_drive(c, period, 2, keys))
-    d = decayed_sums(d, {f"{c}_y": (F.col(f"{c}_u"), a) for c in names}, keys)
+    d = decayed_sums(d, {f"{c}_y": (F.col(f"{c}_u"), a) for c in names}, keys, most)
     p, m = ratio(F.col("_pdm_y"), F.col("_tr_y")), ratio(F.col("_mdm_y"), F.col("_tr_y"))
     dx = F.coalesce(100 * ratio(F.abs(p - m), p + m), F.lit(0.0))
     d = d.withColumn("_dx", full(dx, period + 1))
     d = d.withColumn("_dx_u", wilder_drive("_dx", period, period + 1, keys))
-    d = decayed_sums(d, {"_adx": (F.col("_dx_u"), a)}, keys)
+    d = decayed_sums(d, {"_adx": (F.col("_dx_u"), a)}, keys, most)
     return d.withColumn(out, full(F.col("_adx"), 2 * period)).drop(
         "_up", "_dn", "_dx", "_dx_u", "_adx", *names, *[f"{c}_u" for c in names], *[f"{c}_y" for c in names]
     )
 
 
-def add_ewma_vol(df: DataFrame, col: str = "return_log", span: int = 30, keys=KEYS, out: str = "vol_ewma") -> DataFrame:
+def add_ewma_vol(df: DataFrame, col: str = "return_log", span: int = 30, keys=KEYS, out: str = "vol_ewma", most: int | None = None) -> DataFrame:
     """Bias-corrected deviation under weights that decay with ``1 - 2/(span+1)``; NULL for a single value."""
     a = 1 - 2 / (span + 1)
     x = F.col(col)
     one = F.when(x.isNotNull(), 1.0)
-    d = decayed_sums(df, {"_s0": (one, a), "_s1": (x, a), "_s2": (x * x, a), "_ss": (one, a * a)}, keys)
+    d = decayed_sums(df, {"_s0": (one, a), "_s1": (x, a), "_s2": (x * x, a), "_ss": (one, a * a)}, keys, most)
     s0, s1, s2, ss = (F.col(c) for c in ("_s0", "_s1", "_s2", "_ss"))
     bias = s0 * s0 - ss
     var = F.greatest(s2 / s0 - (s1 / s0) * (s1 / s0), F.lit(0.0)) * s0 * s0 / bias
@@ -160,17 +162,49 @@ def with_features(series: DataFrame, keys=KEYS, block: int | None = None) -> Dat
     d = d.withColumn("return_simple", simple_return(keys=keys)).withColumn("return_log", log_return(keys=keys))
     d = d.withColumn("vol_rolling_30", rolling_vol("return_log", 30, keys))
     d = d.withColumn("bb_width", bollinger_width(keys=keys))
-    for add in (add_ewma_vol, add_rsi, add_macd, add_adx, add_atr, cci):
-        d = add(d, keys=keys)
-    return owned(d)
+    most = longest(series)
+    for add in (add_ewma_vol, add_rsi, add_macd, add_adx, add_atr):
+        d = add(d, keys=keys, most=most)
+    return owned(cci(d, keys=keys))
 
 
 def with_zscores(df: DataFrame, cols=FEATURES, width: int = 252, keys=KEYS, block: int | None = None) -> DataFrame:
-    """Rolling z-score of each column, shorter windows at the start, NULL where the deviation is 0."""
+    """Rolling z-score of each column, shorter windows at the start, NULL where the deviation is 0.
+
+    A frame this wide is re-read for every row by a window expression, column by column; here one vectorised
+    two-pass computation per block does all columns. Blocks are as bounded as ever, with ``width`` rows of halo.
+    """
     d = halo(df, width, block)
-    w = rows(1 - width, keys=keys)
-    d = d.withColumns({f"{c}_z": ratio(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w)) for c in cols})
-    return owned(d)
+    extra = [T.StructField(f"{c}_z", T.DoubleType()) for c in cols]
+    schema = T.StructType([*d.schema.fields, *extra])
+
+    def score(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        for c in cols:
+            x = table.column(c).to_numpy(zero_copy_only=False).astype(float)
+            z = _zscore(x, width)
+            table = table.append_column(f"{c}_z", pa.array(z, mask=np.isnan(z)))
+        return table
+
+    return owned(d.groupBy(*keys, "blk", "more").applyInArrow(score, schema))
+
+
+def _zscore(x: np.ndarray, width: int, step: int = 2048) -> np.ndarray:
+    """z of each value in the window ending at it; missing values are left out of the window."""
+    padded = np.r_[np.full(width - 1, np.nan), x]
+    frames = np.lib.stride_tricks.sliding_window_view(padded, width)
+    z = np.full(len(x), np.nan)
+    for a in range(0, len(x), step):  # keeps the temporary matrix small
+        f = frames[a : a + step]
+        ok = ~np.isnan(f)
+        n = ok.sum(axis=1)
+        m = np.where(ok, f, 0.0).sum(axis=1) / np.maximum(n, 1)
+        dev = np.where(ok, f - m[:, None], 0.0)
+        sd = np.sqrt((dev * dev).sum(axis=1) / np.maximum(n - 1, 1))
+        flat = np.where(ok, f, -np.inf).max(axis=1) == np.where(ok, f, np.inf).min(axis=1)
+        good = (n > 1) & (sd > 0) & ~flat
+        z[a : a + step] = np.where(good, (x[a : a + step] - m) / np.where(good, sd, 1.0), np.nan)
+    return z
 
 
 def sma(col: str, width: int, keys=KEYS, shift: int = 0) -> Column:
@@ -199,11 +233,7 @@ def existing(df: DataFrame, cols) -> list[str]:
 
 
 def describe(df: DataFrame, cols) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles per column, one row each.
-
-    All columns are unpivoted before grouping, so the group of a column would hold every row: values are
-    first counted per distinct value, and the quartiles come from cumulative counts over ranges of values.
-    """
+    """Count, mean, deviation, extremes and exact quartiles per column, one row each."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])
     long = df.select(F.explode(pairs).alias("p")).select("p.feature", "p.x").where("x is not null")
     return summarise(long, "feature", "x")
@@ -218,38 +248,37 @@ def summarise(long: DataFrame, key: str, x: str, probs=(0.25, 0.5, 0.75)) -> Dat
     return stats.join(wide, key)
 
 
-def quantiles(long: DataFrame, keys: list[str], x: str, probs) -> DataFrame:
+def quantiles(long: DataFrame, keys: list[str], x: str, probs, side: int = 16) -> DataFrame:
     """Exact linear quantiles without putting a key's rows in one task.
 
-    Distinct values are counted, cut into 256 equal-width ranges between the key's extremes, numbered
-    inside each range, and shifted by the counts of lower ranges; the two order statistics around each
-    quantile are then picked by rank.
+    Distinct values are counted and cut into ``side**2`` ranges at approximate quantiles of the key (a bounded
+    sketch that only balances the ranges), numbered inside each range, and shifted by the counts of lower
+    ranges; the two order statistics around each quantile are then picked by rank.
     """
-    from pyspark.sql import Window
-
     counts = long.groupBy(*keys, F.col(x).alias("v")).agg(F.count("*").alias("m"))
-    ext = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("m").alias("N"))
-    span = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    c = counts.join(ext, keys).withColumn("g", F.coalesce(F.floor((F.col("v") - F.col("lo")) / span * 256), F.lit(0)))
+    cuts = [k / side**2 for k in range(1, side**2)]
+    about = counts.groupBy(*keys).agg(F.sum("m").alias("N"), F.percentile_approx("v", cuts, 10 * side**2).alias("cut"))
+    c = counts.join(about, keys)
+    # range of a value: first among every side-th cut, then among the cuts that follow it
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda k: F.element_at("cut", k * side)), lambda e: e < F.col("v")))
+    c = c.withColumn("g", coarse)
+    c = c.withColumn("g", F.col("g") * side + F.size(F.filter(F.slice("cut", F.col("g") * side + 1, F.lit(side - 1)), lambda e: e < F.col("v")))).drop("cut")
     per_g = c.groupBy(*keys, "g").agg(F.sum("m").alias("gm"))
-    off = per_g.select(
-        *keys, "g",
-        F.coalesce(F.sum("gm").over(Window.partitionBy(*keys).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
-    )
+    below = Window.partitionBy(*keys).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # at most side**2 rows
+    off = per_g.select(*keys, "g", F.coalesce(F.sum("gm").over(below), F.lit(0)).alias("off"))
     w = Window.partitionBy(*keys, "g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = c.join(off, [*keys, "g"]).withColumn("upto", F.sum("m").over(w) + F.col("off"))
-    want = F.array(*[F.lit(float(p)) for p in probs])
     at = F.col("prob") * (F.col("N") - 1)
     hit = (
-        ranked.withColumn("prob", F.explode(want))
+        ranked.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("k0", F.floor(at)).withColumn("frac", at - F.floor(at))
         .withColumn("k1", F.least(F.col("k0") + 1, F.col("N") - 1))
         .withColumn("from", F.col("upto") - F.col("m"))
     )
-    inside = reduce(lambda a, b: a | b, [(F.col(k) >= F.col("from")) & (F.col(k) < F.col("upto")) for k in ("k0", "k1")])
-    pick = lambda k: F.max(F.when((F.col(k) >= F.col("from")) & (F.col(k) < F.col("upto")), F.col("v")))
+    has = lambda k: (F.col(k) >= F.col("from")) & (F.col(k) < F.col("upto"))
+    pick = lambda k: F.max(F.when(has(k), F.col("v")))
     return (
-        hit.where(inside).groupBy(*keys, "prob", "frac").agg(pick("k0").alias("a"), pick("k1").alias("b"))
+        hit.where(has("k0") | has("k1")).groupBy(*keys, "prob", "frac").agg(pick("k0").alias("a"), pick("k1").alias("b"))
         .select(*keys, "prob", (F.col("a") + F.col("frac") * (F.col("b") - F.col("a"))).alias("value"))
     )
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.operators.blocks import block_scan
+from tidebars.operators.blocks import block_scan, longest
 from tidebars.operators.features import ratio
 from tidebars.operators.signals import START
 from tidebars.session import KEYS, cut
@@ -85,9 +85,9 @@ def single(sig: DataFrame, keys=(*KEYS, "config_id"), capital: float = CAPITAL,
     ``h(P) = 1 + L*(P/e - 1) - L*b``, and ``h(P) - L*s*P/e`` on the exit bar. A value at or below zero makes
     the factor 0, so the product stays 0 from the ruin on.
     """
-    d = sig.where(F.col("i") >= start)
+    d, most = sig.where(F.col("i") >= start), longest(sig)
     opened = (F.col("sig") > 0) & (F.col("prev_sig") <= 0)
-    d = block_scan(d, {"entry": ("last", F.when(opened, F.col("close")))}, keys, block)
+    d = block_scan(d, {"entry": ("last", F.when(opened, F.col("close")))}, keys, block, most)
     lev, b, s = F.col("leverage"), F.col("buy_bps") / 10000, F.col("sell_bps") / 10000
     rel, prel = F.col("close") / F.col("entry"), F.col("prev_close") / F.col("entry")
     h, ph = 1 + lev * (rel - 1) - lev * b, 1 + lev * (prel - 1) - lev * b
@@ -98,7 +98,7 @@ def single(sig: DataFrame, keys=(*KEYS, "config_id"), capital: float = CAPITAL,
         .otherwise(1.0)
     )
     d = d.withColumn("factor", F.greatest(F.coalesce(factor, F.lit(0.0)), F.lit(0.0)))
-    d = block_scan(d, {"_base": ("product", F.col("factor"))}, keys, block)
+    d = block_scan(d, {"_base": ("product", F.col("factor"))}, keys, block, most)
     return d.withColumn("v", capital * F.col("_base")).drop("_base")
 
 
@@ -197,14 +197,14 @@ def joint(w: DataFrame, keys, capital: float = CAPITAL, start: int = START, lot:
     """Equity ``v`` per bar of shared-cash portfolios; 0 from the first bar whose value before trading is not positive."""
     keys = list(keys)
     w = cut(w.where(F.col("i") >= start).withColumn("i", F.col("i").cast("bigint")))
-    d = w.join(cut(trade_states(w, keys, capital, lot)), [*keys, "i"], "left")
-    d = block_scan(d, {"_st": ("last", F.when(F.col("cash").isNotNull(), F.struct("cash", "shares")))}, keys, block)
+    d, most = w.join(cut(trade_states(w, keys, capital, lot)), [*keys, "i"], "left"), longest(w)
+    d = block_scan(d, {"_st": ("last", F.when(F.col("cash").isNotNull(), F.struct("cash", "shares")))}, keys, block, most)
     held = F.aggregate(
         F.arrays_zip(F.col("_st.shares").alias("sh"), F.transform("legs", lambda x: x["close"]).alias("px")),
         F.col("_st.cash"), lambda acc, x: acc + x["sh"] * x["px"],
     )
     d = d.withColumn("v", F.coalesce(held, F.lit(capital)))
-    d = block_scan(d, {"_low": ("min", F.coalesce("v_before", "v"))}, keys, block)
+    d = block_scan(d, {"_low": ("min", F.coalesce("v_before", "v"))}, keys, block, most)
     return d.select(
         *keys, "ts", "i", "n",
         F.when(F.col("_low") <= 0, 0.0).otherwise(F.col("v")).alias("v"),

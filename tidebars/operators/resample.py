@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.functions.hashing import uniform
+from tidebars.functions.hashing import below, uniform
 from tidebars.operators.blocks import block_scan
 from tidebars.operators.ledger import holding_start
 
@@ -32,7 +32,7 @@ def draws(lengths: DataFrame, keys, reps: int, block_length: float = 10.0, seed:
     d = d.repartition(*keys, "rep")
     d = d.withColumn("i0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     s = F.concat(F.lit(seed + "/"), F.col("rep").cast("string"))
-    d = d.where((F.col("i0") == 0) | (uniform(F.concat(F.lit("restart/"), s), F.col("i0")) < 1 / block_length))
+    d = d.where((F.col("i0") == 0) | below(F.concat(F.lit("restart/"), s), F.col("i0"), 1 / block_length))
     d = d.withColumn("pos", F.floor(uniform(F.concat(F.lit("place/"), s), F.col("i0")) * F.col("n")).cast("bigint"))
     w = Window.partitionBy(*keys, "rep").orderBy("i0")
     return d.withColumn("len", F.coalesce(F.lead("i0").over(w), F.col("n")) - F.col("i0"))

@@ -73,16 +73,18 @@ def crossover(series: DataFrame, configs: Sequence[Config], price: str = "close"
     w = in_block(keys)
     d = d.select("*", *[sma(price, k, keys, 1).alias(f"_s{k}") for k in widths])
     d = d.select("*", *[F.lag(f"_s{k}").over(w).alias(f"_p{k}") for k in widths], F.lag("close").over(w).alias("prev_close"))
-    now = F.create_map(*[x for k in widths for x in (F.lit(k), F.col(f"_s{k}"))])
-    then = F.create_map(*[x for k in widths for x in (F.lit(k), F.col(f"_p{k}"))])
-    d = owned(d.select(*keys, "ts", "i", "n", "blk", "more", "_own", "close", "prev_close", *keep, now.alias("_now"), then.alias("_then")))
+    means = [f"{side}{k}" for side in ("_s", "_p") for k in widths]
+    d = owned(d.select(*keys, "ts", "i", "n", "blk", "more", "_run", "_own", "close", "prev_close", *keep, *means))
     d = with_configs(d, configs)
 
-    def above(m: str, first: int) -> Column:
-        f, s = F.element_at(m, F.col("fast")), F.element_at(m, F.col("slow"))
-        return F.coalesce(((F.col("i") > first) & (f > s)).cast("double"), F.lit(0.0))
+    def mean(side: str, field: str) -> Column:
+        return F.coalesce(*[F.when(F.col(field) == k, F.col(f"{side}{k}")) for k in widths])
 
-    return d.withColumn("sig", above("_now", start)).withColumn("prev_sig", above("_then", start + 1)).drop("_now", "_then")
+    def above(side: str, first: int) -> Column:
+        on = (F.col("i") > first) & (mean(side, "fast") > mean(side, "slow"))
+        return F.coalesce(on.cast("double"), F.lit(0.0))
+
+    return d.withColumn("sig", above("_s", start)).withColumn("prev_sig", above("_p", start + 1)).drop(*means)
 
 
 def momentum(series: DataFrame, configs: Sequence[Config], width: int = 252, start: int = START, keys=KEYS, block: int | None = None) -> DataFrame:
@@ -94,7 +96,7 @@ def momentum(series: DataFrame, configs: Sequence[Config], width: int = 252, sta
     lag1, lag2 = F.lag("_on", 1, 0.0).over(w), F.lag("_on", 2, 0.0).over(w)
     d = d.withColumn("sig", F.when(F.col("i") > start, lag1).otherwise(0.0))
     d = d.withColumn("prev_sig", F.when(F.col("i") > start + 1, lag2).otherwise(0.0))
-    return with_configs(owned(d).select(*keys, "ts", "i", "n", "blk", "more", "close", "prev_close", "sig", "prev_sig"), configs)
+    return with_configs(owned(d).select(*keys, "ts", "i", "n", "blk", "more", "_run", "close", "prev_close", "sig", "prev_sig"), configs)
 
 
 def month_starts(series: DataFrame, start: int = START, keys=KEYS, block: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidebars.plans import oracle as o
 from tidebars.plans.common import Registry, r, second
 from tidebars.session import checkpoint_dir
-from tidebars.sources.ticks import event_ticks, hourly, kept, priced
+from tidebars.sources.ticks import EVENT_ORDER, event_ticks, hourly, kept, priced
 from tidebars.streaming import live, sizing
 from tidebars.streaming import ticks as st
 
@@ -33,8 +33,8 @@ def _run(spark, source, read, name):
 
 def event_stream(spark, sf):
     def make():
-        d = priced(event_ticks(spark, sf), 2e-6)
-        return d.select("symbol", F.col("ord.t").alias("ts"), F.col("ord.event_id").alias("tick_id"), "px", "qty")
+        d = priced(event_ticks(spark, sf), 2e-6, EVENT_ORDER)
+        return d.select("symbol", F.col("at").alias("ts"), F.col("event_id").alias("tick_id"), "px", "qty")
 
     return kept(spark, (sf, "event-stream"), make)
 

@@ -1,6 +1,6 @@
 """Tick tables and the bars built from them.
 
-A tick table has symbol, timeframe, ts, part (coarse order inside a bar), order columns, inc (integer price
+A tick table has symbol, timeframe, ts, part (coarse order inside a bar, below 2**31), order columns, inc (integer price
 step) and qty. The price of a tick is ``100*exp(scale * running sum of inc)``: integer steps add up to the
 same total in any order, so bars do not depend on the partitioning.
 """
@@ -14,7 +14,8 @@ from tidebars.operators.blocks import index_series
 from tidebars.session import KEYS, cut
 
 PART_KEYS = 1_000_000  # order keys that share one part of a bar
-_LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"]
+EVENT_ORDER = ["at", "event_id"]
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,7 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag
         F.lit("1d").alias("timeframe"),
         F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias("ts"),
         F.expr(f"l_orderkey div {part_keys}").alias("part"),
-        F.struct(*_LINE_ORDER).alias("ord"),
+        *LINE_ORDER,
         (F.round(F.col("l_discount") * 100).cast("bigint") - 5).alias("inc"),
         F.col("l_quantity").alias("qty"),
     )
@@ -42,13 +43,13 @@ def event_ticks(spark: SparkSession, sf_dir: str, symbol: str = "event_type") ->
         F.lit("1h").alias("timeframe"),
         F.date_trunc("hour", at).alias("ts"),
         F.minute(at).cast("bigint").alias("part"),
-        F.struct(at.alias("t"), "event_id").alias("ord"),
+        at.alias("at"), "event_id",
         (F.round(F.col("value") * 100).cast("bigint") - 5000).alias("inc"),
         F.lit(1.0).alias("qty"),
     )
 
 
-def priced(ticks: DataFrame, scale: float) -> DataFrame:
+def priced(ticks: DataFrame, scale: float, order: list[str]) -> DataFrame:
     """Add ``px`` and ``rn``. The running sum is taken in three levels, (bar, part) then bar then series, so
     that neither a busy symbol nor a busy bar ends up in one task."""
     keys = list(KEYS)
@@ -63,12 +64,12 @@ def priced(ticks: DataFrame, scale: float) -> DataFrame:
         .join(per_bar, [*keys, "ts"])
         .select(*keys, "ts", "part", (F.col("_cp") + F.col("_cb")).alias("_carry"))
     )
-    w = Window.partitionBy(*keys, "ts", "part").orderBy("ord")
+    w = Window.partitionBy(*keys, "ts", "part").orderBy(*order)
     run = F.sum("inc").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return (
         ticks.join(carry, [*keys, "ts", "part"])
         .select(
-            *keys, "ts", "part", "qty", "ord",
+            *keys, "ts", "part", "qty", *order,
             F.row_number().over(w).alias("rn"),
             (100 * F.exp((run + F.col("_carry")) * F.lit(scale))).alias("px"),
         )
@@ -77,7 +78,7 @@ def priced(ticks: DataFrame, scale: float) -> DataFrame:
 
 def to_bars(ticks: DataFrame) -> DataFrame:
     """Ticks with ``px`` to OHLCV, six decimals; partial aggregation runs before the second shuffle."""
-    at = F.struct("part", "rn")
+    at = F.shiftleft("part", 32) + F.col("rn")  # one number, so that the aggregation hashes instead of sorting
 
     def r6(c: Column) -> Column:
         return F.round(c, 6)
@@ -92,11 +93,11 @@ def to_bars(ticks: DataFrame) -> DataFrame:
 
 
 def lineitem_bars(spark, sf_dir, symbol="l_returnflag") -> DataFrame:
-    return to_bars(priced(lineitem_ticks(spark, sf_dir, symbol), 1 / 400))
+    return to_bars(priced(lineitem_ticks(spark, sf_dir, symbol), 1 / 400, LINE_ORDER))
 
 
 def event_bars(spark, sf_dir) -> DataFrame:
-    return to_bars(priced(event_ticks(spark, sf_dir), 2e-6))
+    return to_bars(priced(event_ticks(spark, sf_dir), 2e-6, EVENT_ORDER))
 
 
 _kept: dict[tuple, DataFrame] = {}
