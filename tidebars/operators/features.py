@@ -184,7 +184,9 @@ def with_zscores(df: DataFrame, cols=FEATURES, width: int = 252, keys=KEYS, bloc
             x = table.column(c).to_numpy(zero_copy_only=False).astype(float)
             z = _zscore(x, width)
             table = table.append_column(f"{c}_z", pa.array(z, mask=np.isnan(z)))
-        return table
+        # times come in under the session's zone name and must go back under UTC
+        utc = [f.with_type(pa.timestamp("us", "UTC")) if pa.types.is_timestamp(f.type) and f.type.tz else f for f in table.schema]
+        return table.cast(pa.schema(utc))
 
     return owned(d.groupBy(*keys, "blk", "more").applyInArrow(score, schema))
 
