@@ -178,3 +178,37 @@ def test_exact_quantiles(spark):
     got = ft.quantiles(spark.createDataFrame(pdf), ["k"], "x", [0.0, 0.25, 0.5, 0.975, 1.0]).toPandas()
     for _, row in got.iterrows():
         np.testing.assert_allclose(row["value"], np.quantile(pdf.x[pdf.k == row["k"]], row["prob"]), rtol=1e-12)
+
+
+def test_a_hot_series_is_split(spark):
+    """One symbol holds most rows; no window partition is larger than a block with its halo."""
+    pdf = pd.concat([walk(5000, 1, symbol="hot"), *[walk(40, k, symbol=f"s{k}") for k in range(2, 20)]])
+    d = bl.halo(spark.createDataFrame(pdf), 60, 256)
+    sizes = d.groupBy("symbol", "blk").count().toPandas()
+    assert sizes["count"].max() <= 256 + 60 and (sizes["symbol"] == "hot").sum() == 20
+    assert bl.owned(d).count() == len(pdf)
+
+
+def test_ticks_of_a_hot_day_are_split(spark):
+    """Many ticks of one symbol on one day: parts are numbered separately and the bar is the same."""
+    from tidebars.sources import ticks as tk
+
+    rng = np.random.default_rng(3)
+    n = 4000
+    pdf = pd.DataFrame({
+        "symbol": np.where(rng.uniform(size=n) < 0.8, "hot", "cold"), "timeframe": "1d", "ts": pd.Timestamp("2020-01-01") + pd.to_timedelta(rng.integers(0, 2, n), "D"),
+        "k": np.arange(n), "inc": rng.integers(-5, 6, n), "qty": 1.0,
+    })
+    d = spark.createDataFrame(pdf).repartition(6)
+    bars = {}
+    for size in (50, 10**6):
+        t = d.withColumn("part", F.expr(f"k div {size}"))
+        bars[size] = tk.to_bars(tk.priced(t, 1 / 400, ["k"])).orderBy("symbol", "ts").toPandas()
+        most = t.groupBy("symbol", "ts", "part").count().agg(F.max("count")).first()[0]
+        assert size > 50 or most <= 50
+    same(bars[50], bars[10**6], ["open", "high", "low", "close", "volume"], rtol=0, atol=0)
+    for sym, g in pdf.sort_values(["ts", "k"]).groupby("symbol"):
+        px = 100 * np.exp(g["inc"].cumsum() / 400)
+        want = px.groupby(g["ts"]).agg(["first", "max", "min", "last"]).round(6)
+        got = bars[50][bars[50].symbol == sym][["open", "high", "low", "close"]].to_numpy()
+        np.testing.assert_allclose(got, want.to_numpy(), atol=2e-6)

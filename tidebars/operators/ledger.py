@@ -36,19 +36,17 @@ def stop_exits(sig: DataFrame, keys, block: int | None = None) -> DataFrame:
     """Bars at which a trailing stop closes the position: (keys, i).
 
     Each holding period is folded on its own: the peak starts at the entry close and follows new highs; a
-    close more than ``stop`` below it exits, and the next bar enters anew with a fresh peak. Only periods
-    whose running drawdown reaches their stop at all are gathered.
+    close more than ``stop`` below it exits, and the next bar enters anew with a fresh peak. A period is a
+    stretch of one series under one config, two numbers per bar.
     """
-    from pyspark.sql import Window
-
     keys = list(keys)
     held = holding_start(sig, keys, block).where((F.col("sig") > 0) & F.col("stop").isNotNull())
-    # A period that stays above (1 - stop) * its own overall high can never be stopped.
-    ext = held.groupBy(*keys, "held_from").agg(F.max("close").alias("_hi"), F.min("close").alias("_lo"), F.max("stop").alias("_st"))
-    risky = ext.where((F.col("_hi") - F.col("_lo")) / F.col("_hi") > F.col("_st")).select(*keys, "held_from")
-    periods = held.join(risky, [*keys, "held_from"], "left_semi").groupBy(*keys, "held_from").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("i").cast("bigint").alias("i"), "close"))).alias("bars"), F.max("stop").alias("stop")
+    periods = held.groupBy(*keys, "held_from").agg(
+        F.collect_list(F.struct(F.col("i").cast("bigint").alias("i"), "close")).alias("bars"),
+        F.max("close").alias("_hi"), F.min("close").alias("_lo"), F.max("stop").alias("stop"),
     )
+    # a period that stays within ``stop`` of its own high can never be stopped: nothing to fold
+    periods = periods.where((F.col("_hi") - F.col("_lo")) / F.col("_hi") > F.col("stop")).withColumn("bars", F.array_sort("bars"))
     zero = F.struct(F.lit(None).cast("double").alias("peak"), F.array().cast("array<bigint>").alias("exits"))
 
     def step(acc, b):
