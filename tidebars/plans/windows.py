@@ -208,10 +208,14 @@ def tensor(spark, sf):
     )
 
 
-@Q.add("e_all_features")
+_PARTS = ["e1_simple_return", "e2_log_return", "e3_rolling_vol", "e4_ewma_vol", "e6_rsi", "e7_macd", "e8_bollinger_width", "e9_cci", "e10_adx", "e11_atr"]
+_DIGITS = {c: 8 for c in (*ft.RETURNS, "bb_width")}
+
+
+@Q.add("e_all_features", "SELECT * FROM " + " JOIN ".join(f"({Q[p][1]}) AS f{k}{' USING (symbol, d)' if k else ''}" for k, p in enumerate(_PARTS)))
 def all_features(spark, sf):
     d = ft.with_features(daily(spark, sf))
-    return d.select("symbol", day().alias("d"), *[r(c).alias(c) for c in ft.FEATURES])
+    return d.select("symbol", day().alias("d"), *[r(c, _DIGITS.get(c, 6)).alias(c) for c in ft.FEATURES])
 
 
 @Q.add("e25_walk_forward", o.daily(
