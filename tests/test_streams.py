@@ -55,12 +55,19 @@ def test_late_and_repeated_ticks_are_dropped(spark):
 
 
 def test_resumed_position_stops_on_its_peak(spark):
-    bars = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=3), "high": [100.0, 90, 80], "low": [100.0, 90, 80], "close": [100.0, 90, 80]})
+    """Both symbols come back long in an uptrend at a close of 100; only the one last seen at 120 is stopped (15 %)."""
+    bars = pd.concat([pd.DataFrame({"symbol": x, "ts": pd.date_range("2024-01-01", periods=2), "high": 100.0, "low": 100.0, "close": 100.0}) for x in ("far", "near", "flat")])
     inbox, out, state = new("in"), new("out"), new("state")
     spark.createDataFrame(bars).write.parquet(inbox)
-    held = spark.createDataFrame([("A", 5.0, 120.0)], "symbol string, qty double, last_price double")
+    up = [float(x) for x in np.linspace(80, 99, 80)]
+    down = up[::-1]
+    held = spark.createDataFrame(
+        [("far", 5.0, 120.0, 400, up, 2.0), ("near", 5.0, 102.0, 400, up, 2.0), ("flat", 5.0, 102.0, 400, down, 2.0)],
+        "symbol string, qty double, last_price double, i bigint, smooth array<double>, atr double",
+    )
     st.drain(live.live_signals(spark.readStream.schema(SCHEMA).parquet(inbox), held=held), out, state)
-    assert spark.read.parquet(out).count() == 3
+    got = spark.read.parquet(out).where("i = 401").toPandas().set_index("symbol")["sig"].to_dict()
+    assert got == {"far": 0.0, "near": 1.0, "flat": 0.0}
 
 
 def test_orders_of_a_batch(spark):

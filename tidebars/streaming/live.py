@@ -119,10 +119,16 @@ class LiveProcessor(StatefulProcessor):
         self.state.update(tuple(st[k] for k in self.names))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """A position held before the stream began: its peak starts at the last price."""
-        st = fresh()
-        qty, px = float(initialState["qty"].iloc[0]), float(initialState["last_price"].iloc[0])
-        st["held"], st["peak"] = (1.0, px) if qty > 0 else (0.0, 0.0)
+        """A position held before the stream began: its peak starts at the last price.
+
+        With ``i``, ``smooth`` (recent filtered prices) and ``atr`` the signal goes on from there; without them it
+        is flat until the stream has brought enough bars, which closes the position.
+        """
+        st, row = fresh(), initialState.iloc[0]
+        px = float(row["last_price"])
+        st["held"], st["peak"] = (1.0, px) if float(row["qty"]) > 0 else (0.0, 0.0)
+        if "smooth" in initialState.columns:
+            st |= dict(i=int(row["i"]), smooth=[float(x) for x in row["smooth"]], atr=float(row["atr"]), last_close=px, filter=[px, 0.0, P0, 0.0, P0])
         self._save(st)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -138,7 +144,8 @@ class LiveProcessor(StatefulProcessor):
 
 
 def live_signals(bars: DataFrame, cfg: Settings = Settings(), held: DataFrame | None = None) -> DataFrame:
-    """Signals of a bar stream (symbol, ts, high, low, close). ``held`` (symbol, qty, last_price) resumes positions."""
+    """Signals of a bar stream (symbol, ts, high, low, close). ``held`` (symbol, qty, last_price and, to go on
+    with the signal at once, i, smooth, atr) resumes positions."""
     bars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return bars.groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=LiveProcessor(cfg), outputStructType=OUTPUT, outputMode="Append", timeMode="None",
