@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm.common import bit_filter, cut, documents, filled, grams, map_arrow, passes, raw, slices, stored, word_hashes
+from tidebars.llm.common import NO_ID, bit_filter, cut, documents, filled, grams, map_arrow, passes, raw, row_key, slices, stored, word_hashes
 
 WINDOW = 10
 GRAM = 5
@@ -114,7 +114,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
             found, n = anchors(raw(part.column("text")), window, gram, short, False, lambda h: passes(words, h, filter_bits))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("k1", "k2", "doc_id")), pa.array(n, pa.int64()), pa.array(found, _ANCHOR_TYPE)], ["k1", "k2", "doc_id", "n_words", "anchors"])
 
-    keyed = docs.select(F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(filled(text)).alias("k2"), F.col(doc_id).cast("long").alias("doc_id"), filled(text).alias("text"))
+    keyed = docs.select(*row_key(doc_id, text), F.col(doc_id).cast("long").alias("doc_id"), filled(text).alias("text"))
     rows = cut(map_arrow(keyed, doc_rows, f"k1 long, k2 long, doc_id long, n_words long, anchors {_ANCHOR}"))
     near = rows.select("k1", "k2", F.explode("anchors").alias("d")).select("k1", "k2", "d.h", "d.size", "d.at", F.col("d.back").alias("d_back"), F.col("d.words").alias("d_words"))
     pairs = near.join(marks, ["h", "size"]).select("k1", "k2", "at", "item_id", "size", "d_back", "d_words", "i_back", "i_words")
@@ -140,6 +140,13 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         F.coalesce("item_ids", none).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
+def without_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that no benchmark window hits. Only the keys of hit documents, stored with their size known, meet the texts."""
+    bad = stored(contamination(docs, items).filter("contaminated").select("k1", "k2").distinct(), "contaminated")
+    keyed = docs.withColumns({"_k1": F.coalesce(F.col("doc_id"), F.lit(NO_ID)), "_k2": F.xxhash64(filled("text"))})
+    return keyed.join(bad, (F.col("_k1") == bad.k1) & (F.col("_k2") == bad.k2), "left_anti").drop("_k1", "_k2")
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
