@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm.common import cut, documents, filled, map_arrow, raw, row_key, slices
+from tidebars.llm.common import cut, documents, filled, map_arrow, raw, row_key, slices, stored
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -37,7 +37,8 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("k1", "k2", "doc_id")), pa.array(keys, pa.list_(pa.binary()))], ["k1", "k2", "doc_id", "keys"])
 
     held = cut(map_arrow(docs, run, "k1 long, k2 long, doc_id long, keys array<binary>")).select("k1", "k2", "doc_id", F.explode("keys").alias("key"))
-    often = held.groupBy("key").agg(F.count("*").alias("holders"), F.max("doc_id").alias("last_id")).filter(F.col("holders") >= least_docs)
+    # stored, so that the join below has a shuffle on either side, whose large partitions Spark may split, or broadcasts a side known to be small
+    often = stored(held.groupBy("key").agg(F.count("*").alias("holders"), F.max("doc_id").alias("last_id")).filter(F.col("holders") >= least_docs), "repeated-lines")
     lost = held.join(often, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last_id")))
     return lost.groupBy("k1", "k2").agg(F.collect_set("key").alias("lost"))
 
