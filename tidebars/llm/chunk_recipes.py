@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm.common import cut, documents, filled, map_arrow, raw, slices
+from tidebars.llm.common import cut, documents, filled, map_arrow, raw, slices, stored
 
 #: Bytes of an identifier, tried in this order until all are verified.
 WIDTHS = (16, 32, 64)
@@ -93,8 +93,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     else:
         raise ValueError("chunk identifiers of all widths collide")
     made = cut(recipes(docs, doc_id, text, width, sizes))
-    groups = made.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return made.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # recipes that occur twice, stored: the join then has a shuffle on either side, whose large partitions Spark may split
+    groups = stored(made.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"), "repeated-recipes")
+    alone = F.col("group_size").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return made.join(groups, "recipe", "left").select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
 
 
 def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
