@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm.common import bit_filter, cut, documents, filled, grams, map_arrow, mix, passes, raw, slices, weights, word_hashes
+from tidebars.llm.common import bit_filter, cut, documents, filled, grams, map_arrow, mix, passes, raw, slices, stored, weights, word_hashes
 
 WORDS = 5
 #: The similarity as a fraction, so that comparisons are in whole numbers.
@@ -178,9 +178,10 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), filled(text).alias("text"))
     rows = cut(prefixes(texts, token_sketch(texts.select("text"))))
     named = rows.filter("doc_id is not null and digest is not null")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("members"))
+    # what is summed by a key is stored before it is joined by that key: then both sides are shuffled, and Spark may split large partitions
+    classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")), "classes")
     entries = named.withColumnRenamed("doc_id", "head").join(classes, ["digest", "head"]).select(F.col("head").alias("id"), F.col("n_shingles").cast("int").alias("n"), F.posexplode("tokens").alias("at", "token"))
-    lists = entries.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    lists = stored(entries.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"), "lists")
     met = cut(entries.join(lists, "token"))
     first = met.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).union(met.filter("id < high and id > low").select(F.col("id").alias("a"), F.col("high").alias("b"))).distinct()
     texts_by_id = texts.filter("doc_id is not null")
@@ -194,7 +195,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         return near if low == "low" else near.select(F.col("q").alias("p"), F.col("p").alias("q"), "far")
 
     placed = met.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token")
+    mixed = stored(placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token"), "mixed-lists")
     to_leader = distance("low").withColumnRenamed("p", "low").withColumnRenamed("q", "id")
     open_rows = cut(placed.join(mixed, "token").join(to_leader, ["low", "id"], "left").select("token", "id", "n", "at", "component", "low", F.when(F.col("id") == F.col("low"), 0.0).otherwise(F.col("far")).alias("far")))
     grow = math.log(BLOCK_GROWTH)
@@ -212,7 +213,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     more = compared(texts_by_id, rest).filter(is_link()).select("a", "b") if not rest.isEmpty() else links.limit(0)
     links = cut(links.union(more))
     # rows of one id, and members of one class, are tied without comparison
-    ties = named.join(classes, "digest").filter("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    ties = named.select("doc_id", "digest").join(classes.filter("members > 1"), "digest").filter("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     whole = components(links.union(ties))
     return rows.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

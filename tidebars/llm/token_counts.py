@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm.common import NO_ID, cut, documents, filled, kept_in_worker, map_arrow, raw, shared_path, slices
+from tidebars.llm.common import NO_ID, cut, documents, filled, kept_in_worker, map_arrow, raw, shared_path, slices, stored
 
 _CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Pieces that a worker remembers at most; beyond it starts anew.
@@ -88,7 +88,7 @@ def token_counts(docs: DataFrame, path: str, cache_path: str, doc_id: str = "doc
     digest = F.unhex(F.sha2("text", 256))
     texts = keyed.select("k1", form.alias("text")).join(misses, "k1").filter(F.col("content_digest") == digest).select("content_digest", "text")
     encoded(texts, path, by_pieces).withColumn("tokenizer_digest", F.lit(version)).select("content_digest", "tokenizer_digest", "n_tokens").write.mode("append").parquet(cache_path)
-    return known.join(cached(), "content_digest").select("doc_id", "n_bytes", "n_tokens")
+    return known.join(stored(cached(), "token-counts"), "content_digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op3_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
