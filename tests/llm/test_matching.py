@@ -162,3 +162,12 @@ def test_bit_filter_loses_nothing(spark):
     have = [(int(x),) for x in np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)]
     w = bit_filter(spark.createDataFrame(have, "h long"), "h", 12)
     assert passes(w, np.array(have, np.int64)[:, 0].view(np.uint64), 12).all() and 0 < np.unpackbits(w.view(np.uint8)).sum() <= 500
+
+
+def test_hot_lists_give_the_same(make, prose, monkeypatch):
+    """With every token listed apart, and with none, lists are the same."""
+    rows = [(n, f"{prose(30, n % 9)} {prose(3, 100 + n)}") for n in range(60)]
+    want = expected_components(rows)
+    for hot in (-(10**9), 10**9):
+        monkeypatch.setattr(sj.prefixes, "__defaults__", (hot,))
+        assert sorted(map(tuple, sj.linked(make(rows)).collect()), key=repr) == want

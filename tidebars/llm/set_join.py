@@ -33,6 +33,8 @@ WORDS = 5
 SIMILAR = (4, 5)
 SKETCH_BITS, PIECE_BITS = 21, 15
 FILTER_BITS = 23
+#: A token that this many more documents hold than a sketch counter has on average is listed apart.
+HOT = 10_000
 #: Block edges grow by this factor of the set size.
 BLOCK_GROWTH = 1.05
 
@@ -96,21 +98,97 @@ def token_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
 
 
-def prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty) and the first tokens in the global order. docs: doc_id, text."""
+def prefixes(docs: DataFrame, sketch: np.ndarray, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, digest of the set (null if empty), its first tokens in the global order, and how many of them (all that come before
+    the rest) are not hot. docs: doc_id, text."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
-    bits = len(sketch).bit_length() - 1
+    bits, limit = len(sketch).bit_length() - 1, float(sketch.mean()) + hot
 
     def run(batches):
         for part in slices(batches, "text"):
-            n, digests, tokens = [], [], []
+            n, digests, tokens, cold = [], [], [], []
             for s in shingle_sets(raw(part.column("text"))):
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                tokens.append(s[np.argsort(sent.value[s >> np.uint64(64 - bits)], kind="stable")[: prefix_size(len(s))]].view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "tokens"])
+                counts = sent.value[s >> np.uint64(64 - bits)]
+                order = np.argsort(counts, kind="stable")[: prefix_size(len(s))] if len(s) else []
+                tokens.append(s[order].view(np.int64))
+                cold.append(int(np.count_nonzero(counts[order] <= limit)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(cold, pa.int32())], ["doc_id", "n_shingles", "digest", "tokens", "cold"])
 
-    return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, tokens array<long>")
+    return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, tokens array<long>, cold int")
+
+
+def index_entries(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """token, id, n, at, hot: one row for each prefix token of each class, under its smallest doc_id.
+
+    Documents that are not their class's head are few beside all; their ids are put into a bit array, and only rows that it lets through are
+    joined with the classes. All others are heads, and their tokens do not move here.
+    """
+    rest = rows.join(classes.filter("members > 1").select("digest", "head"), "digest").filter("doc_id != head").select(F.xxhash64("doc_id").alias("h"))
+    words = bit_filter(rest, "h", FILTER_BITS)
+    hashed = rows.withColumn("h", F.xxhash64("doc_id"))
+
+    def heads(batches):
+        for batch in batches:
+            hit = passes(words, batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64), FILTER_BITS)
+            got = batch.filter(pa.array(~hit))
+            for a in range(0, got.num_rows, 500):
+                yield _exploded(got.slice(a, 500))
+
+    def others(batches):
+        for batch in batches:
+            hit = passes(words, batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64), FILTER_BITS)
+            yield batch.filter(pa.array(hit)).select(names)
+
+    names = rows.columns
+    kind = "token long, id long, n int, at int, hot boolean"
+    doubtful = map_arrow(hashed, others, rows.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    found = doubtful.withColumnRenamed("doc_id", "head").join(classes, ["digest", "head"]).select(F.col("head").alias("id"), F.col("n_shingles").cast("int").alias("n"), "cold", F.posexplode("tokens").alias("at", "token"))
+    return map_arrow(hashed, heads, kind).unionByName(found.select("token", "id", "n", "at", (F.col("at") >= F.col("cold")).alias("hot")))
+
+
+def _exploded(rows: pa.RecordBatch) -> pa.RecordBatch:
+    lists = rows.column("tokens")
+    size = np.diff(lists.offsets.to_numpy())
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    each = lambda c: np.repeat(rows.column(c).to_numpy(zero_copy_only=False), size)
+    return pa.RecordBatch.from_arrays([lists.flatten(), pa.array(each("doc_id")), pa.array(each("n_shingles").astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(at >= each("cold"))], ["token", "id", "n", "at", "hot"])
+
+
+def index_lists(entries: DataFrame) -> DataFrame:
+    """Entries of lists with two sets or more, each with the list's smallest and largest id (low, high).
+
+    Lists of ordinary tokens are read in order, a batch at a time, after one shuffle by token. Hot tokens' lists may hold a large share of all
+    documents: they are summed before a shuffle, and joined back where Spark may split them.
+    """
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch] if kept is None else [kept, batch]).combine_chunks().to_batches()[0]
+            token = now.column("token").to_numpy()
+            start = np.flatnonzero(np.diff(token, prepend=token[0] - 1))
+            yield _shared(now.slice(0, start[-1]), start[:-1])
+            kept = now.slice(start[-1])
+        if kept is not None:
+            yield _shared(kept, np.array([0]))
+
+    kind = "token long, id long, n int, at int, low long, high long"
+    plain = map_arrow(entries.filter("not hot").drop("hot").repartition("token").sortWithinPartitions("token", "id"), run, kind)
+    hot = entries.filter("hot").drop("hot")
+    ends = stored(hot.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"), "hot-lists")
+    return plain.unionByName(hot.join(ends, "token"))
+
+
+def _shared(rows: pa.RecordBatch, start: np.ndarray) -> pa.RecordBatch:
+    """Rows of runs with two ids or more; ``start``: where the runs of one token begin."""
+    ids = rows.column("id").to_numpy()
+    size = np.diff(start, append=len(ids))
+    low, high = (ids[start], ids[start + size - 1]) if len(ids) else (ids, ids)
+    keep = np.repeat(low < high, size)
+    out = rows.filter(pa.array(keep))
+    return pa.RecordBatch.from_arrays([*out.columns, pa.array(np.repeat(low, size)[keep]), pa.array(np.repeat(high, size)[keep])], ["token", "id", "n", "at", "low", "high"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -180,9 +258,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     named = rows.filter("doc_id is not null and digest is not null")
     # what is summed by a key is stored before it is joined by that key: then both sides are shuffled, and Spark may split large partitions
     classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")), "classes")
-    entries = named.withColumnRenamed("doc_id", "head").join(classes, ["digest", "head"]).select(F.col("head").alias("id"), F.col("n_shingles").cast("int").alias("n"), F.posexplode("tokens").alias("at", "token"))
-    lists = stored(entries.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"), "lists")
-    met = cut(entries.join(lists, "token"))
+    met = cut(index_lists(index_entries(named, classes)))
     first = met.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).union(met.filter("id < high and id > low").select(F.col("id").alias("a"), F.col("high").alias("b"))).distinct()
     texts_by_id = texts.filter("doc_id is not null")
     known = cut(compared(texts_by_id, first))
