@@ -62,8 +62,11 @@ def test_block_scan_equals_plain_windows(walks, block):
 def test_decayed_sums_over_many_runs(spark, monkeypatch):
     monkeypatch.setattr(bl, "SUB", 16)
     pdf = walk(400, 5)
-    d = bl.halo(spark.createDataFrame(pdf), bl.reach_of(0.9), 64)
-    got = frame(bl.owned(bl.decayed_sums(d, {"y": (F.col("close"), 0.9)})), "i")
+    for block in (64, 50, 4096):
+        check(frame(bl.decayed_sums(spark.createDataFrame(pdf), {"y": (F.col("close"), 0.9)}, block=block), "i"), pdf)
+
+
+def check(got, pdf):
     y, want = 0.0, []
     for c in pdf["close"]:
         y = 0.9 * y + c
@@ -71,10 +74,64 @@ def test_decayed_sums_over_many_runs(spark, monkeypatch):
     np.testing.assert_allclose(got["y"], want, rtol=1e-12)
 
 
+def plain_features(pdf):
+    """The exponential and Wilder averages as loops over the rows."""
+    h, l, c = (pdf[k].to_numpy() for k in ("high", "low", "close"))
+    n = len(c)
+    out = {k: np.full(n, np.nan) for k in ("rsi_14", "macd", "macd_signal", "dx_30", "atr_14", "vol_ewma")}
+    g = ls = sig = atr = ax = s0 = s1 = s2 = ss = 0.0
+    f = s = c[0]
+    tr = np.r_[h[0] - l[0], np.maximum(h[1:] - l[1:], np.maximum(abs(h[1:] - c[:-1]), abs(l[1:] - c[:-1])))]
+    up, dn = np.diff(h), -np.diff(l)
+    moves = [np.r_[0.0, np.where((up > dn) & (up > 0), up, 0.0)], np.r_[0.0, np.where((dn > up) & (dn > 0), dn, 0.0)], tr]
+    m, dx = [0.0] * 3, np.zeros(n)
+    for k in range(n):
+        d = c[k] - c[k - 1] if k else 0.0
+        g, ls = (g * 13 + max(d, 0)) / 14, (ls * 13 + max(-d, 0)) / 14
+        if k >= 13:
+            out["rsi_14"][k] = 100 - 100 / (1 + g / ls) if ls else 100.0
+            atr = tr[:14].mean() if k == 13 else (atr * 13 + tr[k]) / 14
+            out["atr_14"][k] = atr
+        if k:
+            f, s = f * 11 / 13 + c[k] * 2 / 13, s * 25 / 27 + c[k] * 2 / 27
+            x, a = np.log(c[k] / c[k - 1]), 29 / 31
+            s0, s1, s2, ss = s0 * a + 1, s1 * a + x, s2 * a + x * x, ss * a * a + 1
+            if k > 1:
+                out["vol_ewma"][k] = np.sqrt(max(s2 / s0 - (s1 / s0) ** 2, 0) * s0 * s0 / (s0 * s0 - ss))
+        if k >= 25:
+            out["macd"][k] = f - s
+            sig = f - s if k == 25 else sig * 0.8 + (f - s) * 0.2
+            if k >= 33:
+                out["macd_signal"][k] = sig
+        if k >= 30:
+            m = [v[1:31].mean() if k == 30 else (y * 29 + v[k]) / 30 for y, v in zip(m, moves)]
+            p, q = (m[0] / m[2], m[1] / m[2]) if m[2] else (0.0, 0.0)
+            dx[k] = 100 * abs(p - q) / (p + q) if p + q else 0.0
+            if k >= 59:
+                ax = dx[30:60].mean() if k == 59 else (ax * 29 + dx[k]) / 30
+                out["dx_30"][k] = ax
+    return pd.DataFrame(out)
+
+
+def test_long_series_with_a_flat_stretch(spark):
+    """50,000 bars, 5,000 of them without a move, at the default block and at others, against a loop over the rows."""
+    pdf = walk(50_000, 11, vol=0.002)
+    for c in ("open", "high", "low", "close"):
+        pdf.loc[14_000:18_999, c] = pdf.loc[13_999, "close"]
+    pdf["ts"] = pd.date_range("2020-01-01", periods=len(pdf), freq="min")
+    series, want = spark.createDataFrame(pdf).repartition(8), plain_features(pdf)
+    for block in (None, 4096, 3000):
+        got = frame(ft.with_features(series, block=block), "i")
+        assert len(got) == len(pdf)
+        for c in want:
+            np.testing.assert_allclose(got[c].astype(float), want[c], rtol=1e-6, atol=1e-9, err_msg=f"{c} {block}")
+
+
 def test_features_do_not_depend_on_blocks(walks):
     a = frame(ft.with_features(walks), "symbol", "i")
-    b = frame(ft.with_features(walks, block=128), "symbol", "i")
-    same(a, b, ft.FEATURES, rtol=1e-8, atol=1e-8)
+    for block in (128, 33):
+        b = frame(ft.with_features(walks, block=block), "symbol", "i")
+        same(a, b, ft.FEATURES, rtol=1e-8, atol=1e-8)
 
 
 def test_zscores_and_tensor_do_not_depend_on_blocks(walks):
@@ -132,17 +189,38 @@ def test_order_of_input_rows_does_not_matter(walks):
     same(m(walks.repartition(1)), m(walks.repartition(7, "close")), mt.METRICS)
 
 
-def test_summaries_of_one_block_series_read_nothing(walks):
-    """The branch that carries block totals is filtered below its windows, not after them."""
-    d = bl.block_scan(bl.owned(bl.halo(walks, 3).withColumn("m", F.avg("close").over(bl.rows(-3)))), {"s": ("sum", F.col("m"))})
-    plan = d._jdf.queryExecution().optimizedPlan().toString()
-    depth = {}
-    for k, line in enumerate(plan.splitlines()):
-        if "more" in line and "Filter" in line:
-            depth.setdefault("filter", k)
-    assert "filter" in depth
-    below = plan.splitlines()[depth["filter"]:]
-    assert any("Generate" in x or "explode" in x for x in below)
+def test_plans_do_not_depend_on_length_or_multiply(walks):
+    """Filter, crossover, ledger and metrics: as many exchanges and scans for one block as for many, and no more for a longer chain."""
+    def size(df):
+        plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Scan ExistingRDD"), plan.count("Exchange")
+
+    cfg = [sg.Config("a", 5, 20, 2.0)]
+    single = lambda k: lg.single(sg.crossover(dn.denoise(walks, block=k), cfg, "kalman_price", start=60, block=k), start=60, block=k)
+    assert size(single(None)) == size(single(40))
+    one, two = size(mt.with_drawdown(single(40), CK, block=40)), size(mt.with_drawdown(mt.with_drawdown(single(40), CK, block=40).drop("peak", "dd"), CK, block=40))
+    assert one == two
+
+
+def test_a_position_that_never_closes(spark):
+    """One holding period of 100,000 bars with stops, in batches of 1,000 rows."""
+    pdf = walk(100_000, 8, vol=0.004)
+    d = spark.createDataFrame(pdf).withColumns({"config_id": F.lit("c"), "sig": F.lit(1.0), "prev_sig": F.when(F.col("i") == 1, 0.0).otherwise(1.0), "stop": F.lit(0.02)})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        got = sorted(r.i for r in lg.stop_exits(d, CK).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    peak, want = None, []
+    for i, p in zip(pdf["i"], pdf["close"]):
+        if peak is None:
+            peak = p
+            continue
+        peak = max(peak, p)
+        if (peak - p) / peak > 0.02:
+            want.append(i)
+            peak = None
+    assert got == want and len(want) > 50
 
 
 def test_hysteresis_is_the_state_machine(spark):

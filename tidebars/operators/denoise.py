@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.operators.blocks import _div, BLOCK, halo, owned, reach_of, with_blocks
-from tidebars.operators.features import WILDER14, add_atr, rows
+from tidebars.operators.blocks import _div, BLOCK, halo, owned, with_blocks
+from tidebars.operators.features import add_atr, rows
 from tidebars.session import KEYS
 
 # The three presets (process noise, measurement noise, adaptive) and the warm-up.
@@ -31,13 +31,13 @@ _ELEM = [f"e{k}" for k in range(14)]
 def noise_scale(series: DataFrame, period: int = 14, keys=KEYS, backfill: bool = False, block: int | None = None, atr: str = "atr") -> DataFrame:
     """Add ``atr`` for the adaptive noise. With ``backfill`` the first ``period - 1`` rows take the first
     value (this looks ahead); without it they keep the base noise."""
-    d = halo(series, reach_of(1 - 1 / period) + period, block)
-    d = add_atr(d, period, keys, atr)
+    d = add_atr(series, period, keys, atr, block)
     if backfill:
+        d = halo(d, 0, block)
         # rows before the seed are all in block 0, so a frame of period rows reaches the seed
         ahead = F.first(atr, ignorenulls=True).over(rows(0, period, keys))
-        d = d.withColumn(atr, F.coalesce(F.col(atr), ahead))
-    return owned(d)
+        d = owned(d.withColumn(atr, F.coalesce(F.col(atr), ahead)))
+    return d
 
 
 def scale_of(atr, r):
@@ -73,27 +73,41 @@ _H = np.array([1.0, 0.0])
 _I2 = np.eye(2)
 
 
-def _element(z, q, r):
-    qm = q * np.array([[0.25, 0.5], [0.5, 1.0]])
-    s = qm[0, 0] + r
-    k = qm[:, 0] / s
-    ikh = _I2 - np.outer(k, _H)
+def _elements(z, q, r):
+    """The filter steps of rows ``z`` as 2x2 elements, all rows at once."""
+    qm = q[:, None, None] * np.array([[0.25, 0.5], [0.5, 1.0]])
+    s = qm[:, 0, 0] + r
+    k = qm[:, :, 0] / s[:, None]
+    ikh = _I2 - k[:, :, None] * _H
     fh = _F.T @ _H
-    return ikh @ _F, k * z, ikh @ qm, fh * z / s, np.outer(fh, fh) / s
+    return ikh @ _F, k * z[:, None], ikh @ qm, z[:, None] * fh / s[:, None], np.outer(fh, fh) / s[:, None, None]
+
+
+def _inverse(m):
+    """Of 2x2 matrices with positive determinant."""
+    det = m[..., 0, 0] * m[..., 1, 1] - m[..., 0, 1] * m[..., 1, 0]
+    turned = np.stack([np.stack([m[..., 1, 1], -m[..., 0, 1]], -1), np.stack([-m[..., 1, 0], m[..., 0, 0]], -1)], -2)
+    return turned / det[..., None, None]
 
 
 def _compose(a, b):
+    """One element for element ``a`` followed by ``b``, over arrays of them."""
     a1, b1, c1, h1, j1 = a
     a2, b2, c2, h2, j2 = b
-    d = np.linalg.inv(_I2 + c1 @ j2)
-    e = d.T
-    return (
-        a2 @ d @ a1,
-        a2 @ d @ (b1 + c1 @ h2) + b2,
-        a2 @ d @ c1 @ a2.T + c2,
-        a1.T @ e @ (h2 - j2 @ b1) + h1,
-        a1.T @ e @ j2 @ a1 + j1,
-    )
+    on = lambda m, v: (m @ v[..., None])[..., 0]
+    t = lambda m: np.swapaxes(m, -1, -2)
+    d = _inverse(_I2 + c1 @ j2)
+    fwd, back = a2 @ d, t(a1) @ t(d)
+    return fwd @ a1, on(fwd, b1 + on(c1, h2)) + b2, fwd @ c1 @ t(a2) + c2, on(back, h2 - on(j2, b1)) + h1, back @ j2 @ a1 + j1
+
+
+def _total(elems):
+    """The element of all rows together, composed in pairs: one vector step for each doubling."""
+    while len(elems[0]) > 1:
+        n = len(elems[0]) // 2 * 2
+        pairs = _compose(tuple(x[0:n:2] for x in elems), tuple(x[1:n:2] for x in elems))
+        elems = tuple(np.concatenate([x, y[n:]]) for x, y in zip(pairs, elems))
+    return tuple(x[0] for x in elems)
 
 
 def _flat(elem):
@@ -133,9 +147,7 @@ def filtered(df: DataFrame, keys=KEYS, col: str = "close", q: str = "q", r: str
             _, state = _run(z, qs, rs, True, None)
             row |= dict(zip(_ELEM, [0.0] * 14)) | dict(zip(_STATE, state))
         else:
-            elem = _element(z[0], qs[0], rs[0])
-            for k in range(1, len(z)):
-                elem = _compose(elem, _element(z[k], qs[k], rs[k]))
+            elem = _total(_elements(z, qs, rs))
             row |= dict(zip(_ELEM, _flat(elem))) | dict(zip(_STATE, [0.0] * 5))
         return pd.DataFrame([row | {"n": n}])
 

@@ -1,20 +1,21 @@
 """Return, volatility and technical features as window columns over one exchange.
 
-``with_features`` copies the rows each block looks back on once, computes everything inside that one
-partitioning, and keeps owned rows. Warm-up rules: rolling frames that need a full window are NULL until it
+Rolling frames see the rows each block looks back on (one exchange); exponential averages carry exact sums from block to block. Warm-up rules: rolling frames that need a full window are NULL until it
 is filled; exponential averages start from the first value; Wilder averages start from the plain mean of the
 first ``period`` values; RSI averages start from 0 on the first bar and are shown from bar 14 on.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebars.operators.blocks import decayed_sums, halo, in_block, longest, owned, reach_of, rows
+from tidebars.operators.blocks import decayed_sums, halo, in_block, owned, rows
 from tidebars.session import KEYS
 
 # The two feature registries.
@@ -25,7 +26,8 @@ FEATURES = TECHNICAL + RETURNS
 EMA12, EMA26, EMA9 = 1 - 2 / 13, 1 - 2 / 27, 1 - 2 / 10
 WILDER14, WILDER30 = 13 / 14, 29 / 30
 EWM30 = 1 - 2 / 31
-LOOKBACK = 2 * reach_of(WILDER30) + 32
+#: Rows that rolling frames and lags look back on.
+LOOKBACK = 32
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -79,93 +81,123 @@ def ema_drive(x: Column, a: float, first: Column | int = 1) -> Column:
     return F.when(i > first, (1 - a) * x).when(i == first, x)
 
 
-def wilder_drive(col: str, period: int, start: int = 1, keys=KEYS) -> Column:
-    """Input for Wilder's average of rows ``start..``: the mean of the first ``period`` values is the seed."""
-    seed_at = start + period - 1
-    seed = F.avg(col).over(rows(1 - period, keys=keys))
-    i = F.col("i")
-    return F.when(i > seed_at, F.col(col) / period).when(i == seed_at, seed)
+def wilder_drive(x: Column, period: int, start: int = 1) -> Column:
+    """Input for Wilder's average of rows ``start..``: the mean of the first ``period`` values is the seed, which is reached
+    by giving each of those values the weight that the decay up to the seed takes away again."""
+    i, a, seed_at = F.col("i"), 1 - 1 / period, start + period - 1
+    return F.when(i > seed_at, x / period).when(i >= start, x / period * F.exp((i - seed_at) * math.log(a)))
+
+
+# Each average below is a part: columns made from a haloed frame, what is summed, and the columns that come out of the sums.
 
 
-def add_atr(df: DataFrame, period: int = 14, keys=KEYS, out: str = "atr_14", most: int | None = None) -> DataFrame:
-    d = df.withColumn("_tr", true_range(keys))
-    d = d.withColumn("_u", wilder_drive("_tr", period, keys=keys))
-    d = decayed_sums(d, {"_atr": (F.col("_u"), 1 - 1 / period)}, keys, most)
-    return d.withColumn(out, full(F.col("_atr"), period)).drop("_tr", "_u", "_atr")
+def _atr_part(d: DataFrame, keys, period: int = 14, out: str = "atr_14"):
+    d = d.withColumn("_tr", true_range(keys))
+    return d, {"_atr": (wilder_drive(F.col("_tr"), period), 1 - 1 / period)}, lambda x: x.withColumn(out, full(F.col("_atr"), period))
 
 
-def add_rsi(df: DataFrame, period: int = 14, keys=KEYS, out: str = "rsi_14", most: int | None = None) -> DataFrame:
+def _rsi_part(d: DataFrame, keys, period: int = 14, out: str = "rsi_14"):
     a = 1 - 1 / period
-    d = df.withColumn("_d", F.coalesce(F.col("close") - lag("close", keys=keys), F.lit(0.0)))
-    d = decayed_sums(
-        d,
-        {"_g": (F.greatest(F.col("_d"), F.lit(0.0)) / period, a), "_ls": (F.greatest(-F.col("_d"), F.lit(0.0)) / period, a)},
-        keys,
-        most,
-    )
+    d = d.withColumn("_d", F.coalesce(F.col("close") - lag("close", keys=keys), F.lit(0.0)))
+    sums = {"_g": (F.greatest(F.col("_d"), F.lit(0.0)) / period, a), "_ls": (F.greatest(-F.col("_d"), F.lit(0.0)) / period, a)}
     rsi = F.when(F.col("_ls") == 0, 100.0).otherwise(100 - 100 / (1 + ratio(F.col("_g"), F.col("_ls"))))
-    return d.withColumn(out, full(rsi, period)).drop("_d", "_g", "_ls")
+    return d, sums, lambda x: x.withColumn(out, full(rsi, period))
 
 
-def add_macd(df: DataFrame, keys=KEYS, most: int | None = None) -> DataFrame:
-    """Line from bar 26, signal and difference from bar 34; the signal average starts at bar 26."""
+def _macd_part(d: DataFrame, keys):
     c = F.col("close")
-    d = decayed_sums(df, {"_f": (ema_drive(c, EMA12), EMA12), "_s": (ema_drive(c, EMA26), EMA26)}, keys, most)
-    d = d.withColumn("macd", full(F.col("_f") - F.col("_s"), 26))
-    d = decayed_sums(d, {"_sig": (ema_drive(F.col("macd"), EMA9, 26), EMA9)}, keys, most)
-    return (
-        d.withColumn("macd_signal", full(F.col("_sig"), 34))
-        .withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
-        .drop("_f", "_s", "_sig")
-    )
+    sums = {"_f": (ema_drive(c, EMA12), EMA12), "_s": (ema_drive(c, EMA26), EMA26)}
+    return d, sums, lambda x: x.withColumn("macd", full(F.col("_f") - F.col("_s"), 26))
 
 
-def add_adx(df: DataFrame, period: int = 30, keys=KEYS, out: str = "dx_30", most: int | None = None) -> DataFrame:
-    """Wilder's index: directional moves and range from bar 2, averages from bar ``period+1``, the index
-    itself from bar ``2*period``."""
+def _adx_part(d: DataFrame, keys, period: int = 30):
     a = 1 - 1 / period
-    up = F.col("high") - lag("high", keys=keys)
-    dn = lag("low", keys=keys) - F.col("low")
-    d = df.withColumn("_up", up).withColumn("_dn", dn).withColumn("_tr", true_range(keys))
-    d = d.withColumn("_pdm", F.when((F.col("_up") > F.col("_dn")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0))
-    d = d.withColumn("_mdm", F.when((F.col("_dn") > F.col("_up")) & (F.col("_dn") > 0), F.col("_dn")).otherwise(0.0))
-    names = ["_pdm", "_mdm", "_tr"]
-    for c in names:
-        d = d.withColumn(f"{c}_u", wilder_drive(c, period, 2, keys))
-    d = decayed_sums(d, {f"{c}_y": (F.col(f"{c}_u"), a) for c in names}, keys, most)
-    p, m = ratio(F.col("_pdm_y"), F.col("_tr_y")), ratio(F.col("_mdm_y"), F.col("_tr_y"))
-    dx = F.coalesce(100 * ratio(F.abs(p - m), p + m), F.lit(0.0))
-    d = d.withColumn("_dx", full(dx, period + 1))
-    d = d.withColumn("_dx_u", wilder_drive("_dx", period, period + 1, keys))
-    d = decayed_sums(d, {"_adx": (F.col("_dx_u"), a)}, keys, most)
-    return d.withColumn(out, full(F.col("_adx"), 2 * period)).drop(
-        "_up", "_dn", "_dx", "_dx_u", "_adx", *names, *[f"{c}_u" for c in names], *[f"{c}_y" for c in names]
-    )
+    d = d.withColumn("_up", F.col("high") - lag("high", keys=keys)).withColumn("_dn", lag("low", keys=keys) - F.col("low")).withColumn("_rng", true_range(keys))
+    plus = F.when((F.col("_up") > F.col("_dn")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0)
+    minus = F.when((F.col("_dn") > F.col("_up")) & (F.col("_dn") > 0), F.col("_dn")).otherwise(0.0)
+    sums = {o: (wilder_drive(u, period, 2), a) for o, u in (("_pd", plus), ("_md", minus), ("_rd", F.col("_rng")))}
+    p, m = ratio(F.col("_pd"), F.col("_rd")), ratio(F.col("_md"), F.col("_rd"))
+    return d, sums, lambda x: x.withColumn("_dx", full(F.coalesce(100 * ratio(F.abs(p - m), p + m), F.lit(0.0)), period + 1))
 
 
-def add_ewma_vol(df: DataFrame, col: str = "return_log", span: int = 30, keys=KEYS, out: str = "vol_ewma", most: int | None = None) -> DataFrame:
-    """Bias-corrected deviation under weights that decay with ``1 - 2/(span+1)``; NULL for a single value."""
+def _ewma_part(d: DataFrame, keys, span: int = 30, out: str = "vol_ewma"):
     a = 1 - 2 / (span + 1)
-    x = F.col(col)
+    d = d.withColumn("_lr", log_return(keys=keys))
+    x = F.col("_lr")
     one = F.when(x.isNotNull(), 1.0)
-    d = decayed_sums(df, {"_s0": (one, a), "_s1": (x, a), "_s2": (x * x, a), "_ss": (one, a * a)}, keys, most)
-    s0, s1, s2, ss = (F.col(c) for c in ("_s0", "_s1", "_s2", "_ss"))
-    bias = s0 * s0 - ss
-    var = F.greatest(s2 / s0 - (s1 / s0) * (s1 / s0), F.lit(0.0)) * s0 * s0 / bias
-    # two values are needed; in a single one the bias term is rounding noise
-    return d.withColumn(out, F.when((F.col("i") > 2) & x.isNotNull(), F.sqrt(var))).drop("_s0", "_s1", "_s2", "_ss")
+    sums = {"_s0": (one, a), "_s1": (x, a), "_s2": (x * x, a), "_ss": (one, a * a)}
+    s0, s1, s2, ss = (F.col(c) for c in sums)
+    mean = ratio(s1, s0)
+    var = ratio(F.greatest(ratio(s2, s0) - mean * mean, F.lit(0.0)) * s0 * s0, s0 * s0 - ss)
+    # the value's own weight is 1, so more than that means a second value; with one, the bias term is rounding noise
+    return d, sums, lambda y: y.withColumn(out, F.when(x.isNotNull() & (s0 > 1 + 1e-12), F.sqrt(var)))
+
+
+def _second_macd():
+    sums = {"_sig": (ema_drive(F.col("macd"), EMA9, 26), EMA9)}
+    return sums, lambda x: x.withColumn("macd_signal", full(F.col("_sig"), 34)).withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
+
+
+def _second_adx(period: int = 30, out: str = "dx_30"):
+    sums = {"_adx": (wilder_drive(F.col("_dx"), period, period + 1), 1 - 1 / period)}
+    return sums, lambda x: x.withColumn(out, full(F.col("_adx"), 2 * period))
+
+
+def _summed(series: DataFrame, first, second, keys, block, also=lambda d: d) -> DataFrame:
+    """``series`` with the parts ``first``, and the parts ``second`` over what they give. One exchange for frames, one pass for each level."""
+    d, sums, ends = also(halo(series, LOOKBACK, block)), {}, []
+    have = [*series.columns, *[c for c in d.columns if c not in series.columns and c[0] != "_" and c not in ("blk", "more")]]
+    made = set(have)
+    for part in first:
+        d, s, end = part(d, keys)
+        sums |= s
+        ends.append(end)
+    d = decayed_sums(owned(d), sums, keys, block)
+    for end in ends:
+        d = end(d)
+    levels = [part() for part in second]
+    if levels:
+        d = decayed_sums(d, {o: s for sums, _ in levels for o, s in sums.items()}, keys, block)
+        for _, end in levels:
+            d = end(d)
+    new = [c for c in d.columns if c not in made and c[0] != "_" and c not in ("blk", "more")]
+    return d.select(*have, *new)
+
+
+def add_atr(series: DataFrame, period: int = 14, keys=KEYS, out: str = "atr_14", block: int | None = None) -> DataFrame:
+    return _summed(series, [lambda d, k: _atr_part(d, k, period, out)], [], keys, block)
+
+
+def add_rsi(series: DataFrame, period: int = 14, keys=KEYS, out: str = "rsi_14", block: int | None = None) -> DataFrame:
+    return _summed(series, [lambda d, k: _rsi_part(d, k, period, out)], [], keys, block)
+
+
+def add_macd(series: DataFrame, keys=KEYS, block: int | None = None) -> DataFrame:
+    """Line from bar 26, signal and difference from bar 34; the signal average starts at bar 26."""
+    return _summed(series, [_macd_part], [_second_macd], keys, block)
+
+
+def add_adx(series: DataFrame, period: int = 30, keys=KEYS, out: str = "dx_30", block: int | None = None) -> DataFrame:
+    """Wilder's index: directional moves and range from bar 2, averages from bar ``period+1``, the index
+    itself from bar ``2*period``."""
+    return _summed(series, [lambda d, k: _adx_part(d, k, period)], [lambda: _second_adx(period, out)], keys, block)
+
+
+def add_ewma_vol(series: DataFrame, span: int = 30, keys=KEYS, out: str = "vol_ewma", block: int | None = None) -> DataFrame:
+    """Bias-corrected deviation of log returns under weights that decay with ``1 - 2/(span+1)``; NULL for a single value."""
+    return _summed(series, [lambda d, k: _ewma_part(d, k, span, out)], [], keys, block)
 
 
 def with_features(series: DataFrame, keys=KEYS, block: int | None = None) -> DataFrame:
-    """All twelve features on indexed bars; one exchange."""
-    d = halo(series, LOOKBACK, block)
-    d = d.withColumn("return_simple", simple_return(keys=keys)).withColumn("return_log", log_return(keys=keys))
-    d = d.withColumn("vol_rolling_30", rolling_vol("return_log", 30, keys))
-    d = d.withColumn("bb_width", bollinger_width(keys=keys))
-    most = longest(series)
-    for add in (add_ewma_vol, add_rsi, add_macd, add_adx, add_atr):
-        d = add(d, keys=keys, most=most)
-    return owned(cci(d, keys=keys))
+    """All twelve features on indexed bars. One exchange for rolling frames, and two passes of block sums: the signal line and the
+    index of directional movement are averages of averages."""
+
+    def frames(d):
+        d = d.withColumn("return_simple", simple_return(keys=keys)).withColumn("return_log", log_return(keys=keys))
+        d = d.withColumn("vol_rolling_30", rolling_vol("return_log", 30, keys))
+        return cci(d.withColumn("bb_width", bollinger_width(keys=keys)), keys=keys)
+
+    return _summed(series, [_ewma_part, _rsi_part, _macd_part, _adx_part, _atr_part], [_second_macd, _second_adx], keys, block, frames)
 
 
 def with_zscores(df: DataFrame, cols=FEATURES, width: int = 252, keys=KEYS, block: int | None = None) -> DataFrame:

@@ -13,11 +13,12 @@ holding period at a time (``with_stops``).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.operators.blocks import block_scan, longest
+from tidebars.operators.blocks import block_scan, fold_in_order
 from tidebars.operators.features import ratio
 from tidebars.operators.signals import START
 from tidebars.session import KEYS, cut
@@ -32,40 +33,40 @@ def holding_start(sig: DataFrame, keys, block: int | None = None) -> DataFrame:
     return block_scan(sig, {"held_from": ("last", opened)}, keys, block)
 
 
-def stop_exits(sig: DataFrame, keys, block: int | None = None) -> DataFrame:
+def _names(df: DataFrame, keys) -> tuple[list[str], str]:
+    names = [f.name for f in df.schema if f.name in keys]
+    return names, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
+
+
+def stop_exits(sig: DataFrame, keys) -> DataFrame:
     """Bars at which a trailing stop closes the position: (keys, i).
 
-    Each holding period is folded on its own: the peak starts at the entry close and follows new highs; a
-    close more than ``stop`` below it exits, and the next bar enters anew with a fresh peak. A period is a
-    stretch of one series under one config, two numbers per bar.
+    The peak starts at the entry close and follows new highs; a close more than ``stop`` below it exits, and the next bar of
+    the holding period enters anew with a fresh peak. What is carried from bar to bar is the peak, so a position that never closes is no
+    larger than one that does.
     """
-    keys = list(keys)
-    held = holding_start(sig, keys, block).where((F.col("sig") > 0) & F.col("stop").isNotNull())
-    periods = held.groupBy(*keys, "held_from").agg(
-        F.collect_list(F.struct(F.col("i").cast("bigint").alias("i"), "close")).alias("bars"),
-        F.max("close").alias("_hi"), F.min("close").alias("_lo"), F.max("stop").alias("stop"),
-    )
-    # a period that stays within ``stop`` of its own high can never be stopped: nothing to fold
-    periods = periods.where((F.col("_hi") - F.col("_lo")) / F.col("_hi") > F.col("stop")).withColumn("bars", F.array_sort("bars"))
-    zero = F.struct(F.lit(None).cast("double").alias("peak"), F.array().cast("array<bigint>").alias("exits"))
+    held = sig.where((F.col("sig") > 0) & F.col("stop").isNotNull())
+    names, kinds = _names(held, keys)
+    slim = held.select(*names, F.col("i").cast("bigint").alias("i"), "close", "stop", (F.col("prev_sig") <= 0).alias("opened"))
 
-    def step(acc, b):
-        top = F.greatest(acc["peak"], b["close"])
-        hit = acc["peak"].isNotNull() & ((top - b["close"]) / top > F.col("stop"))
-        return F.struct(
-            F.when(~hit, top).alias("peak"),
-            F.when(hit, F.array_append(acc["exits"], b["i"])).otherwise(acc["exits"]).alias("exits"),
-        )
+    def fold(peak, pdf: pd.DataFrame):
+        at = []
+        for k, (p, stop, opened) in enumerate(zip(pdf["close"].tolist(), pdf["stop"].tolist(), pdf["opened"].tolist(), strict=True)):
+            if opened or peak is None or p >= peak:
+                peak = p
+            elif (peak - p) / peak > stop:
+                at.append(k)
+                peak = None
+        return peak, pdf[[*names, "i"]].iloc[at]
 
-    folded = periods.select(*keys, F.aggregate("bars", zero, step, lambda a: a["exits"]).alias("exits"))
-    return folded.select(*keys, F.explode("exits").alias("i"))
+    return fold_in_order(slim, names, "i", fold, f"{kinds}, i bigint")
 
 
 def with_stops(sig: DataFrame, keys, block: int | None = None) -> DataFrame:
     """Replace ``sig``/``prev_sig`` by the positions really held once trailing stops are applied."""
     keys = list(keys)
     sig = cut(sig)  # read several times below; recomputing the windows each time would cost more than one write
-    ex = cut(stop_exits(sig, keys, block))
+    ex = cut(stop_exits(sig, keys))
     marks = ex.select(*keys, "i", F.lit(1).alias("_now"), F.lit(0).alias("_then")).unionByName(
         ex.select(*keys, (F.col("i") + 1).alias("i"), F.lit(0).alias("_now"), F.lit(1).alias("_then"))
     ).groupBy(*keys, "i").agg(F.max("_now").alias("_now"), F.max("_then").alias("_then"))
@@ -83,9 +84,9 @@ def single(sig: DataFrame, keys=(*KEYS, "config_id"), capital: float = CAPITAL,
     ``h(P) = 1 + L*(P/e - 1) - L*b``, and ``h(P) - L*s*P/e`` on the exit bar. A value at or below zero makes
     the factor 0, so the product stays 0 from the ruin on.
     """
-    d, most = sig.where(F.col("i") >= start), longest(sig)
+    d = sig.where(F.col("i") >= start)
     opened = (F.col("sig") > 0) & (F.col("prev_sig") <= 0)
-    d = block_scan(d, {"entry": ("last", F.when(opened, F.col("close")))}, keys, block, most)
+    d = block_scan(d, {"entry": ("last", F.when(opened, F.col("close")))}, keys, block)
     lev, b, s = F.col("leverage"), F.col("buy_bps") / 10000, F.col("sell_bps") / 10000
     rel, prel = F.col("close") / F.col("entry"), F.col("prev_close") / F.col("entry")
     h, ph = 1 + lev * (rel - 1) - lev * b, 1 + lev * (prel - 1) - lev * b
@@ -96,7 +97,7 @@ def single(sig: DataFrame, keys=(*KEYS, "config_id"), capital: float = CAPITAL,
         .otherwise(1.0)
     )
     d = d.withColumn("factor", F.greatest(F.coalesce(factor, F.lit(0.0)), F.lit(0.0)))
-    d = block_scan(d, {"_base": ("product", F.col("factor"))}, keys, block, most)
+    d = block_scan(d, {"_base": ("product", F.col("factor"))}, keys, block)
     return d.withColumn("v", capital * F.col("_base")).drop("_base")
 
 
@@ -156,21 +157,20 @@ def wide(legs: DataFrame, keys, trade=None) -> DataFrame:
 
 
 def trade_states(w: DataFrame, keys, capital: float = CAPITAL, lot: int = 0) -> DataFrame:
-    """Cash and shares after every trade bar: a loop over the trade bars of one (portfolio, config) at a time."""
+    """Cash and shares after every trade bar: trade bars of a (portfolio, config) in order, a batch at a time."""
     keys = list(keys)
     events = w.where(F.exists("legs", lambda x: x["trade"])).select(
         *keys, "i", (F.col("buy_bps") / 10000).alias("b"), (F.col("sell_bps") / 10000).alias("s"),
         *[F.col(f"legs.{f}").cast("array<double>").alias(f) for f in ("close", "sig", "trade", "size")],
     )
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema if f.name in keys)
-    names = [f.name for f in events.schema if f.name in keys]
+    names, kinds = _names(events, keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        cash, shares, out = capital, [0.0] * len(pdf["close"].iloc[0]), []
+    def fold(state, pdf: pd.DataFrame):
+        cash, shares = state or (capital, [0.0] * len(pdf["close"].iloc[0]))
+        out = []
         for b, s, price, sig, trade, size in zip(pdf["b"], pdf["s"], pdf["close"], pdf["sig"], pdf["trade"], pdf["size"]):
             v = cash + sum(h * p for h, p in zip(shares, price))
-            paid = 0.0
+            shares, paid = list(shares), 0.0
             for k, p in enumerate(price):
                 if trade[k]:
                     target = sig[k] * v * size[k] / p
@@ -181,28 +181,26 @@ def trade_states(w: DataFrame, keys, capital: float = CAPITAL, lot: int = 0) ->
                     cash -= diff * p + cost
                     shares[k] = target
                     paid += cost
-            out.append((v, cash, list(shares), paid, int(sum(trade))))
+            out.append((v, cash, shares, paid, int(sum(trade))))
         res = pdf[[*names, "i"]].copy()
         res[["v_before", "cash", "shares", "cost", "trades"]] = pd.DataFrame(out, index=res.index)
-        return res
+        return (cash, shares), res
 
-    return events.groupBy(*keys).applyInPandas(
-        run, f"{key_schema}, i bigint, v_before double, cash double, shares array<double>, cost double, trades int"
-    )
+    return fold_in_order(events, names, "i", fold, f"{kinds}, i bigint, v_before double, cash double, shares array<double>, cost double, trades int")
 
 
 def joint(w: DataFrame, keys, capital: float = CAPITAL, start: int = START, lot: int = 0, block: int | None = None) -> DataFrame:
     """Equity ``v`` per bar of shared-cash portfolios; 0 from the first bar whose value before trading is not positive."""
     keys = list(keys)
     w = cut(w.where(F.col("i") >= start).withColumn("i", F.col("i").cast("bigint")))
-    d, most = w.join(cut(trade_states(w, keys, capital, lot)), [*keys, "i"], "left"), longest(w)
-    d = block_scan(d, {"_st": ("last", F.when(F.col("cash").isNotNull(), F.struct("cash", "shares")))}, keys, block, most)
+    d = w.join(cut(trade_states(w, keys, capital, lot)), [*keys, "i"], "left")
+    d = block_scan(d, {"_st": ("last", F.when(F.col("cash").isNotNull(), F.struct("cash", "shares")))}, keys, block)
     held = F.aggregate(
         F.arrays_zip(F.col("_st.shares").alias("sh"), F.transform("legs", lambda x: x["close"]).alias("px")),
         F.col("_st.cash"), lambda acc, x: acc + x["sh"] * x["px"],
     )
     d = d.withColumn("v", F.coalesce(held, F.lit(capital)))
-    d = block_scan(d, {"_low": ("min", F.coalesce("v_before", "v"))}, keys, block, most)
+    d = block_scan(d, {"_low": ("min", F.coalesce("v_before", "v"))}, keys, block)
     return d.select(
         *keys, "ts", "i", "n",
         F.when(F.col("_low") <= 0, 0.0).otherwise(F.col("v")).alias("v"),
@@ -215,32 +213,25 @@ def joint(w: DataFrame, keys, capital: float = CAPITAL, start: int = START, lot:
 
 def threshold_path(sig: DataFrame, keys, band: float = 0.05) -> DataFrame:
     """Positions traded when a (noisy) signal moves by more than ``band`` from the last traded one, with a
-    trailing stop. Returns the trade rows (keys, i, traded). The loop is over one series of one config, whose
-    rows are bounded by the bars of the calendar span."""
-    keys = list(keys)
-    slim = sig.select(*keys, F.col("i").cast("bigint").alias("i"), "close", "sig", "stop")
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keys)
-    names = [f.name for f in slim.schema if f.name in keys]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        stop, last, peak, out = pdf["stop"].iloc[0], 0.0, None, []
-        stop = float("inf") if pd.isna(stop) else stop
-        for i, p, x in zip(pdf["i"], pdf["close"], pdf["sig"]):
+    trailing stop. Returns the trade rows (keys, i, traded). Carried: the position traded last and the peak since."""
+    names, kinds = _names(sig, keys)
+    slim = sig.select(*names, F.col("i").cast("bigint").alias("i"), "close", "sig", F.coalesce(F.col("stop").cast("double"), F.lit(float("inf"))).alias("stop"))
+
+    def fold(state, pdf: pd.DataFrame):
+        last, peak = state or (0.0, None)
+        at, to = [], []
+        for k, (p, x, stop) in enumerate(zip(pdf["close"].tolist(), pdf["sig"].tolist(), pdf["stop"].tolist(), strict=True)):
             if peak is not None:
                 peak = max(peak, p)
                 if (peak - p) / peak > stop:
                     x = 0.0
             if abs(x - last) > band:
-                last = x
-                peak = p if x > 0 else None
-                out.append((i, x))
-        res = pd.DataFrame(out, columns=["i", "traded"])
-        for c in reversed(names):
-            res.insert(0, c, pdf[c].iloc[0])
-        return res
+                last, peak = x, p if x > 0 else None
+                at.append(k)
+                to.append(x)
+        return (last, peak), pdf[[*names, "i"]].iloc[at].assign(traded=to)
 
-    return slim.groupBy(*keys).applyInPandas(run, f"{key_schema}, i bigint, traded double")
+    return fold_in_order(slim, names, "i", fold, f"{kinds}, i bigint, traded double")
 
 
 def with_threshold(sig: DataFrame, keys, band: float = 0.05) -> DataFrame:
@@ -251,92 +242,72 @@ def with_threshold(sig: DataFrame, keys, band: float = 0.05) -> DataFrame:
 
 
 def routed(w: DataFrame, keys, capital: float = CAPITAL) -> DataFrame:
-    """Ledger of the routing study: per-bar leg weights, leverages and stops; a negative signal ``a`` sells down to
-    ``shares*(1+a)`` and a stop forces ``a = -1``. ``w`` has keys, i, ts, n, b, s and, per leg, arrays price, sig, size
-    (weight x leverage), stop. Peaks are kept across holdings. The loop is over the bars of one (portfolio, mapping).
+    """Ledger of the routing study: per-bar leg weights, leverages and stops; a negative signal ``a`` keeps the share ``1 + a``
+    of a leg's holding and a stop acts as ``a = -1``. ``w`` has keys, i, ts, n, b, s and, per leg, arrays price, sig, size (weight x leverage),
+    stop. Peaks are kept across holdings.
+
+    The ledger is kept in money, not shares: holdings grow with their prices, then each leg whose signal differs from the one it followed
+    last is moved to its goal. All legs of a bar use the value before trading, so a bar is a few operations on vectors of legs.
     """
-    keys = list(keys)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in w.schema if f.name in keys)
-    names = [f.name for f in w.schema if f.name in keys]
+    names, kinds = _names(w, keys)
     slim = w.select(*names, "ts", F.col("i").cast("bigint").alias("i"), F.col("n").cast("bigint").alias("n"), "b", "s", "price", "sig", "size", "stop")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        k = len(pdf["price"].iloc[0])
-        cash, shares, last, peak, held, out = capital, [0.0] * k, [0.0] * k, [0.0] * k, [False] * k, []
-        dead = False
-        for b, s, price, sig, size, stop in zip(pdf["b"], pdf["s"], pdf["price"], pdf["sig"], pdf["size"], pdf["stop"]):
-            v = cash + sum(h * p for h, p in zip(shares, price))
-            dead = dead or v <= 0
-            n_trades = 0
-            if dead:
-                out.append((0.0, 0))
-                continue
-            for j, p in enumerate(price):
-                a = sig[j]
-                if held[j]:
-                    peak[j] = max(peak[j], p)
-                    if (peak[j] - p) / peak[j] > stop[j]:
-                        a = -1.0
-                if a != last[j]:
-                    target = a * v * size[j] / p if a > 0 else shares[j] * (1 + a)
-                    diff = target - shares[j]
-                    cash -= diff * p + abs(diff) * p * (b if diff > 0 else s)
-                    shares[j], last[j] = target, a
-                    n_trades += 1
-                    held[j] = target > 1e-5
-                    if held[j] and diff > 0:
-                        peak[j] = max(peak[j], p)
-            out.append((cash + sum(h * p for h, p in zip(shares, price)), n_trades))
-        res = pdf[[*names, "ts", "i", "n"]].copy()
-        res[["v", "trades"]] = pd.DataFrame(out, index=res.index)
-        return res
-
-    return slim.groupBy(*keys).applyInPandas(run, f"{key_schema}, ts timestamp, i bigint, n bigint, v double, trades int")
+    def fold(state, pdf: pd.DataFrame):
+        price, sig, size, stop = (np.array(pdf[c].tolist(), float) for c in ("price", "sig", "size", "stop"))
+        legs = price.shape[1]
+        cash, worth, before, followed, peak, open_, alive = state or (capital, np.zeros(legs), price[0], np.zeros(legs), np.zeros(legs), np.zeros(legs, bool), True)
+        value, moves = np.zeros(len(pdf)), np.zeros(len(pdf), int)
+        for k, (buy, sell) in enumerate(zip(pdf["b"].tolist(), pdf["s"].tolist(), strict=True)):
+            worth = worth * (price[k] / before)
+            before, total = price[k], cash + worth.sum()
+            alive = alive and total > 0
+            if not alive:
+                break
+            peak = np.where(open_, np.maximum(peak, before), peak)
+            wish = np.where(open_ & (peak - before > stop[k] * peak), -1.0, sig[k])
+            moved = wish != followed
+            if moved.any():
+                step = np.where(moved, np.where(wish > 0, wish * size[k] * total, (1 + wish) * worth) - worth, 0.0)
+                cash -= (step + np.abs(step) * np.where(step > 0, buy, sell)).sum()
+                worth = worth + step
+                followed = np.where(moved, wish, followed)
+                open_ = np.where(moved, worth > 1e-5 * before, open_)
+                peak = np.where(moved & open_ & (step > 0), np.maximum(peak, before), peak)
+                moves[k] = moved.sum()
+            value[k] = cash + worth.sum()
+        return (cash, worth, before, followed, peak, open_, alive), pdf[[*names, "ts", "i", "n"]].assign(v=value, trades=moves)
+
+    return fold_in_order(slim, names, "i", fold, f"{kinds}, ts timestamp, i bigint, n bigint, v double, trades int")
 
 
 def from_actions(actions: DataFrame, keys=KEYS, capital: float = CAPITAL, buy_bps: float = 5.0, sell_bps: float = 15.0, max_position: float = 0.95, min_trade: float = 100.0) -> DataFrame:
     """Cash-constrained ledger of an action table (keys, ts, i, n, close, action in [-1, 1]).
 
-    Positive actions target a share of the investable value and are cut to what cash affords; negative ones
-    sell that share of the holding; changes under ``min_trade`` are held. The ledger ends on the bar whose value is
-    under 1 % of the capital. The loop is over one series.
+    An action above 0 asks for that share of the investable value, one below 0 gives up that share of the holding; orders
+    of less than ``min_trade`` are not made, and purchases end where the cash does. The ledger ends on the bar whose value is
+    under 1 % of the capital. Carried in money: cash, the holding's worth, and the price it was last worth that at.
     """
-    keys = list(keys)
-    slim = actions.select(*keys, "ts", F.col("i").cast("bigint").alias("i"), F.col("n").cast("bigint").alias("n"), "close", "action")
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keys)
-    names = [f.name for f in slim.schema if f.name in keys]
-    b, s = buy_bps / 10000, sell_bps / 10000
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        cash, shares, out = capital, 0.0, []
-        for p, a in zip(pdf["close"], pdf["action"]):
-            v = cash + shares * p
-            target = a * max_position * v / p if a > 0 else max(shares * (1 + a), 0.0) if a < 0 else shares
-            diff, cost = target - shares, 0.0
-            if abs(diff) * p < min_trade:
-                diff = 0.0
-            elif diff > 0:
-                if diff * p * (1 + b) > cash:
-                    diff = cash / (1 + b) / p
-                cost = diff * p * b
-            else:
-                diff = -min(-diff, shares)
-                cost = -diff * p * s
-            cash -= diff * p + cost
-            shares += diff
-            v = cash + shares * p
-            out.append((cash, shares, v, cost))
-            if v < 0.01 * capital:
+    names, kinds = _names(actions, keys)
+    slim = actions.select(*names, "ts", F.col("i").cast("bigint").alias("i"), F.col("n").cast("bigint").alias("n"), "close", "action")
+    buy, sell = buy_bps / 10000, sell_bps / 10000
+
+    def fold(state, pdf: pd.DataFrame):
+        cash, worth, before, over = state or (capital, 0.0, None, False)
+        out = []
+        for p, wish in zip(pdf["close"].tolist(), pdf["action"].tolist(), strict=True) if not over else ():
+            worth *= p / before if before else 1.0
+            order = wish * max_position * (cash + worth) - worth if wish > 0 else wish * worth
+            order = 0.0 if abs(order) < min_trade else max(min(order, cash / (1 + buy)), -worth)
+            cost = order * buy if order > 0 else -order * sell
+            cash, worth, before = cash - order - cost, worth + order, p
+            out.append((cash, worth / p, cash + worth, cost))
+            over = cash + worth < 0.01 * capital
+            if over:
                 break
-        res = pdf[[*names, "ts", "i", "n", "close", "action"]].iloc[: len(out)].copy()
-        res[["cash", "shares", "v", "cost"]] = out
-        return res
+        done = pdf[[*names, "ts", "i", "n", "close", "action"]].iloc[: len(out)]
+        return (cash, worth, before, over), done.assign(**{c: [x[k] for x in out] for k, c in enumerate(("cash", "shares", "v", "cost"))})
 
-    return slim.groupBy(*keys).applyInPandas(
-        run, f"{key_schema}, ts timestamp, i bigint, n bigint, close double, action double, cash double, shares double, v double, cost double"
-    )
+    return fold_in_order(slim, names, "i", fold, f"{kinds}, ts timestamp, i bigint, n bigint, close double, action double, cash double, shares double, v double, cost double")
 
 
 def portfolio_state(ledger: DataFrame, capital: float = CAPITAL) -> DataFrame:

@@ -17,7 +17,8 @@ from tidebars.plans.ledgers import _GRID, _j, _pair_kalman, _seed_equity, _seed_
 from tidebars.sources.ticks import kept
 
 Q = Registry()
-REPS = 40
+# Replicates of the bootstrap and the shuffle, and of the predictive-ability test.
+REPS, SPA_REPS = 1000, 100
 
 
 def strategy_returns(spark, sf):
@@ -39,7 +40,7 @@ _RET = o.crossover(PLAIN) + "," + o.LEDGER + """, rr AS MATERIALIZED (SELECT sym
 def _draw_sql(lengths, keys, seed, reps=REPS):
     """CTE ``bi``: keys, rep, i, idx, by gathering every row."""
     return f"""bu AS (SELECT {keys}, n, rep, i, i = 0 OR {_uni(f"'restart/{seed}/' || rep", 'i')} < 0.1 AS st, CAST(floor({_uni(f"'place/{seed}/' || rep", 'i')}*n) AS BIGINT) AS pos
-    FROM {lengths}, range(1, {reps + 1}) a(rep), range(0, 1000000) c(i) WHERE i < n),
+    FROM (SELECT *, unnest(range(0, n)) AS i FROM {lengths}, range(1, {reps + 1}) a(rep))),
   bj AS (SELECT *, max(CASE WHEN st THEN i END) OVER w AS i0 FROM bu WINDOW w AS (PARTITION BY {keys}, rep ORDER BY i)),
   bi AS MATERIALIZED (SELECT {keys}, rep, i, (first_value(pos) OVER (PARTITION BY {keys}, rep, i0 ORDER BY i) + i - i0) % n AS idx FROM bj)"""
 
@@ -103,7 +104,7 @@ _SPA = _pair_kalman() + ", " + _j(_GRID, _GRID, "kalman_price", "k") + "," + o.j
   df AS MATERIALIZED (SELECT a.config_id, a.k, b1.r-a.r AS x FROM rr a JOIN rr b1 ON b1.k = a.k AND b1.config_id = '{_BENCH}' WHERE a.config_id <> '{_BENCH}')"""
 
 
-@Q.add("g3_superior_ability", o.aligned(_SPA + ", ln AS (SELECT 'ar' AS portfolio, count(*) AS n FROM rr WHERE config_id = 'sma_15_60'), " + _draw_sql("ln", "portfolio", "spa") + f""",
+@Q.add("g3_superior_ability", o.aligned(_SPA + ", ln AS (SELECT 'ar' AS portfolio, count(*) AS n FROM rr WHERE config_id = 'sma_15_60'), " + _draw_sql("ln", "portfolio", "spa", SPA_REPS) + f""",
   bm AS (SELECT config_id, rep, avg(x) AS bm FROM bi JOIN df ON df.k = bi.idx GROUP BY ALL),
   ss AS (SELECT config_id, avg(x) AS dbar, count(*) AS n FROM df GROUP BY config_id), vv AS (SELECT config_id, var_pop(bm) AS var FROM bm GROUP BY config_id),
   st AS (SELECT *, greatest(sqrt(var), 1e-8) AS sigma, CASE WHEN dbar > -sqrt(var/n*2*ln(ln(n))) THEN dbar ELSE 0 END AS shift FROM ss JOIN vv USING (config_id)),
@@ -112,7 +113,7 @@ _SPA = _pair_kalman() + ", " + _j(_GRID, _GRID, "kalman_price", "k") + "," + o.j
 def superior(spark, sf):
     ret = _pair_returns(spark, sf)
     b = ret.where(F.col("config_id") == _BENCH)
-    d = rs.spa(b, ret.where(F.col("config_id") != _BENCH), ["portfolio"], "config_id", reps=REPS)
+    d = rs.spa(b, ret.where(F.col("config_id") != _BENCH), ["portfolio"], "config_id", reps=SPA_REPS)
     return d.select(r("t_spa").alias("t_spa"), "p_value")
 
 
@@ -160,7 +161,7 @@ def study(spark, sf):
     actual = strategy_returns(spark, sf).groupBy(*CK).agg((F.max_by("v", "i") / 100_000 - 1).alias("actual"))
     p = rs.exceedance(_shuffled(spark, sf), actual, CK, "ret", "actual")
     ret = _pair_returns(spark, sf)
-    spa = rs.spa(ret.where(F.col("config_id") == _BENCH), ret.where(F.col("config_id") != _BENCH), ["portfolio"], "config_id", reps=REPS)
+    spa = rs.spa(ret.where(F.col("config_id") == _BENCH), ret.where(F.col("config_id") != _BENCH), ["portfolio"], "config_id", reps=SPA_REPS)
     tt = paired_t(_paired(spark, sf), ["config_id"], "r_b", "r")
 
     def tall(df, test, series, names):

@@ -118,13 +118,13 @@ def configs(spark, sf):
 def assets(spark):
     p = lambda lev, f, s, st: (lev, f, s, st, False)
     return cf.asset_dimension(spark, [
-        ("Gold", "A", 1, 100000.0, 5.0, 15.0, 10.0, 30, 50, 0.06, False, {"1d": p(10.0, 30, 50, 0.06), "1h": p(5.0, 420, 560, 0.08)}),
-        ("Oil", "R", 1, 100000.0, 5.0, 15.0, 4.0, 20, 25, 0.02, False, {"1h": p(2.0, 140, 175, 0.03)}),
-        ("Clicks", "click", 1, 100000.0, 5.0, 15.0, 3.0, 20, 25, 0.02, True, {"1h": p(1.5, 140, 175, 0.03)}),
+        ("Returned", "A", 1, 50000.0, 4.0, 6.0, 3.0, 12, 36, 0.11, False, {"1d": p(3.0, 12, 36, 0.11), "1h": p(1.25, 96, 288, 0.04)}),
+        ("Refused", "R", 1, 50000.0, 4.0, 6.0, 2.5, 9, 27, 0.07, False, {"1h": p(1.75, 72, 216, 0.05)}),
+        ("Clicks", "click", 1, 50000.0, 4.0, 6.0, 1.5, 8, 32, 0.09, True, {"1h": p(1.2, 64, 192, 0.045)}),
     ])
 
 
-_AS = "a(symbol, tf, leverage, fast) AS (VALUES ('A', '1d', 10.0, 30), ('R', '1d', 4.0, 20), ('click', '1h', 1.5, 140))"
+_AS = "a(symbol, tf, name, leverage, fast) AS (VALUES ('A', '1d', 'Returned', 3.0, 12), ('R', '1d', 'Refused', 2.5, 9), ('click', '1h', 'Clicks', 1.2, 64))"
 _BOTH = o.DAILY.replace("t AS (", "td AS (").replace("FROM t GROUP", "FROM td GROUP").replace("b AS MAT", "bd AS MAT") + ", " + o.HOURLY.replace("t AS (", "th AS (").replace("FROM t GROUP", "FROM th GROUP").replace("b AS MAT", "bh AS MAT") + ", bb AS (SELECT symbol, '1d' AS tf FROM bd UNION ALL SELECT symbol, '1h' FROM bh)"
 
 
@@ -132,7 +132,7 @@ def both(spark, sf):
     return daily(spark, sf).select("symbol", "timeframe", "ts", "close").unionByName(hourly(spark, sf).select("symbol", "timeframe", "ts", "close"))
 
 
-@Q.add("a11_asset_dimension", f"WITH {_BOTH}, {_AS} SELECT symbol, tf AS timeframe, CAST(leverage AS DOUBLE) AS leverage, CAST(fast AS INT) AS fast, count(*) AS bars FROM bb JOIN a USING (symbol, tf) GROUP BY ALL")
+@Q.add("a11_asset_dimension", f"WITH {_BOTH}, {_AS} SELECT symbol, tf AS timeframe, CAST(leverage AS DOUBLE) AS leverage, CAST(fast AS INT) AS fast, count(*) AS bars FROM bb LEFT JOIN a USING (symbol, tf) GROUP BY ALL")
 def asset_params(spark, sf):
     d = cf.with_asset(both(spark, sf), assets(spark))
     return d.groupBy("symbol", "timeframe", F.col("cfg_leverage").alias("leverage"), F.col("cfg_fast").alias("fast")).agg(F.count("*").alias("bars"))
@@ -143,7 +143,7 @@ def unknown(spark, sf):
     return cf.unknown_symbols(both(spark, sf), assets(spark))
 
 
-@Q.add("c3_asset_lookup", o.daily("SELECT symbol, ds AS d, CASE symbol WHEN 'A' THEN 'Gold' ELSE 'Oil' END AS name, CASE symbol WHEN 'A' THEN 10.0 ELSE 4.0 END*close AS exposure FROM b WHERE symbol IN ('A', 'R')"))
+@Q.add("c3_asset_lookup", o.daily("SELECT symbol, ds AS d, CASE symbol WHEN 'A' THEN 'Returned' WHEN 'R' THEN 'Refused' END AS name, CASE symbol WHEN 'A' THEN 3.0 WHEN 'R' THEN 2.5 END*close AS exposure FROM b"))
 def asset_lookup(spark, sf):
     return cf.with_asset(daily(spark, sf), assets(spark)).select("symbol", day().alias("d"), "name", (F.col("cfg_leverage") * F.col("close")).alias("exposure"))
 
@@ -166,13 +166,13 @@ def quotes(spark, sf):
     return ev.select("event_id", F.col("event_type").alias("key"), br.last_price(body, F.col("event_type")).alias("last_price"))
 
 
-@Q.add("a16_synthetic_bars", f"""WITH z AS (SELECT s_name AS symbol, i, 0.0001+0.008*{o.normal("'42/ret/' || s_name", 'i')} AS r, 1+0.001*{o.normal("'42/open/' || s_name", 'i')} AS jo, 1+abs(0.002*{o.normal("'42/high/' || s_name", 'i')}) AS jh,
-  1-abs(0.002*{o.normal("'42/low/' || s_name", 'i')}) AS jl, floor(100+9900*{o.uniform("'42/volume/' || s_name", 'i')}) AS volume FROM supplier, range(1, 251) a(i)),
-  c AS (SELECT *, 150*exp(sum(r) OVER (PARTITION BY symbol ORDER BY i)) AS close FROM z)
-  SELECT symbol, strftime(DATE '2026-05-30' + CAST(i-250 AS INT), '%Y-%m-%d') AS d, {o.rnd('close*jo', 5)} AS open, {o.rnd('greatest(close*jo, close)*jh', 5)} AS high, {o.rnd('least(close*jo, close)*jl', 5)} AS low, {o.rnd('close', 5)} AS close, volume FROM c""")
+@Q.add("a16_synthetic_bars", f"""WITH z AS (SELECT s_name AS symbol, i, 0.0003+0.012*{o.normal("'42/ret/' || s_name", 'i')} AS r, 1+0.0015*{o.normal("'42/open/' || s_name", 'i')} AS jo, 1+abs(0.003*{o.normal("'42/high/' || s_name", 'i')}) AS jh,
+  1-abs(0.003*{o.normal("'42/low/' || s_name", 'i')}) AS jl, floor(500+4500*{o.uniform("'42/volume/' || s_name", 'i')}) AS volume FROM supplier, range(1, 501) a(i)),
+  c AS (SELECT *, 80*exp(sum(r) OVER (PARTITION BY symbol ORDER BY i)) AS close FROM z)
+  SELECT symbol, strftime(DATE '2024-12-31' + CAST(i-500 AS INT), '%Y-%m-%d') AS d, {o.rnd('close*jo', 5)} AS open, {o.rnd('greatest(close*jo, close)*jh', 5)} AS high, {o.rnd('least(close*jo, close)*jl', 5)} AS low, {o.rnd('close', 5)} AS close, volume FROM c""")
 def synthetic(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_name").alias("symbol"))
-    d = br.gbm_bars(s, 250)
+    d = br.gbm_bars(s)
     return d.select("symbol", day().alias("d"), *[r(c, 5).alias(c) for c in br.OHLCV[:4]], "volume")
 
 

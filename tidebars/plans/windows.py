@@ -8,7 +8,7 @@ from tidebars.operators import denoise as dn
 from tidebars.operators import features as ft
 from tidebars.operators import regime as rg
 from tidebars.operators import signals as sg
-from tidebars.operators.blocks import halo, in_block, owned, reach_of, rows
+from tidebars.operators.blocks import halo, in_block, owned, rows
 from tidebars.plans import oracle as o
 from tidebars.plans.common import Registry, day, r, second
 from tidebars.sources.ticks import daily, hourly
@@ -63,8 +63,7 @@ def rolling_vol(spark, sf):
     SELECT b.symbol, b.ds AS d, CASE WHEN b.i > 2 THEN {o.rnd('sqrt(greatest(s2/s0-(s1/s0)*(s1/s0), 0)*s0*s0/(s0*s0-ss))', 8)} END AS vol_ewma
     FROM ew JOIN b ON b.symbol = ew.symbol AND b.i = ew.i"""))
 def ewma_vol(spark, sf):
-    d = halo(daily(spark, sf), reach_of(ft.EWM30) + 1).withColumn("return_log", ft.log_return())
-    return owned(ft.add_ewma_vol(d)).select("symbol", day().alias("d"), r("vol_ewma", 8).alias("vol_ewma"))
+    return ft.add_ewma_vol(daily(spark, sf)).select("symbol", day().alias("d"), r("vol_ewma", 8).alias("vol_ewma"))
 
 
 @Q.add("e6_rsi", o.daily(
@@ -74,7 +73,7 @@ def ewma_vol(spark, sf):
     SELECT b.symbol, b.ds AS d, CASE WHEN b.i >= 14 THEN CASE WHEN l = 0 THEN 100.0 ELSE {o.rnd('100-100/(1+g/l)')} END END AS rsi_14
     FROM ru JOIN b ON b.symbol = ru.symbol AND b.i = ru.i"""))
 def rsi(spark, sf):
-    d = owned(ft.add_rsi(halo(daily(spark, sf), reach_of(ft.WILDER14) + 1)))
+    d = ft.add_rsi(daily(spark, sf))
     return d.select("symbol", day().alias("d"), r("rsi_14").alias("rsi_14"))
 
 
@@ -85,7 +84,7 @@ def rsi(spark, sf):
     SELECT b.symbol, b.ds AS d, CASE WHEN b.i >= 26 THEN {o.rnd('f-s')} END AS macd, CASE WHEN b.i >= 34 THEN {o.rnd('g')} END AS macd_signal,
       CASE WHEN b.i >= 34 THEN {o.rnd('f-s-g')} END AS macd_diff FROM em JOIN b ON b.symbol = em.symbol AND b.i = em.i"""))
 def macd(spark, sf):
-    d = owned(ft.add_macd(halo(daily(spark, sf), reach_of(ft.EMA26) + reach_of(ft.EMA9))))
+    d = ft.add_macd(daily(spark, sf))
     return d.select("symbol", day().alias("d"), *[r(c).alias(c) for c in ("macd", "macd_signal", "macd_diff")])
 
 
@@ -108,13 +107,13 @@ ax(symbol, i, a) AS (SELECT symbol, CAST(60 AS BIGINT), avg(dx) FROM dx WHERE i
 
 @Q.add("e10_adx", o.daily(_ADX + f" SELECT b.symbol, b.ds AS d, {o.rnd('a')} AS dx_30 FROM b LEFT JOIN ax ON ax.symbol = b.symbol AND ax.i = b.i"))
 def adx(spark, sf):
-    d = owned(ft.add_adx(halo(daily(spark, sf), 2 * reach_of(ft.WILDER30) + 1)))
+    d = ft.add_adx(daily(spark, sf))
     return d.select("symbol", day().alias("d"), r("dx_30").alias("dx_30"))
 
 
 @Q.add("e11_atr", o.daily(o.ATR + f" SELECT b.symbol, b.ds AS d, {o.rnd('atr')} AS atr_14 FROM b LEFT JOIN atr a ON a.symbol = b.symbol AND a.i = b.i"))
 def atr(spark, sf):
-    d = owned(ft.add_atr(halo(daily(spark, sf), reach_of(ft.WILDER14) + 14)))
+    d = ft.add_atr(daily(spark, sf))
     return d.select("symbol", day().alias("d"), r("atr_14").alias("atr_14"))
 
 

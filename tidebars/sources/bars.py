@@ -30,10 +30,10 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite", files_per_sy
     (d.repartition(files_per_symbol, *spread) if files_per_symbol else d.repartition(*spread)).write.mode(mode).partitionBy("timeframe", "symbol").parquet(path)
 
 
-def read_bars(spark: SparkSession, path: str, symbols: Sequence[str] | None = None, timeframe: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+def read_bars(spark: SparkSession, path: str, symbols: Sequence[str] | None = None, timeframe: str | None = None, start: str | None = None, end: str | None = None, skip_unreadable: bool = False) -> DataFrame:
     """Scan with a fixed schema; symbol and timeframe prune folders, the time range is pushed to the files.
-    Unknown symbols simply have no rows; unreadable files are skipped."""
-    d = spark.read.schema(BAR_SCHEMA).option("ignoreCorruptFiles", "true").parquet(path)
+    Unknown symbols simply have no rows. An unreadable file fails the scan unless ``skip_unreadable`` says otherwise."""
+    d = spark.read.schema(BAR_SCHEMA).option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(path)
     if symbols is not None:
         d = d.where(F.col("symbol").isin(*symbols))
     if timeframe is not None:
@@ -110,7 +110,7 @@ def sane_quotes(ticks: DataFrame, keys, price: str = "ltp", sentinels=(75.0, 100
     return block_scan(ticks, {"clean": ("last", ok)}, keys)
 
 
-def gbm_bars(symbols: DataFrame, bars: int = 500, seed: str = "42", base: float = 150.0, drift: float = 0.0001, vol: float = 0.008, last_day: str = "2026-05-30") -> DataFrame:
+def gbm_bars(symbols: DataFrame, bars: int = 500, seed: str = "42", base: float = 80.0, drift: float = 0.0003, vol: float = 0.012, last_day: str = "2024-12-31") -> DataFrame:
     """Log-normal daily walk per symbol with jittered open, high and low; every number is a hash of (seed, symbol, bar)."""
     from tidebars.functions.hashing import normal, uniform
     from tidebars.operators.blocks import block_scan
@@ -119,11 +119,11 @@ def gbm_bars(symbols: DataFrame, bars: int = 500, seed: str = "42", base: float
     z = lambda name: normal(F.concat(F.lit(f"{seed}/{name}/"), F.col("symbol")), F.col("i"))
     d = d.withColumn("ts", F.date_add(F.lit(last_day).cast("date"), F.col("i") - bars).cast("timestamp"))
     d = block_scan(d.withColumn("_r", drift + vol * z("ret")), {"_s": ("sum", F.col("_r"))}, ("symbol", "timeframe"))
-    d = d.withColumn("close", base * F.exp("_s")).withColumn("open", F.col("close") * (1 + 0.001 * z("open")))
+    d = d.withColumn("close", base * F.exp("_s")).withColumn("open", F.col("close") * (1 + 0.0015 * z("open")))
     return d.select(
         "symbol", "timeframe", "ts", "i", "n", "open",
-        (F.greatest("open", "close") * (1 + F.abs(0.002 * z("high")))).alias("high"),
-        (F.least("open", "close") * (1 - F.abs(0.002 * z("low")))).alias("low"), "close",
-        F.floor(100 + 9900 * uniform(F.concat(F.lit(f"{seed}/volume/"), F.col("symbol")), F.col("i"))).cast("double").alias("volume"),
+        (F.greatest("open", "close") * (1 + F.abs(0.003 * z("high")))).alias("high"),
+        (F.least("open", "close") * (1 - F.abs(0.003 * z("low")))).alias("low"), "close",
+        F.floor(500 + 4500 * uniform(F.concat(F.lit(f"{seed}/volume/"), F.col("symbol")), F.col("i"))).cast("double").alias("volume"),
     )
 

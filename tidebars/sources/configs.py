@@ -35,9 +35,9 @@ def asset_dimension(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def with_asset(bars: DataFrame, assets: DataFrame) -> DataFrame:
-    """Bars of known symbols with their parameters: those of the timeframe where given, else the asset's own.
+    """All bars with their symbol's parameters: those of the timeframe where given, else the asset's own; NULL for unknown symbols.
     The dimension is joined without a hint, so Spark broadcasts it only while its size allows."""
-    d = bars.join(assets, "symbol")
+    d = bars.join(assets, "symbol", "left")
     tf = F.element_at("timeframe_params", F.col("timeframe"))
     return d.withColumns({f"cfg_{k}": F.coalesce(tf[k], F.col(k)) for k in ("leverage", "fast", "slow", "stop", "dqn_exit")}).drop("timeframe_params")
 
