@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tidebars.llm.common import documents, filled, kept_in_worker, map_arrow, raw, slices
 
 #: Words, pieces and table entries that a worker remembers at most; beyond it the table concerned starts anew.
-MEMO = 300_000
-MOVES = 1_000_000
+MEMO = 120_000
+MOVES = 500_000
 
 
 def byte_symbols() -> dict[int, str]:

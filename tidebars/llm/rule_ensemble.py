@@ -64,12 +64,17 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 
 def measured(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns of ``docs`` (those in ``carry``, if given) in a struct ``row``, and the statistics of each row."""
-    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), filled(text).alias("text"))
+    carry = carry or docs.columns
+    rows = docs.select(F.struct(*carry).alias("row"), *([] if text in carry else [F.col(text).alias("text")]))
+    place = carry.index(text) if text in carry else None
 
     def run(batches):
-        for part in slices(batches, "text"):
-            got = statistics(raw(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, np.ascontiguousarray(got.T))], ["row", *STATISTICS])
+        for batch in batches:
+            # a text that is carried along is sent once
+            texts = batch.column("text") if place is None else batch.column("row").field(place)
+            for part in slices(iter([pa.RecordBatch.from_arrays([batch.column("row"), texts], ["row", "text"])]), "text"):
+                got = statistics(raw(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, np.ascontiguousarray(got.T))], ["row", *STATISTICS])
 
     return map_arrow(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATISTICS))
 
