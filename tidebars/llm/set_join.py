@@ -6,9 +6,10 @@ two similar sets first meet, so an index list holds (set, size, place) for such
 
 Two relations between sets keep lists from becoming pairs:
 
-* Index skipping. A list is cut into blocks by set size, and an entry is put only into blocks of sizes that its place in its own set still
-  allows: the later its place, the fewer tokens can follow, and the narrower its range. A set reads one block of each of its lists.
-* Answer skipping. Each list's smallest and largest set are its leaders. Every set is first compared with the leaders of its lists only.
+* Index skipping. Entries know their place, and two places bound what two sets can share, so most entries are passed over unread. A list is
+  cut into blocks by set size, and an entry is put only into blocks of sizes that its place in its own set still allows: the later its
+  place, the fewer tokens can follow, and the narrower its range. A set reads one block of each of its lists.
+* Answer skipping. Each list's smallest and largest id are its leaders. Every set is first compared with the leaders of its lists only.
   Sets linked through leaders share a component, and the answer for a pair inside one component adds nothing, so it is not computed. For a
   pair across components, the distances of both to a common leader are known, and Jaccard distance is a metric: the pair is skipped when
   they differ by more than the allowed distance. What is left is compared.
@@ -157,7 +158,7 @@ def _exploded(rows: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def index_lists(entries: DataFrame) -> DataFrame:
-    """Entries of lists with two sets or more, each with the list's smallest and largest id (low, high).
+    """Entries of lists with two sets or more, each with the list's smallest and largest id (low, high) and their sizes and places.
 
     Lists of ordinary tokens are read in order, a batch at a time, after one shuffle by token. Hot tokens' lists may hold a large share of all
     documents: they are summed before a shuffle, and joined back where Spark may split them.
@@ -174,10 +175,12 @@ def index_lists(entries: DataFrame) -> DataFrame:
         if kept is not None:
             yield _shared(kept, np.array([0]))
 
-    kind = "token long, id long, n int, at int, low long, high long"
+    kind = "token long, id long, n int, at int, low long, low_n int, low_at int, high long, high_n int, high_at int"
     plain = map_arrow(entries.filter("not hot").drop("hot").repartition("token").sortWithinPartitions("token", "id"), run, kind)
     hot = entries.filter("hot").drop("hot")
-    ends = stored(hot.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"), "hot-lists")
+    entry = F.struct("id", "n", "at")
+    ends = hot.groupBy("token").agg(F.min(entry).alias("l"), F.max(entry).alias("h")).filter("l.id < h.id")
+    ends = stored(ends.select("token", *(F.col(f"{e[0]}.{c}").alias(e + f) for e in ("low", "high") for c, f in (("id", ""), ("n", "_n"), ("at", "_at")))), "hot-lists")
     return plain.unionByName(hot.join(ends, "token"))
 
 
@@ -185,10 +188,18 @@ def _shared(rows: pa.RecordBatch, start: np.ndarray) -> pa.RecordBatch:
     """Rows of runs with two ids or more; ``start``: where the runs of one token begin."""
     ids = rows.column("id").to_numpy()
     size = np.diff(start, append=len(ids))
-    low, high = (ids[start], ids[start + size - 1]) if len(ids) else (ids, ids)
-    keep = np.repeat(low < high, size)
-    out = rows.filter(pa.array(keep))
-    return pa.RecordBatch.from_arrays([*out.columns, pa.array(np.repeat(low, size)[keep]), pa.array(np.repeat(high, size)[keep])], ["token", "id", "n", "at", "low", "high"])
+    first, last = np.repeat(start, size), np.repeat(start + size - 1, size)
+    keep = np.flatnonzero(ids[first] < ids[last]) if len(ids) else np.empty(0, np.int64)
+    ends = [rows.column(c).take(pa.array(at[keep])) for at in (first, last) for c in ("id", "n", "at")]
+    names = ["token", "id", "n", "at", "low", "low_n", "low_at", "high", "high_n", "high_at"]
+    return pa.RecordBatch.from_arrays([*rows.take(pa.array(keep)).columns, *ends], names)
+
+
+def may_link(n: Column, at: Column, m: Column, by: Column) -> Column:
+    """Whether sets of sizes n and m that share the token at places ``at`` and ``by`` can be similar: before it they share no more than the
+    smaller place, after it no more than the shorter rest."""
+    num, den = SIMILAR
+    return (F.least(at, by) + 1 + F.least(n - at - 1, m - by - 1)) * (num + den) >= (n + m) * num
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -259,31 +270,30 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     # what is summed by a key is stored before it is joined by that key: then both sides are shuffled, and Spark may split large partitions
     classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")), "classes")
     met = cut(index_lists(index_entries(named, classes)))
-    first = met.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).union(met.filter("id < high and id > low").select(F.col("id").alias("a"), F.col("high").alias("b"))).distinct()
+    c = F.col
+    below = met.filter((c("id") > c("low")) & may_link(c("n"), c("at"), c("low_n"), c("low_at"))).select(c("low").alias("a"), c("id").alias("b"))
+    above = met.filter((c("id") < c("high")) & may_link(c("n"), c("at"), c("high_n"), c("high_at"))).select(c("id").alias("a"), c("high").alias("b"))
+    first = cut(below.union(above).distinct())
     texts_by_id = texts.filter("doc_id is not null")
     known = cut(compared(texts_by_id, first))
     links = known.filter(is_link()).select("a", "b")
-    parts = components(links)
+    parts = stored(components(links), "parts")
 
     # answer skipping: across components only, and only pairs whose distances to a common leader allow a link
-    def distance(low: str):
-        near = known.select(F.col("a").alias("p"), F.col("b").alias("q"), (1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("far"))
-        return near if low == "low" else near.select(F.col("q").alias("p"), F.col("p").alias("q"), "far")
-
-    placed = met.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = met.select("token", "id", "n", "at", "low").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = stored(placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token"), "mixed-lists")
-    to_leader = distance("low").withColumnRenamed("p", "low").withColumnRenamed("q", "id")
-    open_rows = cut(placed.join(mixed, "token").join(to_leader, ["low", "id"], "left").select("token", "id", "n", "at", "component", "low", F.when(F.col("id") == F.col("low"), 0.0).otherwise(F.col("far")).alias("far")))
+    to_leader = known.select(c("a").alias("low"), c("b").alias("id"), (1 - c("common") / (c("size_a") + c("size_b") - c("common"))).alias("far"))
+    open_rows = cut(placed.join(mixed, "token").join(to_leader, ["low", "id"], "left").select("token", "id", "n", "at", "component", "low", F.when(c("id") == c("low"), 0.0).otherwise(c("far")).alias("far")))
     grow = math.log(BLOCK_GROWTH)
     block = lambda size: F.floor(F.log(size.cast("double")) / grow).cast("int")
     num, den = SIMILAR
     # a set of size m <= n that meets this entry first at its place needs min(m, n - at) >= overlap: m is at most (n - at) * (num + den) / num - n
     most = F.least(F.col("n").cast("double"), (F.col("n") - F.col("at")) * (num + den) / num - F.col("n"))
     fewest = F.ceil(F.col("n") * num / den)
-    index = open_rows.filter(most >= fewest).select("token", "low", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("far").alias("fy"), F.explode(F.sequence(block(fewest), block(most))).alias("block"))
-    probe = open_rows.select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("far").alias("fx"), block(F.col("n")).alias("block"))
+    index = open_rows.filter(most >= fewest).select("token", "low", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("component").alias("cy"), F.col("far").alias("fy"), F.explode(F.sequence(block(fewest), block(most))).alias("block"))
+    probe = open_rows.select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"), F.col("far").alias("fx"), block(F.col("n")).alias("block"))
     slack = 1 - num / den + 1e-9
-    crossing = probe.join(index, ["token", "block"]).filter((F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))) & (F.col("nx") * den >= F.col("ny") * num))
+    crossing = probe.join(index, ["token", "block"]).filter((F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))) & may_link(c("nx"), c("ax"), c("ny"), c("ay")))
     crossing = crossing.filter(F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= slack, F.lit(True)))
     rest = cut(crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"))
     more = compared(texts_by_id, rest).filter(is_link()).select("a", "b") if not rest.isEmpty() else links.limit(0)
