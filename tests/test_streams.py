@@ -9,6 +9,8 @@ from tidebars.operators import ledger as lg
 from tidebars.operators import regime as rg
 from tidebars.operators import signals as sg
 from tidebars.session import KEYS
+from pyspark.sql import functions as F
+
 from tidebars.streaming import live, sizing
 from tidebars.streaming import ticks as st
 
@@ -70,11 +72,31 @@ def test_resumed_position_stops_on_its_peak(spark):
     assert got == {"far": 0.0, "near": 1.0, "flat": 0.0}
 
 
-def test_orders_of_a_batch(spark):
-    rows = [("A", 1, 10.0, 0.0), ("A", 2, 20.0, 1.0), ("B", 1, 50.0, 1.0), ("B", 2, 40.0, 0.0)]
-    d = spark.createDataFrame(rows, "symbol string, ts int, close double, sig double")
-    got = {r["symbol"]: r["target_qty"] for r in sizing.batch_orders(d, 100_000.0, 1e9, leverage=2.0).collect()}
-    assert got == {"A": 5000, "B": 0}
+def test_orders_keep_the_holdings_of_absent_symbols(spark):
+    """Two batches: margin counts symbols that have no bar, an unchanged signal gives no order, and late bars change nothing."""
+    bars = "symbol string, ts int, close double, sig double"
+    stamp = lambda rows: spark.createDataFrame(rows, bars).withColumn("ts", F.timestamp_seconds("ts"))
+    none = spark.createDataFrame([], sizing.STATE)
+    args = {"value": 100_000.0, "buying_power": 200_000.0, "leverage": 2.0}
+    first, state = sizing.batch_orders(stamp([("A", 1, 10.0, 0.0), ("A", 2, 20.0, 1.0), ("B", 2, 50.0, 1.0), ("C", 2, 5.0, 0.0)]), none, **args)
+    cap = sizing.MARGIN_SHARE * 200_000.0
+    factor = min(1.0, cap / 200_000.0)
+    got = {r.symbol: (r.side, r.order_qty) for r in first.collect()}
+    assert got == {"A": ("buy", int(100_000 * factor / 20)), "B": ("buy", int(100_000 * factor / 50))}
+    second, after = sizing.batch_orders(stamp([("A", 3, 25.0, 1.0)]), state, **args)
+    assert second.count() == 0
+    held = {r.symbol: r.held for r in after.collect()}
+    assert held == {"A": int(100_000 * factor / 20), "B": int(100_000 * factor / 50), "C": 0}
+    third, after = sizing.batch_orders(stamp([("B", 1, 1.0, 0.0), ("A", 4, 30.0, 0.0)]), after, **args)
+    assert [(r.symbol, r.side, r.order_qty) for r in third.collect()] == [("A", "sell", held["A"])]
+    assert {r.symbol: r.held for r in after.collect()} == {"A": 0, "B": held["B"], "C": 0}
+
+
+def test_search_by_agent(spark):
+    from tidebars.plans.relational import search_trades
+
+    log = spark.createDataFrame([("A", "BUY", "PPO"), ("B", "SELL", None)], "symbol string, action string, active_agent string")
+    assert [r.symbol for r in search_trades(log, agent="PPO").collect()] == ["A"] and search_trades(log, "b").count() == 2
 
 
 def test_advance_is_flat_before_start():

@@ -111,7 +111,8 @@ def liquidation_labels(equity: DataFrame, agent: str = "active_agent", regime: s
 
 
 def trade_log(equity: DataFrame, keys=(*KEYS, "config_id"), block: int | None = None) -> DataFrame:
-    """One row per trade of ``single``: quantity, cost, average entry, realised gross and net PnL."""
+    """One row per trade of ``single``: bar number as step, quantity, cost, average entry, realised gross and net PnL, and the agent and regime of
+    the bar where the equity carries them (NULL elsewhere)."""
     keys = list(keys)
     buy = (F.col("sig") > 0) & (F.col("prev_sig") <= 0)
     sell = (F.col("sig") <= 0) & (F.col("prev_sig") > 0)
@@ -121,7 +122,7 @@ def trade_log(equity: DataFrame, keys=(*KEYS, "config_id"), block: int | None =
     cost = F.col("_pos.qty") * F.col("close") * F.when(buy, F.col("buy_bps")).otherwise(F.col("sell_bps")) / 10000
     gross = F.when(buy, 0.0).otherwise(F.col("_pos.qty") * (F.col("close") - F.col("_pos.price")))
     return d.select(
-        *keys, "ts", "i",
+        *keys, "ts", "i", F.col("i").alias("step"), *[F.col(c) if c in equity.columns else F.lit(None).cast("string").alias(c) for c in ("active_agent", "regime")],
         F.when(buy, "BUY").otherwise("SELL").alias("action"),
         F.col("_pos.qty").alias("qty"), F.col("close").alias("price"), cost.alias("cost"),
         F.when(buy, F.col("_pos.price")).otherwise(0.0).alias("avg_entry_price"),

@@ -83,7 +83,7 @@ _LOG_SQL = o.daily(o.crossover(STOPPED) + "," + o.LEDGER + f""",
   pre AS (SELECT *, lag(sh, 1, 0) OVER w AS sh0, lag(v) OVER w AS v0 FROM eq WINDOW w AS (PARTITION BY symbol, config_id ORDER BY i)),
   tr0 AS (SELECT *, max(CASE WHEN traded = 1 AND sh > sh0 THEN i END) OVER (PARTITION BY symbol, config_id ORDER BY i) AS bi FROM pre WHERE traded = 1 AND v > 0),
   tl AS (SELECT a.*, e.close AS entry FROM tr0 a LEFT JOIN eq e ON e.symbol = a.symbol AND e.config_id = a.config_id AND e.i = a.bi)
-  SELECT symbol, config_id, ds AS d, CASE WHEN sh > sh0 THEN 'BUY' ELSE 'SELL' END AS action, {o.rnd('abs(sh-sh0)', 4)} AS qty, close AS price, {o.rnd('cost', 4)} AS cost,
+  SELECT symbol, config_id, ds AS d, i AS step, CASE WHEN sh > sh0 THEN 'BUY' ELSE 'SELL' END AS action, {o.rnd('abs(sh-sh0)', 4)} AS qty, close AS price, {o.rnd('cost', 4)} AS cost,
   CASE WHEN sh > sh0 THEN close ELSE 0 END AS avg_entry_price, CASE WHEN sh > sh0 THEN 0 ELSE {o.rnd('sh0*(close-entry)', 3)} END AS realized_gross_pnl,
   CASE WHEN sh > sh0 THEN 0 ELSE {o.rnd('sh0*(close-entry)-cost', 3)} END AS realized_net_pnl, {o.rnd('sh', 4)} AS position_size FROM tl""")
 
@@ -95,7 +95,7 @@ def stopped_log(spark, sf):
 @Q.add("f17_trade_log", _LOG_SQL)
 def trade_log(spark, sf):
     return stopped_log(spark, sf).select(
-        "symbol", "config_id", day().alias("d"), "action", r("qty", 4).alias("qty"), "price", r("cost", 4).alias("cost"), "avg_entry_price",
+        "symbol", "config_id", day().alias("d"), "step", "action", r("qty", 4).alias("qty"), "price", r("cost", 4).alias("cost"), "avg_entry_price",
         r("realized_gross_pnl", 3).alias("realized_gross_pnl"), r("realized_net_pnl", 3).alias("realized_net_pnl"), r("position_size", 4).alias("position_size"),
     )
 

@@ -132,10 +132,10 @@ def both(spark, sf):
     return daily(spark, sf).select("symbol", "timeframe", "ts", "close").unionByName(hourly(spark, sf).select("symbol", "timeframe", "ts", "close"))
 
 
-@Q.add("a11_asset_dimension", f"WITH {_BOTH}, {_AS} SELECT symbol, tf AS timeframe, CAST(leverage AS DOUBLE) AS leverage, CAST(fast AS INT) AS fast, count(*) AS bars FROM bb LEFT JOIN a USING (symbol, tf) GROUP BY ALL")
+@Q.add("a11_asset_dimension", f"WITH {_BOTH}, {_AS} SELECT symbol, tf AS timeframe, CAST(coalesce(leverage, 1) AS DOUBLE) AS leverage, CAST(coalesce(fast, 0) AS INT) AS fast, count(*) AS bars FROM bb LEFT JOIN a USING (symbol, tf) GROUP BY ALL")
 def asset_params(spark, sf):
     d = cf.with_asset(both(spark, sf), assets(spark))
-    return d.groupBy("symbol", "timeframe", F.col("cfg_leverage").alias("leverage"), F.col("cfg_fast").alias("fast")).agg(F.count("*").alias("bars"))
+    return d.groupBy("symbol", "timeframe", F.coalesce("cfg_leverage", F.lit(1.0)).alias("leverage"), F.coalesce("cfg_fast", F.lit(0)).alias("fast")).agg(F.count("*").alias("bars"))
 
 
 @Q.add("a11_unknown_symbols", f"WITH {_BOTH}, {_AS} SELECT DISTINCT symbol FROM bb WHERE symbol NOT IN (SELECT symbol FROM a)")

@@ -94,8 +94,8 @@ def orders(spark, sf):
     inbox, out, state = (_path(spark, f"orders-{x}") for x in ("in", "out", "state"))
     for _ in st.arrivals(bar_stream(spark, sf), inbox, SLICES):
         sizing.write_orders(live.live_signals(read_bar_stream(spark, inbox)), out, state, 100_000.0, 400_000.0).awaitTermination()
-    d = spark.read.schema("symbol string, ts timestamp, close double, sig double, bars bigint, factor double, target_qty bigint, batch_id int").parquet(out)
-    return d.select("batch_id", "symbol", second().alias("d"), "sig", r("factor", 8).alias("factor"), "target_qty")
+    d = spark.read.schema("symbol string, ts timestamp, close double, sig double, bars bigint, factor double, target_qty bigint, held_qty bigint, side string, order_qty bigint, batch_id int").parquet(out)
+    return d.select("batch_id", "symbol", second().alias("d"), "sig", r("factor", 8).alias("factor"), "target_qty", "held_qty", "side", "order_qty")
 
 
 @Q.add("k7_resumed_positions")
