@@ -183,3 +183,36 @@ def test_inverse_vol_of_two_is_the_pair_formula(spark):
     d = spark.createDataFrame([("p", 1, "A", 0.02), ("p", 1, "B", 0.01), ("p", 2, "A", 0.0), ("p", 2, "B", 0.01)], "portfolio string, ts int, symbol string, vol double")
     got = {(r["ts"], r["symbol"]): r["w"] for r in d.withColumn("w", inverse_vol_weight()).collect()}
     assert abs(got[1, "A"] - 0.01 / 0.03) < 1e-12 and abs(got[1, "B"] - 0.02 / 0.03) < 1e-12 and got[2, "A"] == got[2, "B"] == 0.5
+
+
+def test_kept_copies_follow_their_files(spark, tmp_path):
+    from tidebars.sources.ticks import kept
+
+    folder = str(tmp_path / "t")
+    read = lambda: kept(spark, (folder, "rows"), lambda: spark.read.parquet(folder)).count()
+    spark.range(5).write.parquet(folder)
+    assert read() == 5
+    spark.range(3).write.mode("append").parquet(folder)
+    assert read() == 8
+
+
+def test_unreadable_files_fail_unless_asked(spark, tmp_path):
+    from tidebars.sources import bars as br
+
+    path = str(tmp_path / "bars")
+    br.write_bars(spark.createDataFrame(walk(30)), path)
+    folder = next((tmp_path / "bars").glob("timeframe=*/symbol=*"))
+    (folder / "part-broken.parquet").write_bytes(b"no parquet here")
+    with pytest.raises(Exception, match="(?i)parquet|corrupt|read"):
+        br.read_bars(spark, path).count()
+    assert br.read_bars(spark, path, skip_unreadable=True).count() == 30
+
+
+def test_queries_need_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; from pyspark.sql import SparkSession; q, s = e.queries(), e.oracle_sql(); assert len(q) > 150 and set(s) <= set(q) and SparkSession.getActiveSession() is None"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

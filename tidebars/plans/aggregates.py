@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebars.operators import features as ft
+from tidebars.operators.features import FEATURES
 from tidebars.operators import metrics as mt
 from tidebars.operators import regime as rg
 from tidebars.operators import reports as rp
@@ -12,7 +13,7 @@ from tidebars.operators.denoise import denoise
 from tidebars.plans import oracle as o
 from tidebars.plans.common import Registry, day, r
 from tidebars.plans.ledgers import _FEE_SQL, _LOG_SQL, CK, PLAIN, fee_equity, pair, plain_equity, stopped_log
-from tidebars.plans.windows import _FEAT, _simple_features
+from tidebars.plans.windows import ALL_FEATURES, rounded_features
 from tidebars.session import KEYS
 from tidebars.sources.ticks import daily, hourly, kept
 
@@ -114,15 +115,15 @@ def versus(spark, sf):
     return d.select("symbol", "metric", *[r(c, 7).alias(c) for c in ("strategy", "benchmark", "diff")])
 
 
-_DC = ["return_simple", "return_log", "bb_width"]
+_DC = FEATURES
 _D = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, count({c}) AS count, {o.rnd(f'avg({c})', 7)} AS mean, {o.rnd(f'stddev_samp({c})', 7)} AS std, {o.rnd(f'min({c})', 7)} AS min, "
     f"{o.rnd(f'quantile_cont({c}, 0.25)', 7)} AS q250, {o.rnd(f'quantile_cont({c}, 0.5)', 7)} AS q500, {o.rnd(f'quantile_cont({c}, 0.75)', 7)} AS q750, {o.rnd(f'max({c})', 7)} AS max FROM f" for c in _DC)
 
 
-@Q.add("d17_describe_features", o.daily(_FEAT + " " + _D))
+@Q.add("d17_describe_features", ALL_FEATURES + " " + _D)
 def describe(spark, sf):
-    d = ft.describe(_simple_features(spark, sf), _DC)
+    d = ft.describe(rounded_features(spark, sf), _DC)
     return d.select("feature", "count", *[r(c, 7).alias(c) for c in ("mean", "std", "min", "q250", "q500", "q750", "max")])
 
 

@@ -15,7 +15,7 @@ from tidebars.operators.blocks import halo, owned
 from tidebars.plans import oracle as o
 from tidebars.plans.common import Registry, day, r
 from tidebars.plans.ledgers import _LOG_SQL, stopped_log
-from tidebars.plans.windows import _FEAT, _simple_features
+from tidebars.plans.windows import _FEAT, ALL_FEATURES, _simple_features, rounded_features
 from tidebars.sources.ticks import daily, table
 
 Q = Registry()
@@ -59,11 +59,10 @@ def by_configs(spark, sf):
 # ── projections and predicates ───────────────────────────────────────────────────────────────────────
 
 
-@Q.add("b1_registry_subset", o.daily(_FEAT + f" SELECT symbol, ds AS d, {o.rnd('bb_width', 8)} AS bb_width, {o.rnd('return_simple', 8)} AS return_simple, {o.rnd('return_log', 8)} AS return_log FROM f"))
+@Q.add("b1_registry_subset", ALL_FEATURES + f" SELECT symbol, d, {', '.join(ft.TECHNICAL)}, {', '.join(ft.RETURNS[:3])} FROM f")
 def subset(spark, sf):
-    d = _simple_features(spark, sf)
-    cols = ft.existing(d, ft.FEATURES)
-    return d.select("symbol", day().alias("d"), *[r(c, 8).alias(c) for c in cols])
+    d = rounded_features(spark, sf).drop("vol_ewma")
+    return d.select("symbol", day().alias("d"), *ft.existing(d, ft.FEATURES))
 
 
 @Q.add("b2_fill_forward", o.daily(f"SELECT symbol, ds AS d, filled AS close FROM (SELECT *, last_value(CASE WHEN volume >= 150 THEN close END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS filled FROM b) WHERE filled IS NOT NULL"))

@@ -183,40 +183,59 @@ def _simple_features(spark, sf):
     return owned(d.withColumn("return_simple", ft.simple_return()).withColumn("return_log", ft.log_return()).withColumn("bb_width", ft.bollinger_width()))
 
 
+_PARTS = ["e1_simple_return", "e2_log_return", "e3_rolling_vol", "e4_ewma_vol", "e6_rsi", "e7_macd", "e8_bollinger_width", "e9_cci", "e10_adx", "e11_atr"]
+_DIGITS = {c: 8 for c in (*ft.RETURNS, "bb_width")}
+
+
+_ALL = "SELECT * FROM " + " JOIN ".join(f"({Q[p][1]}) AS f{k}{' USING (symbol, d)' if k else ''}" for k, p in enumerate(_PARTS))
+#: The twelve features, rounded, as CTE ``f`` with the bar number.
+ALL_FEATURES = f"WITH f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) AS i FROM ({_ALL}))"
+
+
+def rounded_features(spark, sf, block=None):
+    d = ft.with_features(daily(spark, sf), block=block)
+    return d.select("symbol", "timeframe", "ts", F.col("i").cast("bigint").alias("i"), F.col("n").cast("bigint").alias("n"), *[r(c, _DIGITS.get(c, 6)).alias(c) for c in ft.FEATURES])
+
+
+@Q.add("e_all_features", _ALL)
+def all_features(spark, sf):
+    return rounded_features(spark, sf).select("symbol", day().alias("d"), *ft.FEATURES)
+
+
+@Q.add("e_features_in_blocks", _ALL)
+def features_in_blocks(spark, sf):
+    """The same, with series cut into blocks of 500 bars, so that every carry is used."""
+    return rounded_features(spark, sf, 500).select("symbol", day().alias("d"), *ft.FEATURES)
+
+
 def _z(c):
-    return f"{o.rnd(f'({c}-avg({c}) OVER {o.over(-251)})/nullif(stddev_samp({c}) OVER {o.over(-251)}, 0)', 5)} AS {c}_z"
+    w = "PARTITION BY symbol ORDER BY i ROWS BETWEEN 251 PRECEDING AND CURRENT ROW"
+    return f"{o.rnd(f'CASE WHEN max({c}) OVER ({w}) > min({c}) OVER ({w}) THEN ({c}-avg({c}) OVER ({w}))/nullif(stddev_samp({c}) OVER ({w}), 0) END', 5)} AS {c}_z"
 
 
-@Q.add("e5_rolling_zscore", o.daily(_FEAT + f" SELECT symbol, ds AS d, {_z('return_simple')}, {_z('return_log')}, {_z('bb_width')} FROM f"))
+@Q.add("e5_rolling_zscore", ALL_FEATURES + f" SELECT symbol, d, {', '.join(_z(c) for c in ft.FEATURES)} FROM f")
 def zscore(spark, sf):
-    cols = ["return_simple", "return_log", "bb_width"]
-    d = ft.with_zscores(_simple_features(spark, sf), cols)
-    return d.select("symbol", day().alias("d"), *[r(f"{c}_z", 5).alias(f"{c}_z") for c in cols])
+    d = ft.with_zscores(rounded_features(spark, sf), ft.FEATURES)
+    return d.select("symbol", day().alias("d"), *[r(f"{c}_z", 5).alias(f"{c}_z") for c in ft.FEATURES])
+
 
+_VEC = ", ".join(f"CAST(coalesce({c}, 0) AS FLOAT)" for c in ft.FEATURES)
 
-@Q.add("e24_state_tensor", o.daily(_FEAT + f""", v AS (SELECT *, list([CAST(coalesce(return_simple,0) AS FLOAT), CAST(coalesce(return_log,0) AS FLOAT), CAST(coalesce(bb_width,0) AS FLOAT)]) OVER {o.over(-59)} AS ten FROM f)
-  SELECT symbol, ds AS d, CAST(len(ten) AS BIGINT) AS steps, {o.rnd('CAST(ten[1][1] AS DOUBLE)', 6)} AS oldest, {o.rnd('CAST(ten[60][3] AS DOUBLE)', 6)} AS newest,
-  {o.rnd('list_sum(list_transform(ten, lambda x: CAST(x[2] AS DOUBLE)))', 6)} AS total FROM v WHERE i >= 60"""))
+
+@Q.add("e24_state_tensor", ALL_FEATURES + f""", v AS (SELECT *, list([{_VEC}]) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS ten FROM f)
+  SELECT symbol, d, CAST(len(ten) AS BIGINT) AS steps, {o.rnd('CAST(ten[1][1] AS DOUBLE)', 4)} AS oldest, {o.rnd('CAST(ten[60][12] AS DOUBLE)', 4)} AS newest,
+  {o.rnd('list_sum(list_transform(ten, lambda x: list_sum(list_transform(x, lambda y: CAST(y AS DOUBLE)))))', 4)} AS total FROM v WHERE i >= 60""")
 def tensor(spark, sf):
-    d = ft.state_tensor(_simple_features(spark, sf), ["return_simple", "return_log", "bb_width"])
+    d = ft.state_tensor(rounded_features(spark, sf), ft.FEATURES)
     t = F.col("tensor")
+    inner = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y.cast("double"))
     return d.select(
         "symbol", day().alias("d"), F.size(t).cast("bigint").alias("steps"),
-        r(t[0][0].cast("double")).alias("oldest"), r(t[59][2].cast("double")).alias("newest"),
-        r(F.aggregate(t, F.lit(0.0), lambda s, x: s + x[1].cast("double"))).alias("total"),
+        r(t[0][0].cast("double"), 4).alias("oldest"), r(t[59][11].cast("double"), 4).alias("newest"),
+        r(F.aggregate(t, F.lit(0.0), lambda s, x: s + inner(x)), 4).alias("total"),
     )
 
 
-_PARTS = ["e1_simple_return", "e2_log_return", "e3_rolling_vol", "e4_ewma_vol", "e6_rsi", "e7_macd", "e8_bollinger_width", "e9_cci", "e10_adx", "e11_atr"]
-_DIGITS = {c: 8 for c in (*ft.RETURNS, "bb_width")}
-
-
-@Q.add("e_all_features", "SELECT * FROM " + " JOIN ".join(f"({Q[p][1]}) AS f{k}{' USING (symbol, d)' if k else ''}" for k, p in enumerate(_PARTS)))
-def all_features(spark, sf):
-    d = ft.with_features(daily(spark, sf))
-    return d.select("symbol", day().alias("d"), *[r(c, _DIGITS.get(c, 6)).alias(c) for c in ft.FEATURES])
-
-
 @Q.add("e25_walk_forward", o.daily(
     """len AS (SELECT symbol, max(n) AS n FROM b GROUP BY symbol),
     f AS (SELECT symbol, n, k, k*63 AS train_start, k*63+252 AS train_end, least(k*63+315, n) AS test_end FROM len, range(0, 100000) r(k) WHERE k*63+252 < n),

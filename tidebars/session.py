@@ -32,10 +32,10 @@ def local_session(cpus: int = 8, app: str = "tidebars") -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a temporary
-    folder: on a cluster a machine-local one would be lost with its executor.
+    A cluster names it in ``spark.checkpoint.dir`` or by ``setCheckpointDir``; it belongs to the caller, who clears it. Only a local master without
+    either, as in tests, falls back to a temporary folder: on a cluster a machine-local one would be lost with its executor.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):

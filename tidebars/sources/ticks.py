@@ -100,15 +100,28 @@ def event_bars(spark, sf_dir) -> DataFrame:
     return to_bars(priced(event_ticks(spark, sf_dir), 2e-6, EVENT_ORDER))
 
 
-_kept: dict[tuple, DataFrame] = {}
+_kept: dict[tuple, tuple[tuple, DataFrame]] = {}
+
+
+def files_of(spark: SparkSession, folder: str) -> tuple:
+    """Path, length and time of every file under ``folder``, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def kept(spark: SparkSession, key: tuple, make) -> DataFrame:
-    """One materialised copy per session and input, as a bar table written once and read by many jobs."""
-    full = (spark.sparkContext.applicationId, *key)
-    if full not in _kept:
-        _kept[full] = cut(make())
-    return _kept[full]
+    """One materialised copy per session and input (the first of ``key`` is its folder), written once and read by many jobs.
+
+    A copy is made anew when any file of the folder has changed, and takes the old one's place."""
+    full, now = (spark.sparkContext.applicationId, *key), files_of(spark, key[0])
+    if full not in _kept or _kept[full][0] != now:
+        _kept[full] = (now, cut(make()))
+    return _kept[full][1]
 
 
 def daily(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
