@@ -148,7 +148,8 @@ def transactions(spark: SparkSession, path: str) -> DataFrame:
     cut = F.expr("position(X'0D0A0D0A', block)")
     body = F.when(cut > 0, F.substring(http, cut + 4, F.octet_length(http))).otherwise(F.lit(b""))
     answers = read_archives(spark, path, ("response", "revisit")).select(F.col("record_id").alias("capture_id"), F.struct("record_type", "headers", body.alias("payload")).alias("response"))
-    out = answers.join(side("request"), "capture_id", "full").join(side("metadata"), "capture_id", "full")
+    # the small sides meet first, so that payloads move once
+    out = answers.join(side("request").join(side("metadata"), "capture_id", "full"), "capture_id", "full")
     fields = F.map_filter(F.str_to_map(F.decode("metadata.block", "UTF-8"), F.lit(_END), F.lit(": ")), lambda k, _: k != "")
     return out.select("capture_id", "request", "response", F.when(F.col("metadata").isNotNull(), F.struct("metadata.record_id", fields.alias("fields"))).alias("metadata"))
 
