@@ -98,6 +98,8 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError(f"record {headers.get('warc-record-id')} has no length")
         size = int(headers["content-length"])
         block = stream.read(size)
         if len(block) < size:
