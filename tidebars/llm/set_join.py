@@ -11,8 +11,8 @@ Two relations between sets keep lists from becoming pairs:
   place, the fewer tokens can follow, and the narrower its range. A set reads one block of each of its lists.
 * Answer skipping. Each list's smallest and largest id are its leaders. Every set is first compared with the leaders of its lists only.
   Sets linked through leaders share a component, and the answer for a pair inside one component adds nothing, so it is not computed. For a
-  pair across components, the distances of both to a common leader are known, and Jaccard distance is a metric: the pair is skipped when
-  they differ by more than the allowed distance. What is left is compared.
+  pair across components, what sets both apart from a common leader is known, and the pair's answer follows from that: it is skipped unless
+  they share enough of it (``through_leaders``). What is left is compared.
 
 So a group of thousands of near copies costs a few comparisons for each member. No link between different components is lost.
 """
@@ -221,10 +221,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
 
 
-def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, common, size_a, size_b for the pairs (a, b) of doc_ids. Sets are made again from the texts of documents that occur in a pair.
+def compared(docs: DataFrame, pairs: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """a, b, common, size_a, size_b for the pairs (a, b) of doc_ids, and delta: the tokens that only one of them has, in the global order.
+    Sets are made again from the texts of documents that occur in a pair.
 
     A document may pass the bit array without being in a pair; it then joins nothing."""
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+    bits = len(sketch).bit_length() - 1
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     words = bit_filter(ids.select(F.xxhash64("id").alias("h")), "h", FILTER_BITS)
     keyed = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
@@ -241,15 +244,41 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            common = []
+            common, delta = [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                at = np.minimum(np.searchsorted(p, q), len(p) - 1) if len(p) else []
-                common.append(int(np.count_nonzero(p[at] == q)) if len(p) else 0)
+                rest = np.setxor1d(p, q, assume_unique=True)
+                common.append((len(p) + len(q) - len(rest)) // 2)
+                delta.append(rest[np.argsort(sent.value[rest >> np.uint64(64 - bits)], kind="stable")].view(np.int64))
             size = [pa.array([len(v.as_buffer()) // 8 for v in batch.column(c)], pa.int64()) for c in ("x", "y")]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), *size], ["a", "b", "common", "size_a", "size_b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), *size, pa.array(delta, pa.list_(pa.int64()))], ["a", "b", "common", "size_a", "size_b", "delta"])
+
+    return map_arrow(both, count, "a long, b long, common long, size_a long, size_b long, delta array<long>")
+
+
+def through_leaders(known: DataFrame, parts: DataFrame) -> DataFrame:
+    """x, y: pairs across components that may link, of sets that were compared with one leader.
 
-    return map_arrow(both, count, "a long, b long, common long, size_a long, size_b long")
+    With R tokens of the leader (P in all) that a set lacks and A others that it has, its weight is w = 5 R + 4 A: the set links with the
+    leader if w <= P. Two sets can only link if they share at least (w + w' - P) / 9 tokens of what sets them apart from the leader. Across
+    components one of them, x with the larger weight, has w > P, so that number is never below 1, and their deltas meet as sets do: the
+    first common one of their tokens in the global order lies early in both. Near copies with edits of their own differ in rare tokens,
+    so their lists are short however large their group is.
+    """
+    num, den = SIMILAR
+    assert (num, den) == (4, 5)
+    c = F.col
+    weight = 5 * (c("size_a") - c("common")) + 4 * (c("size_b") - c("common"))
+    named = lambda k: parts.select(c("id").alias(k), c("component").alias(f"{k}_part"))
+    group = known.select(c("a").alias("low"), c("b").alias("id"), weight.alias("w"), c("size_a").alias("p"), "delta").join(named("low"), "low", "left").join(named("id"), "id", "left")
+    group = cut(group.withColumns({"part": F.coalesce("id_part", "id"), "low_part": F.coalesce("low_part", "low"), "k": F.size("delta")}).drop("id_part"))
+    apart = group.filter((c("w") > c("p")) & (c("part") != c("low_part")))
+    probe = apart.select("low", c("id").alias("x"), c("w").alias("wx"), "p", c("part").alias("cx"), c("k").alias("kx"), F.posexplode("delta").alias("ax", "token"))
+    early = c("k") - F.ceil(F.greatest(2 * c("w") - c("p"), c("w") + 1) / 9) + 1
+    index = group.filter(early > 0).select("low", c("id").alias("y"), c("w").alias("wy"), c("part").alias("cy"), c("k").alias("ky"), F.posexplode(F.slice("delta", F.lit(1), early.cast("int"))).alias("ay", "token"))
+    least = F.ceil((c("wx") + c("wy") - c("p")) / 9)
+    later = (c("wx") > c("wy")) | ((c("wx") == c("wy")) & (c("x") < c("y")))
+    return probe.join(index, ["low", "token"]).filter(later & (c("cx") != c("cy")) & (c("ax") + least <= c("kx")) & (c("ay") + least <= c("ky"))).select("x", "y")
 
 
 def is_link() -> Column:
@@ -265,7 +294,8 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     equal results. An empty table gives no rows.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), filled(text).alias("text"))
-    rows = cut(prefixes(texts, token_sketch(texts.select("text"))))
+    sketch = token_sketch(texts.select("text"))
+    rows = cut(prefixes(texts, sketch))
     named = rows.filter("doc_id is not null and digest is not null")
     # what is summed by a key is stored before it is joined by that key: then both sides are shuffled, and Spark may split large partitions
     classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")), "classes")
@@ -275,28 +305,28 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     above = met.filter((c("id") < c("high")) & may_link(c("n"), c("at"), c("high_n"), c("high_at"))).select(c("id").alias("a"), c("high").alias("b"))
     first = cut(below.union(above).distinct())
     texts_by_id = texts.filter("doc_id is not null")
-    known = cut(compared(texts_by_id, first))
+    known = cut(compared(texts_by_id, first, sketch))
     links = known.filter(is_link()).select("a", "b")
     parts = stored(components(links), "parts")
 
-    # answer skipping: across components only, and only pairs whose distances to a common leader allow a link
+    # answer skipping: across components only; pairs compared with a common leader by their deltas, others by their places in the list
     placed = met.select("token", "id", "n", "at", "low").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = stored(placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token"), "mixed-lists")
-    to_leader = known.select(c("a").alias("low"), c("b").alias("id"), (1 - c("common") / (c("size_a") + c("size_b") - c("common"))).alias("far"))
-    open_rows = cut(placed.join(mixed, "token").join(to_leader, ["low", "id"], "left").select("token", "id", "n", "at", "component", "low", F.when(c("id") == c("low"), 0.0).otherwise(c("far")).alias("far")))
+    to_leader = known.select(c("a").alias("low"), c("b").alias("id"), F.lit(True).alias("seen")).distinct()
+    open_rows = placed.join(mixed, "token").join(to_leader, ["low", "id"], "left")
+    open_rows = cut(open_rows.select("token", "id", "n", "at", "component", (F.coalesce("seen", F.lit(False)) | (c("id") == c("low"))).alias("seen")))
     grow = math.log(BLOCK_GROWTH)
     block = lambda size: F.floor(F.log(size.cast("double")) / grow).cast("int")
     num, den = SIMILAR
     # a set of size m <= n that meets this entry first at its place needs min(m, n - at) >= overlap: m is at most (n - at) * (num + den) / num - n
     most = F.least(F.col("n").cast("double"), (F.col("n") - F.col("at")) * (num + den) / num - F.col("n"))
     fewest = F.ceil(F.col("n") * num / den)
-    index = open_rows.filter(most >= fewest).select("token", "low", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("component").alias("cy"), F.col("far").alias("fy"), F.explode(F.sequence(block(fewest), block(most))).alias("block"))
-    probe = open_rows.select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"), F.col("far").alias("fx"), block(F.col("n")).alias("block"))
-    slack = 1 - num / den + 1e-9
-    crossing = probe.join(index, ["token", "block"]).filter((F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))) & may_link(c("nx"), c("ax"), c("ny"), c("ay")))
-    crossing = crossing.filter(F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= slack, F.lit(True)))
+    index = open_rows.filter(most >= fewest).select("token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("component").alias("cy"), F.col("seen").alias("sy"), F.explode(F.sequence(block(fewest), block(most))).alias("block"))
+    probe = open_rows.select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"), F.col("seen").alias("sx"), block(F.col("n")).alias("block"))
+    unseen = probe.join(index, ["token", "block"]).filter(~(c("sx") & c("sy")) & (c("cx") != c("cy")) & ((c("nx") < c("ny")) | ((c("nx") == c("ny")) & (c("x") < c("y")))) & may_link(c("nx"), c("ax"), c("ny"), c("ay")))
+    crossing = unseen.select("x", "y").union(through_leaders(known, parts))
     rest = cut(crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"))
-    more = compared(texts_by_id, rest).filter(is_link()).select("a", "b") if not rest.isEmpty() else links.limit(0)
+    more = compared(texts_by_id, rest, sketch).filter(is_link()).select("a", "b") if not rest.isEmpty() else links.limit(0)
     links = cut(links.union(more))
     # rows of one id, and members of one class, are tied without comparison
     ties = named.select("doc_id", "digest").join(classes.filter("members > 1"), "digest").filter("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
