@@ -16,7 +16,8 @@ from tidebars.operators import regime as rg  # noqa: E402
 from tidebars.operators import resample as rs  # noqa: E402
 from tidebars.operators import signals as sg  # noqa: E402
 from tidebars.plans import ledgers, resampling, streams  # noqa: E402
-from tidebars.session import KEYS, local_session  # noqa: E402
+from tidebars.session import KEYS, cut, local_session  # noqa: E402
+from tidebars.sources.bars import gbm_bars  # noqa: E402
 from tidebars.sources.ticks import daily, lineitem_bars  # noqa: E402
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -52,6 +53,11 @@ def main():
     run("regimes", lambda: noop(rg.with_regime(series)))
     run("grid_ledger_24", lambda: noop(mt.performance(lg.single(grid(), start=60), CK)))
     run("grid_ledger_24_stops", lambda: noop(lg.single(lg.with_stops(grid().withColumn("stop", ft.F.lit(0.05)), CK), start=60)))
+    # five series of 100,000 bars each: several blocks
+    long = cut(gbm_bars(spark.createDataFrame([(f"long{k}",) for k in range(5)], "symbol string"), 100_000))
+    run("features_12_long", lambda: noop(ft.with_features(long)))
+    run("kalman_filter_long", lambda: noop(dn.denoise(long, "adaptive")))
+    run("ledger_metrics_long", lambda: noop(mt.performance(lg.single(sg.crossover(long, GRID[:2], start=60), start=60), CK)))
     # the joint study of the three-symbol daily bars
     run("flagship", lambda: noop(mt.performance(ledgers.plain_equity(spark, SF), CK)))
     run("fee_sweep", lambda: noop(ledgers.fee_equity(spark, SF)))
