@@ -171,3 +171,13 @@ def test_hot_lists_give_the_same(make, prose, monkeypatch):
     for hot in (-(10**9), 10**9):
         monkeypatch.setattr(sj.prefixes, "__defaults__", (hot,))
         assert sorted(map(tuple, sj.linked(make(rows)).collect()), key=repr) == want
+
+
+def test_parity_bits_bound_differences(prose):
+    for n, k in ((40, 3), (300, 40), (300, 0), (5, 200), (900, 450)):
+        x, y = sj.shingle_sets([f"{prose(n, 1)} {prose(30, 2)}".encode(), f"{prose(n, 1)} {prose(k, 3)}".encode()])
+        real = len(np.setxor1d(x, y))
+        bound = sj.least_difference(sj.parity_bits(x), sj.parity_bits(y))
+        assert bound <= real and bound % 2 == real % 2
+        if len(x) < 2 * len(y) and len(y) < 2 * len(x):
+            assert bound >= real / 3

@@ -32,6 +32,8 @@ from tidebars.llm.common import bit_filter, cut, documents, filled, grams, map_a
 WORDS = 5
 #: The similarity as a fraction, so that comparisons are in whole numbers.
 SIMILAR = (4, 5)
+#: Sets are compared with a leader from this similarity on: also of sets that do not link with it, what sets them apart from it is worth knowing.
+LEAD = (2, 5)
 SKETCH_BITS, PIECE_BITS = 21, 15
 FILTER_BITS = 23
 #: A token that this many more documents hold than a sketch counter has on average is listed apart.
@@ -59,15 +61,26 @@ def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def overlap_needed(a: int, b: int) -> int:
-    """Fewest common elements of similar sets of sizes a and b."""
-    return -(-SIMILAR[0] * (a + b) // (SIMILAR[0] + SIMILAR[1]))
-
-
 def prefix_size(n: int) -> int:
     return n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """One bit for the parity of the tokens in each of 4n to 8n bins, a power of two. Two sets differ in at least as many tokens as their bits do."""
+    size = 1 << max(6, (4 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of tokens in one set only, from both sets' parity bits."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def token_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     """Counts of documents by token hash, summed over all documents; a fixed number of 2**bits counters. docs: text."""
     pieces = 1 << max(0, bits - PIECE_BITS)
@@ -100,14 +113,14 @@ def token_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), its first tokens in the global order, and how many of them (all that come before
-    the rest) are not hot. docs: doc_id, text."""
+    """doc_id, n_shingles, digest of the set (null if empty), its first tokens in the global order, how many of them (all that come before
+    the rest) are not hot, and its parity bits. docs: doc_id, text."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
     bits, limit = len(sketch).bit_length() - 1, float(sketch.mean()) + hot
 
     def run(batches):
         for part in slices(batches, "text"):
-            n, digests, tokens, cold = [], [], [], []
+            n, digests, tokens, cold, bits_of = [], [], [], [], []
             for s in shingle_sets(raw(part.column("text"))):
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -115,9 +128,26 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, hot: int = HOT) -> DataFrame:
                 order = np.argsort(counts, kind="stable")[: prefix_size(len(s))] if len(s) else []
                 tokens.append(s[order].view(np.int64))
                 cold.append(int(np.count_nonzero(counts[order] <= limit)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(cold, pa.int32())], ["doc_id", "n_shingles", "digest", "tokens", "cold"])
+                bits_of.append(parity_bits(s))
+            columns = [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(cold, pa.int32()), pa.array(bits_of, pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_shingles", "digest", "tokens", "cold", "bits"])
+
+    return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, tokens array<long>, cold int, bits binary")
+
+
+def plausible(pairs: DataFrame, rows: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose parity bits leave room for such a similarity. None of them is lost; what moves is about a tenth of the sets."""
+    num, den = similar
+    side = lambda k: rows.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            p = batch.to_pydict()
+            keep = [(nx + ny - least_difference(x, y)) * (num + den) >= 2 * num * (nx + ny) for nx, ny, x, y in zip(p["n_a"], p["n_b"], p["bits_a"], p["bits_b"], strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, tokens array<long>, cold int")
+    return map_arrow(both, run, "a long, b long").distinct()
 
 
 def index_entries(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -239,7 +269,7 @@ def compared(docs: DataFrame, pairs: DataFrame, sketch: np.ndarray) -> DataFrame
                 sets = [s.tobytes() for s in shingle_sets(raw(part.column("text")))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["id", "tokens"])
 
-    sets = cut(map_arrow(keyed, run, "id long, tokens binary").distinct())
+    sets = map_arrow(keyed, run, "id long, tokens binary")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
 
     def count(batches):
@@ -303,7 +333,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     c = F.col
     below = met.filter((c("id") > c("low")) & may_link(c("n"), c("at"), c("low_n"), c("low_at"))).select(c("low").alias("a"), c("id").alias("b"))
     above = met.filter((c("id") < c("high")) & may_link(c("n"), c("at"), c("high_n"), c("high_at"))).select(c("id").alias("a"), c("high").alias("b"))
-    first = cut(below.union(above).distinct())
+    first = cut(plausible(below.union(above).distinct(), named, LEAD))
     texts_by_id = texts.filter("doc_id is not null")
     known = cut(compared(texts_by_id, first, sketch))
     links = known.filter(is_link()).select("a", "b")
@@ -312,7 +342,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     # answer skipping: across components only; pairs compared with a common leader by their deltas, others by their places in the list
     placed = met.select("token", "id", "n", "at", "low").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = stored(placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token"), "mixed-lists")
-    to_leader = known.select(c("a").alias("low"), c("b").alias("id"), F.lit(True).alias("seen")).distinct()
+    to_leader = known.select(c("a").alias("low"), c("b").alias("id"), F.lit(True).alias("seen")).distinct()  # pairs that bits ruled out have no deltas
     open_rows = placed.join(mixed, "token").join(to_leader, ["low", "id"], "left")
     open_rows = cut(open_rows.select("token", "id", "n", "at", "component", (F.coalesce("seen", F.lit(False)) | (c("id") == c("low"))).alias("seen")))
     grow = math.log(BLOCK_GROWTH)
@@ -325,7 +355,8 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     probe = open_rows.select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"), F.col("seen").alias("sx"), block(F.col("n")).alias("block"))
     unseen = probe.join(index, ["token", "block"]).filter(~(c("sx") & c("sy")) & (c("cx") != c("cy")) & ((c("nx") < c("ny")) | ((c("nx") == c("ny")) & (c("x") < c("y")))) & may_link(c("nx"), c("ax"), c("ny"), c("ay")))
     crossing = unseen.select("x", "y").union(through_leaders(known, parts))
-    rest = cut(crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    rest = cut(plausible(rest, named))
     more = compared(texts_by_id, rest, sketch).filter(is_link()).select("a", "b") if not rest.isEmpty() else links.limit(0)
     links = cut(links.union(more))
     # rows of one id, and members of one class, are tied without comparison
