@@ -298,9 +298,11 @@ def through_leaders(known: DataFrame, parts: DataFrame) -> DataFrame:
     num, den = SIMILAR
     assert (num, den) == (4, 5)
     c = F.col
-    weight = 5 * (c("size_a") - c("common")) + 4 * (c("size_b") - c("common"))
+    one = known.select(c("a").alias("low"), c("b").alias("id"), c("size_a").alias("p"), c("size_b").alias("q"), "common", "delta")
+    other = known.select(c("b").alias("low"), c("a").alias("id"), c("size_b").alias("p"), c("size_a").alias("q"), "common", "delta")
+    weight = 5 * (c("p") - c("common")) + 4 * (c("q") - c("common"))
     named = lambda k: parts.select(c("id").alias(k), c("component").alias(f"{k}_part"))
-    group = known.select(c("a").alias("low"), c("b").alias("id"), weight.alias("w"), c("size_a").alias("p"), "delta").join(named("low"), "low", "left").join(named("id"), "id", "left")
+    group = one.union(other).select("low", "id", weight.alias("w"), "p", "delta").join(named("low"), "low", "left").join(named("id"), "id", "left")
     group = cut(group.withColumns({"part": F.coalesce("id_part", "id"), "low_part": F.coalesce("low_part", "low"), "k": F.size("delta")}).drop("id_part"))
     apart = group.filter((c("w") > c("p")) & (c("part") != c("low_part")))
     probe = apart.select("low", c("id").alias("x"), c("w").alias("wx"), "p", c("part").alias("cx"), c("k").alias("kx"), F.posexplode("delta").alias("ax", "token"))
@@ -340,20 +342,23 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     parts = stored(components(links), "parts")
 
     # answer skipping: across components only; pairs compared with a common leader by their deltas, others by their places in the list
-    placed = met.select("token", "id", "n", "at", "low").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = met.select("token", "id", "n", "at", "low", "high").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = stored(placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token"), "mixed-lists")
-    to_leader = known.select(c("a").alias("low"), c("b").alias("id"), F.lit(True).alias("seen")).distinct()  # pairs that bits ruled out have no deltas
-    open_rows = placed.join(mixed, "token").join(to_leader, ["low", "id"], "left")
-    open_rows = cut(open_rows.select("token", "id", "n", "at", "component", (F.coalesce("seen", F.lit(False)) | (c("id") == c("low"))).alias("seen")))
+    # pairs that bits ruled out have no deltas
+    with_low = known.select(c("a").alias("low"), c("b").alias("id"), F.lit(True).alias("by_low")).distinct()
+    with_high = known.select(c("a").alias("id"), c("b").alias("high"), F.lit(True).alias("by_high")).distinct()
+    open_rows = placed.join(mixed, "token").join(with_low, ["low", "id"], "left").join(with_high, ["high", "id"], "left")
+    seen = [(F.coalesce(f"by_{k}", F.lit(False)) | (c("id") == c(k))).alias(f"by_{k}") for k in ("low", "high")]
+    open_rows = cut(open_rows.select("token", "id", "n", "at", "component", *seen))
     grow = math.log(BLOCK_GROWTH)
     block = lambda size: F.floor(F.log(size.cast("double")) / grow).cast("int")
     num, den = SIMILAR
     # a set of size m <= n that meets this entry first at its place needs min(m, n - at) >= overlap: m is at most (n - at) * (num + den) / num - n
     most = F.least(F.col("n").cast("double"), (F.col("n") - F.col("at")) * (num + den) / num - F.col("n"))
     fewest = F.ceil(F.col("n") * num / den)
-    index = open_rows.filter(most >= fewest).select("token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("component").alias("cy"), F.col("seen").alias("sy"), F.explode(F.sequence(block(fewest), block(most))).alias("block"))
-    probe = open_rows.select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"), F.col("seen").alias("sx"), block(F.col("n")).alias("block"))
-    unseen = probe.join(index, ["token", "block"]).filter(~(c("sx") & c("sy")) & (c("cx") != c("cy")) & ((c("nx") < c("ny")) | ((c("nx") == c("ny")) & (c("x") < c("y")))) & may_link(c("nx"), c("ax"), c("ny"), c("ay")))
+    index = open_rows.filter(most >= fewest).select("token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("component").alias("cy"), F.col("by_low").alias("ly"), F.col("by_high").alias("hy"), F.explode(F.sequence(block(fewest), block(most))).alias("block"))
+    probe = open_rows.select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"), F.col("by_low").alias("lx"), F.col("by_high").alias("hx"), block(F.col("n")).alias("block"))
+    unseen = probe.join(index, ["token", "block"]).filter(~((c("lx") & c("ly")) | (c("hx") & c("hy"))) & (c("cx") != c("cy")) & ((c("nx") < c("ny")) | ((c("nx") == c("ny")) & (c("x") < c("y")))) & may_link(c("nx"), c("ax"), c("ny"), c("ay")))
     crossing = unseen.select("x", "y").union(through_leaders(known, parts))
     rest = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
     rest = cut(plausible(rest, named))
