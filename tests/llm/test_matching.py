@@ -65,6 +65,34 @@ def test_near_copies_and_chains(make, prose):
     check(make, rows)
 
 
+def keeping(prose, core, lacks):
+    """A text of its own core and of boilerplate in 40 pieces, some of which it lacks."""
+    return " ".join([core, *(f"gap{k}" if k in lacks else prose(30, 5000 + k) for k in range(40))])
+
+
+def test_copies_that_keep_parts_of_boilerplate(make, prose):
+    """Sets 0, 1 and 3 are a chain, and 2 links with 3 only. All lists of 2 and 3 are led by 0, from which 3 is further apart than 2."""
+    rng = random.Random(3)
+    core, lead, own = prose(300, 4999), set(range(6, 37, 6)), " own0 own1 own2 own3 own4 own5"
+    step = lambda a, b: set(range(3 * a, 3 * b + 1, 3))
+    family = [(set(), ""), (step(1, 5), own), (step(4, 12), ""), (step(1, 10), own), ({30}, ""), ({36}, "")]
+    rows = [(n, keeping(prose, core, lead ^ other) + end) for n, (other, end) in enumerate(family)]
+    rows += [(100 + n, keeping(prose, "", set(rng.sample(range(40), 20)))) for n in range(60)]
+    assert {i: c for i, _, c in expected_components(rows)}[2] == 0
+    check(make, rows)
+
+
+def test_random_parts_of_boilerplate(make, prose):
+    rng = random.Random(4)
+    rows = []
+    for f in range(10):
+        share = rng.choice((0.08, 0.1, 0.12, 0.15))
+        for n in range(8):
+            lacks = {k for k in range(40) if rng.random() < share}
+            rows.append((8 * f + n, f"{keeping(prose, prose(300, 6000 + f), lacks)} g{f}a{rng.randrange(4)} g{f}b{rng.randrange(4)}"))
+    check(make, rows)
+
+
 def test_exact_threshold(make):
     """80 of 100 shingles in common links, 79 does not."""
     def text(lo, hi):

@@ -291,9 +291,10 @@ def through_leaders(known: DataFrame, parts: DataFrame) -> DataFrame:
 
     With R tokens of the leader (P in all) that a set lacks and A others that it has, its weight is w = 5 R + 4 A: the set links with the
     leader if w <= P. Two sets can only link if they share at least (w + w' - P) / 9 tokens of what sets them apart from the leader. Across
-    components one of them, x with the larger weight, has w > P, so that number is never below 1, and their deltas meet as sets do: the
-    first common one of their tokens in the global order lies early in both. Near copies with edits of their own differ in rare tokens,
-    so their lists are short however large their group is.
+    components one of them, x, is outside the leader's component and so has w > P; if both are, x is the one with the larger weight. That
+    number is then never below 1, and their deltas meet as sets do: the first common one of their tokens in the global order lies early in
+    both. A set y of the leader's component may have any weight, also a larger one than x, as it may have joined over a third set. Near
+    copies with edits of their own differ in rare tokens, so their lists are short however large their group is.
     """
     num, den = SIMILAR
     assert (num, den) == (4, 5)
@@ -306,10 +307,11 @@ def through_leaders(known: DataFrame, parts: DataFrame) -> DataFrame:
     group = cut(group.withColumns({"part": F.coalesce("id_part", "id"), "low_part": F.coalesce("low_part", "low"), "k": F.size("delta")}).drop("id_part"))
     apart = group.filter((c("w") > c("p")) & (c("part") != c("low_part")))
     probe = apart.select("low", c("id").alias("x"), c("w").alias("wx"), "p", c("part").alias("cx"), c("k").alias("kx"), F.posexplode("delta").alias("ax", "token"))
-    early = c("k") - F.ceil(F.greatest(2 * c("w") - c("p"), c("w") + 1) / 9) + 1
-    index = group.filter(early > 0).select("low", c("id").alias("y"), c("w").alias("wy"), c("part").alias("cy"), c("k").alias("ky"), F.posexplode(F.slice("delta", F.lit(1), early.cast("int"))).alias("ay", "token"))
+    inside = c("part") == c("low_part")
+    early = c("k") - F.ceil(F.when(inside, c("w") + 1).otherwise(F.greatest(2 * c("w") - c("p"), c("w") + 1)) / 9) + 1
+    index = group.filter(early > 0).select("low", c("id").alias("y"), c("w").alias("wy"), c("part").alias("cy"), c("k").alias("ky"), inside.alias("inside"), F.posexplode(F.slice("delta", F.lit(1), early.cast("int"))).alias("ay", "token"))
     least = F.ceil((c("wx") + c("wy") - c("p")) / 9)
-    later = (c("wx") > c("wy")) | ((c("wx") == c("wy")) & (c("x") < c("y")))
+    later = c("inside") | (c("wx") > c("wy")) | ((c("wx") == c("wy")) & (c("x") < c("y")))
     return probe.join(index, ["low", "token"]).filter(later & (c("cx") != c("cy")) & (c("ax") + least <= c("kx")) & (c("ay") + least <= c("ky"))).select("x", "y")
 
 
