@@ -63,6 +63,34 @@ def test_signed_tokens():
     assert kinds("aaaaaaaaaaaaaaaaaaaaaaaa.bbbb.cccc") == [] and kinds("A" * 400) == []
 
 
+@pytest.mark.parametrize("key,kind", [(RSA, "der_key"), (PKCS8, "der_key"), (SSH, "ssh_key")])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n    "])
+def test_keys_over_lines(key, kind, end):
+    for width in (64, 76):
+        lines = re.sub(f"(.{{{width}}})(?=.)", lambda m: m[1] + end, b64(key))
+        assert kinds(f'key: "{lines}" y') == [(kind, lines)] and kinds(f"a line{end}{lines}{end}word") == [(kind, lines)]
+        assert kinds(f"{lines[:-8]}") == []
+    block = f"-----BEGIN PRIVATE KEY-----{end}{lines}{end}-----END PRIVATE KEY-----"
+    assert kinds(f'{{"key": "{block}{end}"}}') == [("pem_key", block)]
+    assert kinds(block.replace(lines[:40], lines[1:41])) == []
+
+
+def test_pem_headers():
+    def block(fields, data):
+        return "-----BEGIN RSA PRIVATE KEY-----\n" + fields + "\n" + re.sub("(.{64})", r"\1\n", b64(data)) + "\n-----END RSA PRIVATE KEY-----"
+
+    sealed = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,000102030405060708090A0B0C0D0E0F\n"
+    for text in (block("Comment: a\n b\n", RSA), block(sealed, bytes(range(160))), block(sealed, bytes(range(160))).replace("\n", "\\n")):
+        assert kinds(f"x {text} y") == [("pem_key", text)]
+    assert kinds(block(sealed, bytes(range(161)))) == [] and kinds(block("Comment: a\n", bytes(range(160)))) == []
+
+
+def test_short_tokens(make):
+    token = f"{base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip('=')}.{base64.urlsafe_b64encode(b'{"sub":"a"}').decode().rstrip('=')}."
+    assert len(token.split(".")[0]) == 19 and kinds(token) == [("jwt", token)]
+    assert [tuple(s) for s in ss.scan(make([(1, f"a {token} b")])).first().spans] == [("jwt", 2, 2 + len(token))]
+
+
 def plain_base(text):
     out = []
     for kind, pattern in enumerate((r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")):

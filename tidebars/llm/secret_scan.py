@@ -1,7 +1,7 @@
 """Secret scans with structural confirmation.
 
 Three base patterns (assignments, access ids, long hex) are reported as they match. Beside them, base64 and hex candidates are decoded and
-parsed: private keys must be DER whose nested lengths fill each other exactly and whose members have a key's types, or the length-prefixed
+parsed, also over lines and escaped line ends: private keys must be DER whose nested lengths fill each other exactly and whose members have a key's types, or the length-prefixed
 form that begins with openssh-key-v1; signed tokens must have a header that is JSON with an algorithm and a payload that is JSON. Only what
 parses is reported. A vector pass over the bytes first finds the texts that hold a long enough run or a base pattern's literal.
 """
@@ -24,13 +24,19 @@ from tidebars.llm.common import documents, filled, kept_in_worker, map_arrow, ra
 BASE = ("assign", "access", "hex")
 #: Base kinds, then those that structure confirms.
 KINDS = (*BASE, "pem_key", "der_key", "ssh_key", "jwt")
-#: No confirmed kind has a run of base64 or hex characters shorter than this ({"alg":"none"} has 20).
+#: What long_runs looks for if nothing else is said.
 LEAST_RUN = 20
+#: Every confirmed kind has a run of so many base64 or hex characters: a token's header, or the first line of a wrapped key.
+LEAST_CONFIRMED = 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Line ends as JSON, env files and source code write them.
+_ESCAPED = re.compile(r"\\+[rn]")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
+_FIRST_LINE = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC1r)[A-Za-z0-9+/_-]{4,}")
+_NEXT_LINE = re.compile(r"""(?=[\s"',]*[\r\n])[\s"',]+([A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/_=-])""")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{44,}={0,2}")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{80,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{16,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
@@ -131,6 +137,60 @@ def is_jwt(header: str, payload: str) -> bool:
     return True
 
 
+def is_pem_key(body: str) -> bool:
+    """Whether what stands between BEGIN and END is a key, under header fields or none. A body that DEK-Info says is encrypted must fill its cipher's blocks."""
+    fields, lines, name = {}, [x.strip("\"',") for x in re.split(r"[\r\n]+", body)], None
+    rest = []
+    for x in lines:
+        if not rest and ":" in x:
+            name, value = x.split(":", 1)
+            name = name.strip().lower()
+            fields[name] = value.strip()
+        elif not rest and name and x[:1] in (" ", "\t") and x.strip():
+            fields[name] += x.strip()
+        elif x.strip():
+            name = None
+            rest.append(x)
+    data = unbase64("".join("".join(rest).replace("\\/", "/").split()))
+    if not data:
+        return False
+    if is_der_key(data) or is_ssh_key(data):
+        return True
+    iv = re.fullmatch(r"[A-Za-z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})", fields.get("dek-info", "").replace(" ", ""))
+    return bool(iv) and fields.get("proc-type", "").replace(" ", "") == "4,ENCRYPTED" and len(data) % (len(iv[1]) // 2) == 0
+
+
+def wrapped_key(text: str, first: re.Match) -> tuple[int, int] | None:
+    """(number of the kind, end) of a key whose base64 starts at ``first`` and goes on in lines of the same width, the last one perhaps shorter."""
+    width, parts, end = first.end() - first.start(), [first[0]], first.end()
+    head = unbase64(first[0][: len(first[0]) // 4 * 4])
+    if not head:
+        return None
+    need = None
+    if head[0] == 0x30:
+        more = head[1] - 128 if head[1] >= 128 else 0
+        if more > 4 or len(head) < 2 + more:
+            return None
+        size = 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+        need = -(-4 * size // 3)
+        if need <= width or need > len(text) - first.start():
+            return None
+    have = width
+    while (need is None or have < need) and (m := _NEXT_LINE.match(text, end)):
+        n = len(m[1].rstrip("="))
+        if n > width:
+            break
+        parts.append(m[1])
+        have, end = have + n, m.end()
+        if need is None and n <= width and (data := unbase64("".join(parts))) and is_ssh_key(data):
+            return 5, end
+        if n < width or m[1].endswith("="):
+            break
+    if need is not None and have == need and (data := unbase64("".join(parts))) and is_der_key(data):
+        return 4, end
+    return None
+
+
 def base_spans(text: str, hexes: bool = True) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of the base patterns' matches that are long enough."""
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
@@ -140,13 +200,18 @@ def base_spans(text: str, hexes: bool = True) -> list[tuple[int, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of what decodes and parses. A key inside a PEM block is reported as that block only."""
+    # of the same length, so that places stay
+    text = _ESCAPED.sub(lambda m: "\n" * len(m[0]), text) if "\\" in text else text
     out, blocks = [], []
     for m in _PEM.finditer(text) if "-----BEGIN " in text else ():
-        data = unbase64("".join(m[2].split()))
-        if data and (is_der_key(data) or is_ssh_key(data)):
+        if is_pem_key(m[2]):
             out.append((m.start(), 3, m.end()))
             blocks.append(m.span())
     free = lambda m: not any(a <= m.start() < b for a, b in blocks)
+    for m in _FIRST_LINE.finditer(text):
+        if m.end() - m.start() >= LEAST_CONFIRMED and free(m) and (found := wrapped_key(text, m)):
+            out.append((m.start(), *found))
+            blocks.append((m.start(), found[1]))
     for m in _RUN.finditer(text):
         if free(m) and (data := unbase64(m[0])):
             if data[0] == 0x30 and is_der_key(data):
@@ -188,7 +253,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     def run(batches):
         for part in slices(batches, "text"):
             texts, out = raw(part.column("text")), []
-            for data, long in zip(texts, long_runs(texts), strict=True):
+            for data, long in zip(texts, long_runs(texts, LEAST_CONFIRMED), strict=True):
                 spans = []
                 low = data.lower()
                 if any(w in low for w in _WORDS) or b"AKIA" in data or long:
