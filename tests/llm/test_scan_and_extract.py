@@ -141,6 +141,22 @@ def test_held_out_pages(trained):
     assert right / (right + wrong) > 0.99 and right / (right + missed) > 0.85
 
 
+SENTENCE = "Here is a sentence of the story that goes on for a while, as stories do."
+
+
+def kept_blocks(page, trained):
+    tree = dm.parse(page)
+    return [t for t, p in zip(tree.text, dm.marginals(tree, trained.node, trained.edge, 0.0), strict=True) if t is not None and p >= 0.5]
+
+
+@pytest.mark.parametrize("name", sorted(dm.LOOSE))
+def test_elements_left_open(trained, name):
+    story = f"<p>{SENTENCE}</p>"
+    got = kept_blocks(f"<body><article><h1>T</h1>{story}<{name}>{story * 2}</article><footer>end</footer></body>", trained)
+    assert got.count(SENTENCE) == 3 and "end" not in got
+    assert kept_blocks(f"<article>{story}<{name}/>{story}<p>{SENTENCE} <math><mi>x</mi></math> is</p></article>", trained)[-1] == f"{SENTENCE} x is"
+
+
 def brute_marginals(tree, node, edge):
     """By summing over all labellings of a small tree."""
     import itertools

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tidebars.llm.common import filled, map_arrow, slices
 
 # Elements by their role in HTML.
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas select".split())
+RAW = frozenset("script style title textarea".split())
+#: Elements that pages often leave open. One without an end tag of its own ends at the next block tag.
+LOOSE = frozenset("noscript template iframe svg object canvas select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("body html option li dd dt td th tr thead tbody tfoot caption legend summary".split()) | {"hr"}
@@ -52,6 +54,14 @@ def _shape(text: str, linked: int) -> tuple[str, ...]:
 def parse(page: str) -> Tree:
     """Blocks and their elements. White space inside a block is one space, character references are decoded, comments and raw elements dropped."""
     tree, stack, at, link, linked, parts = Tree(), [("html", 0)], 0, 0, 0, []
+    left_open, known, sizes = -1, {}, {}
+
+    def following(start: str, at: int) -> int:
+        """Where such a tag next starts, or past the end. Each part of the page is searched once for it."""
+        if known.get(start, -1) < at:
+            found = re.compile(rf"<{start}(?![A-Za-z0-9_-])", re.I).search(page, at)
+            known[start] = found.start() if found else len(page)
+        return known[start]
 
     def put(s: str) -> None:
         nonlocal linked
@@ -68,7 +78,9 @@ def parse(page: str) -> Tree:
             if text:
                 node = stack[-1][1]
                 tree.parent.append(node)
-                tree.features.append((f"in:{stack[-1][0]}", *_shape(text, linked)))
+                size, links, ends = _shape(text, linked)
+                tree.features.append((f"in:{stack[-1][0]}/{links}", size, ends))
+                sizes[len(tree.parent) - 1] = (len(text), linked)
                 tree.text.append(text)
                 tree.label.append(tree.label[node])
         linked = 0
@@ -92,9 +104,11 @@ def parse(page: str) -> Tree:
         if m[1]:
             if name == "a":
                 link = max(0, link - 1)
-            elif name in BLOCKS:
+            elif name in BLOCKS or name in LOOSE:
                 flush()
-                close(frozenset((name,)), frozenset())
+                if stack[-1][1] == left_open:
+                    stack.pop()
+                close(frozenset((name,)), LIMITS if name in LOOSE else frozenset())
             continue
         if name in RAW:
             if not m[3].endswith("/"):
@@ -110,9 +124,13 @@ def parse(page: str) -> Tree:
         if name == "a":
             link += 1
             continue
-        if name not in BLOCKS:
+        if name not in BLOCKS and name not in LOOSE:
             continue
         flush()
+        if stack[-1][1] == left_open:
+            stack.pop()
+        if name in LOOSE and m[3].endswith("/"):
+            continue
         link = 0
         if name in CLOSES_P:
             close(frozenset(("p",)), LIMITS)
@@ -129,8 +147,19 @@ def parse(page: str) -> Tree:
         tree.text.append(None)
         tree.label.append(label)
         stack.append((name, len(tree.parent) - 1))
+        if name in LOOSE and following(f"/{name}", at) >= following(name, at):
+            left_open = len(tree.parent) - 1
     put(page[at:])
     flush()
+    # whether most of an element's text is links goes with its tag: lists of links and lists of sentences differ
+    total = [(0, 0)] * len(tree.parent)
+    for i in range(len(total) - 1, 0, -1):
+        n, linked = sizes.get(i, total[i])
+        if tree.text[i] is None:
+            first, *words = tree.features[i]
+            tree.features[i] = (f"{first}/{'links' if 2 * linked > n else 'text'}", *words)
+        up = tree.parent[i]
+        total[up] = (total[up][0] + n, total[up][1] + linked)
     return tree
 
 
