@@ -196,18 +196,21 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
     def links(k: int) -> str:
         return "".join(f'<li><a href="/x">{said(1, 3, "")}</a></li>' for _ in range(k))
 
-    def para() -> str:
+    def para(tag: str) -> str:
         inner = said(3, 90)
         if rng.random() < 0.2:
             inner += f' <a href="/y">{said(1, 4, "")}</a> {said(3, 20)}'
-        return f"<p>{inner}</p>"
+        if rng.random() < 0.03:
+            inner += rng.choice(("<object>{}</object>", "<canvas>{}</canvas>")).format(said(3, 12))
+        return f"<{tag}>{inner}</{tag}>"
 
     def story() -> str:
+        tag = "div" if rng.random() < 0.15 else "p"
         out = [f"<h1>{said(2, 12, '')}</h1>"] if rng.random() < 0.8 else []
         for _ in range(rng.choice((1, 2, 3, 5, 8, 14))):
             kind = rng.random()
             if kind < 0.72:
-                out.append(para())
+                out.append(para(tag))
             elif kind < 0.8:
                 out.append(f"<h2>{said(1, 8, '')}</h2>")
             elif kind < 0.86:
@@ -232,6 +235,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
             part("header", "header site-header masthead banner top page-header", f"<h2>{said(1, 3, '')}</h2><p>{said(2, 8)}</p>"),
             part("nav", "nav menu main-nav navbar navigation breadcrumb breadcrumbs", f"<ul>{links(rng.randint(2, 8))}</ul>"),
             part("div", "ad ads advert advertisement sponsor sponsored promo banner-ad adbox", rng.choice((said(2, 14), f"<p>{said(2, 20)}</p>"))),
+            part(rng.choice(("noscript", "template", "iframe", "svg", "select")), "", said(2, 14)),
             part("div", "cookie cookie-notice cookie-banner consent gdpr notice alert announcement", f"<p>{said(5, 25)}</p><button>{said(1, 2, '')}</button>"),
         ]
 
@@ -258,18 +262,23 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
         body = story()
         for extra in inside():
             if rng.random() < 0.12:
-                at = [m.start() for m in re.finditer(r"<(?=p>|h2>|ul>)", body)] or [0]
+                at = [m.start() for m in re.finditer(r"<(?=p>|div>|h2>|ul>)", body)] or [0]
                 k = rng.choice(at)
                 body = body[:k] + extra + body[k:]
         tag = rng.choice(("article", "article", "article", "main", "div", "section"))
         kind = "content article post entry story main post-content entry-content article-body text".split()
         attr = f' class="{rng.choice(kind)}"' if tag in ("div", "section") or rng.random() < 0.4 else ""
+        if rng.random() < 0.15:
+            tag, attr = rng.choice(("div", "div", "section", "main")), ""
         main = f'<{tag}{attr} data-content="1">{body}</{tag}>'
         if rng.random() < 0.3:
             outer, attr = rng.choice(("main", "div")), rng.choice((' id="content"', ' class="wrapper"', ""))
             main = f'<{outer}{attr} data-content="1">{main}</{outer}>'
         pick = lambda parts: "".join(x for x in parts if rng.random() < 0.6)
-        pages.append(f"<!DOCTYPE html><html><body>{pick(above())}{main}{pick(below())}</body></html>")
+        bare = rng.random() < 0.25
+        if bare:
+            main = body
+        pages.append(f"<!DOCTYPE html><html><body data-content=\"{int(bare)}\">{pick(above())}{main}{pick(below())}</body></html>")
     return pages
 
 
