@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chunk_recipes", "line_dedup", "winnowing", "token_counts", "bpe_automaton", "secret_scan", "dom_marginals", "rule_ensemble", "set_join", "warc")
+MODULES = ("chunk_recipes", "line_dedup", "winnowing", "token_counts", "bpe_automaton", "secret_scan", "dom_marginals", "rule_ensemble", "set_join", "warc", "lexical_search", "anchor_cover", "spelling_groups")
 
 
 def catalog() -> dict:
