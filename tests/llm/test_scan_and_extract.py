@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 
+import hand_labelled
 import pytest
 
 from tidebars.llm import dom_marginals as dm
@@ -138,7 +139,7 @@ def test_held_out_pages(trained):
                 right += label == 1 and p >= 0.5
                 wrong += label == 0 and p >= 0.5
                 missed += label == 1 and p < 0.5
-    assert right / (right + wrong) > 0.99 and right / (right + missed) > 0.85
+    assert right / (right + wrong) > 0.99 and right / (right + missed) > 0.96
 
 
 SENTENCE = "Here is a sentence of the story that goes on for a while, as stories do."
@@ -164,7 +165,7 @@ def test_articles_straight_in_body(trained):
 
 
 def test_held_out_blocks_of_bare_and_wrapped_pages(trained):
-    for bare, least in ((True, 0.85), (False, 0.98)):
+    for bare, least in ((True, 0.94), (False, 0.98)):
         right = wrong = missed = 0
         for page in dm.labelled_pages(300, seed=99):
             tree = dm.parse(page)
@@ -177,6 +178,41 @@ def test_held_out_blocks_of_bare_and_wrapped_pages(trained):
         assert right / (right + wrong) > 0.97 and right / (right + missed) > least
 
 
+def test_hand_labelled_pages(trained):
+    """Layouts that the training generator does not make; each page also through the words of the contract: blocks joined by an empty line."""
+    right = wrong = missed = exact = 0
+    for page, want in hand_labelled.PAGES:
+        got = kept_blocks(page, trained)
+        right += len(set(got) & set(want))
+        wrong += len(set(got) - set(want))
+        missed += len(set(want) - set(got))
+        exact += "\n\n".join(got) == "\n\n".join(want)
+    assert right / (right + wrong) > 0.92 and right / (right + missed) > 0.9 and exact >= 4
+
+
+def test_query_on_a_table(spark, tmp_path):
+    """The registered query on written pages: whole texts from the contract's words."""
+    exact = [0, 1, 3, 7]
+    rows = [(k, "u", hand_labelled.PAGES[k][0]) for k in exact] + [(20, None, None), (21, "u", ""), (None, "u", "<p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in dm.op6_dom_marginals(spark, str(tmp_path)).collect()}
+    want = {k: "\n\n".join(hand_labelled.PAGES[k][1]) for k in exact} | {20: "", 21: "", None: ""}
+    assert got == {k: (None if k == 20 else "u", t, len(t)) for k, t in want.items()}
+
+
+@pytest.mark.parametrize("page", ["<blockquote>" * 30_000, "<p><td>" + "<blockquote>" * 30_000, "<div>x</blockquote>" * 30_000, "<![x " * 60_000, "<!-- " * 60_000, "<li><dd>" * 20_000, "<select>" * 20_000])
+def test_hostile_pages_are_linear(page):
+    """Twice the page may not take four times the time; bounds are wide, since machines are noisy."""
+    import time
+
+    t = time.perf_counter()
+    dm.parse(page)
+    one = time.perf_counter() - t
+    t = time.perf_counter()
+    dm.parse(page * 4)
+    assert time.perf_counter() - t < 10 * one + 0.5
+
+
 def brute_marginals(tree, node, edge):
     """By summing over all labellings of a small tree."""
     import itertools
@@ -190,7 +226,7 @@ def brute_marginals(tree, node, edge):
             if x[i]:
                 w *= math.exp(sum(node.get(f, 0.0) for f in tree.features[i]))
             if i:
-                p = edge["text" if tree.text[i] is not None else "element"][x[tree.parent[i]]]
+                p = edge.get(dm.pair_kind(tree, i), edge["element"])[x[tree.parent[i]]]
                 w *= p if x[i] else 1 - p
         total += w
         for i in range(n):
@@ -200,15 +236,15 @@ def brute_marginals(tree, node, edge):
 
 def test_messages_are_exact():
     tree = dm.parse("<body><nav><a>x</a></nav><div><p>one two</p><p>three<ul><li>four</ul></div></body>")
-    node, edge = {"tag:nav": -1.5, "in:p": 0.7, "links:3": -0.9, "tag:div": 0.4, "tag:body": -0.2}, {"element": (0.2, 0.8), "text": (0.1, 0.9)}
+    node, edge = {"tag:nav": -1.5, "in:p": 0.7, "links:3": -0.9, "tag:div": 0.4, "tag:body": -0.2}, {"element": (0.2, 0.8), "text": (0.1, 0.9), "div>p": (0.3, 0.6)}
     assert dm.marginals(tree, node, edge, 0.0) == pytest.approx(brute_marginals(tree, node, edge), abs=1e-9)
 
 
 PAGES = [
     ("<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>A  &amp; B</h1><p><b>One\n two &lt;3<br>more <p>Three&nbsp;four <!-- no --> five</article><footer>&copy; x</footer>",
-     "A & B\nOne two <3 more\nThree four five"),
+     "A & B\n\nOne two <3 more\n\nThree four five"),
     ('<body><script>var a="</p><p>no</p>";</script><main><h1>T</h1><p>Real story text goes here and on.</p></main><div id="comments" class="comments"><p>nice one</p></div><aside class="sidebar"><p>Promo text stands here.</p></aside><form><p>Subscribe now</p></form></body>',
-     "T\nReal story text goes here and on."),
+     "T\n\nReal story text goes here and on."),
     (None, ""), ("", ""), ("<", ""), ("<p", ""),
 ]
 

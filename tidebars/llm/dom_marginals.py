@@ -29,7 +29,7 @@ SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th
 SAME = {k: frozenset(v.split()) for k, v in SAME.items()}
 LIMITS = frozenset("ul ol dl table div article section aside nav main body html form td th".split())
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z))""", re.S)
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -55,6 +55,7 @@ def parse(page: str) -> Tree:
     """Blocks and their elements. White space inside a block is one space, character references are decoded, comments and raw elements dropped."""
     tree, stack, at, link, linked, parts = Tree(), [("html", 0)], 0, 0, 0, []
     left_open, known, sizes = -1, {}, {}
+    opened: dict[str, list[int]] = {}  # of each element name, where it stands in the stack
 
     def following(start: str, at: int) -> int:
         """Where such a tag next starts, or past the end. Each part of the page is searched once for it."""
@@ -86,13 +87,15 @@ def parse(page: str) -> Tree:
         linked = 0
 
     def close(names: frozenset[str], stop: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                flush()
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
+        """Close the innermost of ``names`` that is open, unless one of ``stop`` is open inside it. Costs nothing for what is not open."""
+        k = max([opened[x][-1] for x in names if opened.get(x)], default=0)
+        if k and k >= max([opened[x][-1] for x in stop if opened.get(x)], default=0):
+            flush()
+            while len(stack) > k:
+                leave()
+
+    def leave() -> None:
+        opened[stack.pop()[0]].pop()
 
     while m := _TAG.search(page, at):
         put(page[at : m.start()])
@@ -107,7 +110,7 @@ def parse(page: str) -> Tree:
             elif name in BLOCKS or name in LOOSE:
                 flush()
                 if stack[-1][1] == left_open:
-                    stack.pop()
+                    leave()
                 close(frozenset((name,)), LIMITS if name in LOOSE else frozenset())
             continue
         if name in RAW:
@@ -128,7 +131,7 @@ def parse(page: str) -> Tree:
             continue
         flush()
         if stack[-1][1] == left_open:
-            stack.pop()
+            leave()
         if name in LOOSE and m[3].endswith("/"):
             continue
         link = 0
@@ -146,6 +149,7 @@ def parse(page: str) -> Tree:
         tree.features.append((f"tag:{name}", *dict.fromkeys(words)))
         tree.text.append(None)
         tree.label.append(label)
+        opened.setdefault(name, []).append(len(stack))
         stack.append((name, len(tree.parent) - 1))
         if name in LOOSE and following(f"/{name}", at) >= following(name, at):
             left_open = len(tree.parent) - 1
@@ -163,14 +167,23 @@ def parse(page: str) -> Tree:
     return tree
 
 
+def pair_kind(tree: Tree, i: int) -> str:
+    """What a parent-child potential depends on: a block stands in its element; an element in another is told by both tags."""
+    if tree.text[i] is not None:
+        return "text"
+    tag = lambda k: tree.features[k][0][4:].partition("/")[0]
+    return f"{tag(tree.parent[i])}>{tag(i)}"
+
+
 def marginals(tree: Tree, node: dict[str, float], edge: dict[str, tuple[float, float]], prior: float) -> list[float]:
-    """Probability of content at each node, by sum-product messages. node: log odds of features; edge: P(child content | parent not, parent)."""
+    """Probability of content at each node, by sum-product messages. node: log odds of features; edge: P(child content | parent not, parent), under
+    "element" for pairs of tags that have none of their own."""
     n = len(tree.parent)
     own, turn, up = [1.0] * n, [None] * n, [1.0] * n  # odds of a node alone; its edge; odds of what stands below it
     for i in range(n):
         odds = sum([node.get(f, 0.0) for f in tree.features[i]]) + (prior if i == 0 else 0.0)
         own[i] = math.exp(max(-30.0, min(30.0, odds)))
-        turn[i] = edge["text" if tree.text[i] is not None else "element"]
+        turn[i] = edge.get(pair_kind(tree, i), edge["element"]) if i else None
     sent = [1.0] * n  # message to the parent, as odds
     for i in range(n - 1, 0, -1):
         odds, (a, b) = min(max(own[i] * up[i], 1e-100), 1e100), turn[i]
@@ -282,6 +295,10 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
     return pages
 
 
+#: Pairs of tags met less often than this on labelled pages share one potential.
+LEAST_PAIRS = 20
+
+
 class Model:
     """Counts of labelled pages as potentials."""
 
@@ -290,12 +307,13 @@ class Model:
         names = {f for f, _ in counts}
         self.node = {f: math.log((counts.get((f, 1), 0) + smooth) / (total[1] + 2 * smooth)) - math.log((counts.get((f, 0), 0) + smooth) / (total[0] + 2 * smooth)) for f in names}
         self.edge = {}
-        for kind in ("element", "text"):
-            rates = []
-            for parent in (0, 1):
-                yes, no = pairs.get((kind, parent, 1), 0), pairs.get((kind, parent, 0), 0)
-                rates.append((yes + smooth) / (yes + no + 2 * smooth))
-            self.edge[kind] = tuple(rates)
+        whole = {("element", a, b): sum(n for (kind, p, y), n in pairs.items() if kind != "text" and (p, y) == (a, b)) for a in (0, 1) for b in (0, 1)}
+        for kind in ["text", "element", *sorted({k for k, _, _ in pairs} - {"text"})]:
+            counts = whole if kind == "element" else pairs
+            if kind in ("text", "element") or sum(counts.get((kind, a, b), 0) for a in (0, 1) for b in (0, 1)) >= LEAST_PAIRS:
+                yes, no = ([counts.get((kind, a, b), 0) for a in (0, 1)] for b in (1, 0))
+                share = (0.5, 0.5) if kind in ("text", "element") else self.edge["element"]
+                self.edge[kind] = tuple((y + 2 * smooth * s) / (y + n + 2 * smooth) for y, n, s in zip(yes, no, share, strict=True))
         self.prior = 0.0
 
 
@@ -316,7 +334,7 @@ def train(pages: DataFrame) -> Model:
                     rows += [("node", f, 0, y) for f in tree.features[i]]
                     up = tree.label[tree.parent[i]]
                     if up is not None:
-                        rows.append(("pair", "element" if tree.text[i] is None else "text", up, y))
+                        rows.append(("pair", pair_kind(tree, i), up, y))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))], ["what", "feature", "parent", "label"])
 
     got = map_arrow(pages.select("html"), run, kind).groupBy("what", "feature", "parent", "label").count().collect()
@@ -324,7 +342,7 @@ def train(pages: DataFrame) -> Model:
 
 
 def extract(pages: DataFrame, model: Model, html: str = "html") -> DataFrame:
-    """All columns of ``pages`` but ``html``, and text: the blocks whose marginal is one half or more, joined by \\n.
+    """All columns of ``pages`` but ``html``, and text: the blocks whose marginal is one half or more, in page order with an empty line in between (two \\n).
 
     Null or empty html, and pages without content, give the empty text. A column named text is replaced. Rows are independent: repeated rows
     and missing ids make no difference. Whole pages are read. An empty table gives no rows. Nothing is shuffled.
@@ -339,7 +357,7 @@ def extract(pages: DataFrame, model: Model, html: str = "html") -> DataFrame:
             for page in part.column("html").to_pylist():
                 tree = parse(page)
                 p = marginals(tree, node, edge, prior)
-                out.append("\n".join([t for t, x in zip(tree.text, p, strict=True) if t is not None and x >= 0.5]))
+                out.append("\n\n".join([t for t, x in zip(tree.text, p, strict=True) if t is not None and x >= 0.5]))
             yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(out, pa.string())], ["rest", "text"])
 
     got = map_arrow(rows, run, f"rest {rows.schema['rest'].dataType.simpleString()}, text string")
