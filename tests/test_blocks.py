@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import walk
+from market_helpers import walk
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -204,7 +204,7 @@ def test_plans_do_not_depend_on_length_or_multiply(walks):
 
 def test_a_position_that_never_closes(spark):
     """One holding period of 100,000 bars with stops, in batches of 1,000 rows."""
-    pdf = walk(100_000, 8, vol=0.004)
+    pdf = walk(100_000, 8, vol=0.004, freq="min")
     d = spark.createDataFrame(pdf).withColumns({"config_id": F.lit("c"), "sig": F.lit(1.0), "prev_sig": F.when(F.col("i") == 1, 0.0).otherwise(1.0), "stop": F.lit(0.02)})
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     try:

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import walk
+from market_helpers import walk
 from pyspark.sql import functions as F
 
 from tidebars.operators import ledger as lg

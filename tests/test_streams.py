@@ -2,7 +2,7 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from conftest import walk
+from market_helpers import walk
 
 from tidebars.operators import denoise as dn
 from tidebars.operators import ledger as lg

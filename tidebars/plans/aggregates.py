@@ -118,13 +118,14 @@ def versus(spark, sf):
 _DC = FEATURES
 _D = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, count({c}) AS count, {o.rnd(f'avg({c})', 7)} AS mean, {o.rnd(f'stddev_samp({c})', 7)} AS std, {o.rnd(f'min({c})', 7)} AS min, "
-    f"{o.rnd(f'quantile_cont({c}, 0.25)', 7)} AS q250, {o.rnd(f'quantile_cont({c}, 0.5)', 7)} AS q500, {o.rnd(f'quantile_cont({c}, 0.75)', 7)} AS q750, {o.rnd(f'max({c})', 7)} AS max FROM f" for c in _DC)
+    f"{o.rnd(f'quantile_cont({c}, 0.25)', 9)} AS q250, {o.rnd(f'quantile_cont({c}, 0.5)', 9)} AS q500, {o.rnd(f'quantile_cont({c}, 0.75)', 9)} AS q750, {o.rnd(f'max({c})', 7)} AS max FROM f" for c in _DC)
 
 
 @Q.add("d17_describe_features", ALL_FEATURES + " " + _D)
 def describe(spark, sf):
     d = ft.describe(rounded_features(spark, sf), _DC)
-    return d.select("feature", "count", *[r(c, 7).alias(c) for c in ("mean", "std", "min", "q250", "q500", "q750", "max")])
+    # features have six digits, so a quartile between two of them has eight: rounding it to fewer would meet ties
+    return d.select("feature", "count", *[r(c, 9 if c[0] == "q" else 7).alias(c) for c in ("mean", "std", "min", "q250", "q500", "q750", "max")])
 
 
 @Q.add("d18_denoise_rmse", o.daily(o.kalman("0.3", "3.0") + f" SELECT symbol, {o.rnd('sqrt(avg(pow(close-kalman_price, 2)))')} AS rmse FROM k WHERE i > 20 GROUP BY symbol"))
