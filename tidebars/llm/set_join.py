@@ -12,7 +12,8 @@ Two relations between sets keep lists from becoming pairs:
 * Answer skipping. Each list's smallest and largest id are its leaders. Every set is first compared with the leaders of its lists only.
   Sets linked through leaders share a component, and the answer for a pair inside one component adds nothing, so it is not computed. For a
   pair across components, what sets both apart from a common leader is known, and the pair's answer follows from that: it is skipped unless
-  they share enough of it (``through_leaders``). What is left is compared.
+  they share enough of it (``through_leaders``). Sets left outside meet the smallest member of their lists first, for as long as that joins
+  any; only then is what is left compared.
 
 So a group of thousands of near copies costs a few comparisons for each member. No link between different components is lost.
 """
@@ -24,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebars.llm.common import bit_filter, cut, documents, filled, grams, map_arrow, mix, passes, raw, slices, stored, weights, word_hashes
@@ -286,15 +287,14 @@ def compared(docs: DataFrame, pairs: DataFrame, sketch: np.ndarray) -> DataFrame
     return map_arrow(both, count, "a long, b long, common long, size_a long, size_b long, delta array<long>")
 
 
-def through_leaders(known: DataFrame, parts: DataFrame) -> DataFrame:
-    """x, y: pairs across components that may link, of sets that were compared with one leader.
+def leader_entries(known: DataFrame) -> DataFrame:
+    """low, token, id, w, p, k, at: what sets each set apart from a leader it was compared with, as index entries.
 
     With R tokens of the leader (P in all) that a set lacks and A others that it has, its weight is w = 5 R + 4 A: the set links with the
-    leader if w <= P. Two sets can only link if they share at least (w + w' - P) / 9 tokens of what sets them apart from the leader. Across
-    components one of them, x, is outside the leader's component and so has w > P; if both are, x is the one with the larger weight. That
-    number is then never below 1, and their deltas meet as sets do: the first common one of their tokens in the global order lies early in
-    both. A set y of the leader's component may have any weight, also a larger one than x, as it may have joined over a third set. Near
-    copies with edits of their own differ in rare tokens, so their lists are short however large their group is.
+    leader if w <= P. Two sets can only link if they share at least (w + w' - P) / 9 tokens of what sets them apart from the leader, so their
+    deltas meet as sets do: the first token that both have, in any order that is the same for all, lies early in both. The order here is by
+    how many deltas of the same leader hold a token. What the leader alone has is in all of them and comes last, however rare it is elsewhere;
+    a token of one delta only comes first and meets nobody, so it takes a place but makes no entry.
     """
     num, den = SIMILAR
     assert (num, den) == (4, 5)
@@ -302,14 +302,42 @@ def through_leaders(known: DataFrame, parts: DataFrame) -> DataFrame:
     one = known.select(c("a").alias("low"), c("b").alias("id"), c("size_a").alias("p"), c("size_b").alias("q"), "common", "delta")
     other = known.select(c("b").alias("low"), c("a").alias("id"), c("size_b").alias("p"), c("size_a").alias("q"), "common", "delta")
     weight = 5 * (c("p") - c("common")) + 4 * (c("q") - c("common"))
+    rows = one.union(other).select("low", "id", weight.alias("w"), "p", F.size("delta").alias("k"), "delta")
+    held = stored(rows.select("low", F.explode("delta").alias("token")).groupBy("low", "token").agg(F.count("*").alias("holders")).filter("holders > 1"), "delta-tokens")
+    spread = rows.select("low", "id", "w", "p", "k", F.explode("delta").alias("token")).join(held, ["low", "token"])
+    each = Window.partitionBy("low", "id")
+    at = c("k") - F.count("*").over(each) + F.row_number().over(each.orderBy("holders", "token")) - 1
+    # the longest beginning that any pair needs
+    return cut(spread.withColumn("at", at.cast("int")).filter(c("at") < F.greatest(_probed(), _listed(F.lit(True)))).drop("holders"))
+
+
+def _probed() -> Column:
+    """Entries of a set outside the leader's component that can be the first it shares with a lighter one."""
+    return F.when(F.col("w") > F.col("p"), F.col("k") - F.ceil((F.col("w") - F.col("p")) / 9) + 1).otherwise(0)
+
+
+def _listed(inside: Column) -> Column:
+    """Entries that can be the first a set shares with a heavier one, or, inside the leader's component, with any set outside."""
+    w, p = F.col("w"), F.col("p")
+    return F.col("k") - F.ceil(F.when(inside, w + 1).otherwise(F.greatest(2 * w - p, w + 1)) / 9) + 1
+
+
+def through_leaders(entries: DataFrame, parts: DataFrame, heads_only: bool = False) -> DataFrame:
+    """x, y: pairs across components that may link, of sets that were compared with one leader; each set only with its lists' smallest
+    members if ``heads_only``.
+
+    Across components one of two sets, x, is outside the leader's component and so has w > P; if both are, x is the one with the larger
+    weight. A set y of the leader's component may have any weight, also a larger one than x, as it may have joined over a third set.
+    """
+    c = F.col
     named = lambda k: parts.select(c("id").alias(k), c("component").alias(f"{k}_part"))
-    group = one.union(other).select("low", "id", weight.alias("w"), "p", "delta").join(named("low"), "low", "left").join(named("id"), "id", "left")
-    group = cut(group.withColumns({"part": F.coalesce("id_part", "id"), "low_part": F.coalesce("low_part", "low"), "k": F.size("delta")}).drop("id_part"))
-    apart = group.filter((c("w") > c("p")) & (c("part") != c("low_part")))
-    probe = apart.select("low", c("id").alias("x"), c("w").alias("wx"), "p", c("part").alias("cx"), c("k").alias("kx"), F.posexplode("delta").alias("ax", "token"))
+    rows = entries.join(named("low"), "low", "left").join(named("id"), "id", "left")
+    rows = rows.select("low", "token", "id", "w", "p", "k", "at", F.coalesce("id_part", "id").alias("part"), F.coalesce("low_part", "low").alias("low_part"))
     inside = c("part") == c("low_part")
-    early = c("k") - F.ceil(F.when(inside, c("w") + 1).otherwise(F.greatest(2 * c("w") - c("p"), c("w") + 1)) / 9) + 1
-    index = group.filter(early > 0).select("low", c("id").alias("y"), c("w").alias("wy"), c("part").alias("cy"), c("k").alias("ky"), inside.alias("inside"), F.posexplode(F.slice("delta", F.lit(1), early.cast("int"))).alias("ay", "token"))
+    probe = rows.filter(~inside & (c("at") < _probed())).select("low", "token", c("id").alias("x"), c("w").alias("wx"), "p", c("part").alias("cx"), c("k").alias("kx"), c("at").alias("ax"))
+    index = rows.filter(c("at") < _listed(inside)).select("low", "token", c("id").alias("y"), c("w").alias("wy"), c("part").alias("cy"), c("k").alias("ky"), inside.alias("inside"), c("at").alias("ay"))
+    if heads_only:
+        index = index.groupBy("low", "token").agg(F.min(F.struct("y", "wy", "cy", "ky", "inside", "ay")).alias("head")).select("low", "token", "head.*")
     least = F.ceil((c("wx") + c("wy") - c("p")) / 9)
     later = c("inside") | (c("wx") > c("wy")) | ((c("wx") == c("wy")) & (c("x") < c("y")))
     return probe.join(index, ["low", "token"]).filter(later & (c("cx") != c("cy")) & (c("ax") + least <= c("kx")) & (c("ay") + least <= c("ky"))).select("x", "y")
@@ -342,6 +370,21 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     known = cut(compared(texts_by_id, first, sketch))
     links = known.filter(is_link()).select("a", "b")
     parts = stored(components(links), "parts")
+    ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    # sets that no leader joined meet the smallest member of each list of what sets them apart from a leader, until that joins nothing more
+    entries = leader_entries(known)
+    seen = known.select("a", "b")
+    while True:
+        fresh = cut(plausible(ordered(through_leaders(entries, parts, heads_only=True)).join(seen, ["a", "b"], "left_anti"), named))
+        if fresh.isEmpty():
+            break
+        seen = cut(seen.union(fresh))
+        met_now = cut(compared(texts_by_id, fresh, sketch).filter(is_link()).select("a", "b"))
+        if met_now.isEmpty():
+            break
+        links = cut(links.union(met_now))
+        parts = stored(components(links), "parts")
 
     # answer skipping: across components only; pairs compared with a common leader by their deltas, others by their places in the list
     placed = met.select("token", "id", "n", "at", "low", "high").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -350,8 +393,8 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     with_low = known.select(c("a").alias("low"), c("b").alias("id"), F.lit(True).alias("by_low")).distinct()
     with_high = known.select(c("a").alias("id"), c("b").alias("high"), F.lit(True).alias("by_high")).distinct()
     open_rows = placed.join(mixed, "token").join(with_low, ["low", "id"], "left").join(with_high, ["high", "id"], "left")
-    seen = [(F.coalesce(f"by_{k}", F.lit(False)) | (c("id") == c(k))).alias(f"by_{k}") for k in ("low", "high")]
-    open_rows = cut(open_rows.select("token", "id", "n", "at", "component", *seen))
+    by = [(F.coalesce(f"by_{k}", F.lit(False)) | (c("id") == c(k))).alias(f"by_{k}") for k in ("low", "high")]
+    open_rows = cut(open_rows.select("token", "id", "n", "at", "component", *by))
     grow = math.log(BLOCK_GROWTH)
     block = lambda size: F.floor(F.log(size.cast("double")) / grow).cast("int")
     num, den = SIMILAR
@@ -361,9 +404,8 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     index = open_rows.filter(most >= fewest).select("token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("component").alias("cy"), F.col("by_low").alias("ly"), F.col("by_high").alias("hy"), F.explode(F.sequence(block(fewest), block(most))).alias("block"))
     probe = open_rows.select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"), F.col("by_low").alias("lx"), F.col("by_high").alias("hx"), block(F.col("n")).alias("block"))
     unseen = probe.join(index, ["token", "block"]).filter(~((c("lx") & c("ly")) | (c("hx") & c("hy"))) & (c("cx") != c("cy")) & ((c("nx") < c("ny")) | ((c("nx") == c("ny")) & (c("x") < c("y")))) & may_link(c("nx"), c("ax"), c("ny"), c("ay")))
-    crossing = unseen.select("x", "y").union(through_leaders(known, parts))
-    rest = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    rest = cut(plausible(rest, named))
+    crossing = unseen.select("x", "y").union(through_leaders(entries, parts))
+    rest = cut(plausible(ordered(crossing).join(seen, ["a", "b"], "left_anti"), named))
     more = compared(texts_by_id, rest, sketch).filter(is_link()).select("a", "b") if not rest.isEmpty() else links.limit(0)
     links = cut(links.union(more))
     # rows of one id, and members of one class, are tied without comparison
