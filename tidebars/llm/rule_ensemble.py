@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +18,9 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from tidebars.llm.common import cut, documents, filled, kept_in_worker, map_arrow, raw, slices, word_hashes
+from tidebars.llm.common import cut, documents, filled, give_back, kept_in_worker, map_arrow, raw, slices, word_hashes
 
 #: Labelled rows that training reads at most, the first by a hash of their id. Every row is scored.
 TRAINING_ROWS = 20_000
@@ -155,9 +157,23 @@ def scored(docs: DataFrame, model: RuleEnsemble, text: str = "text", threshold:
     return measured(docs, text, carry).select("row", model.score().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are predicted good."""
-    return scored(docs, train(docs, labels)).filter("predicted = 1").select("row.*")
+@F.arrow_udf(ArrayType(DoubleType()))
+def text_statistics(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``statistics`` of a string column."""
+    for column in texts:
+        parts = [statistics(raw(part.column("text"))) for part in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text")]
+        got = np.concatenate(parts) if parts else np.empty((0, len(STATISTICS)))
+        yield pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(got.ravel()))
+    give_back()
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are predicted good. Only texts go to Python and only statistics come back; rows stay where they are."""
+    model = train(docs, labels)
+    whole = F.struct(*docs.columns).alias("row")
+    got = docs.select(whole, text_statistics(filled()).alias("s"))
+    got = got.select("row", *(F.col("s")[k].alias(name) for k, name in enumerate(STATISTICS)))
+    return got.filter(model.score() >= threshold).select("row.*")
 
 
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.llm.common import bit_filter, cut, documents, filled, grams, map_arrow, mix, passes, raw, slices, stored, weights, word_hashes
@@ -253,7 +253,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame, pairs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """a, b, common, size_a, size_b for the pairs (a, b) of doc_ids, and delta: the tokens that only one of them has, in the global order.
+    """a, b, common, size_a, size_b for the pairs (a, b) of doc_ids, and the tokens that only one of them has, only_a and only_b, in the global order.
     Sets are made again from the texts of documents that occur in a pair.
 
     A document may pass the bit array without being in a pair; it then joins nothing."""
@@ -275,40 +275,37 @@ def compared(docs: DataFrame, pairs: DataFrame, sketch: np.ndarray) -> DataFrame
 
     def count(batches):
         for batch in batches:
-            common, delta = [], []
+            common, only = [], ([], [])
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                rest = np.setxor1d(p, q, assume_unique=True)
-                common.append((len(p) + len(q) - len(rest)) // 2)
-                delta.append(rest[np.argsort(sent.value[rest >> np.uint64(64 - bits)], kind="stable")].view(np.int64))
+                for here, there, out in ((p, q, only[0]), (q, p, only[1])):
+                    rest = np.setdiff1d(here, there, assume_unique=True)
+                    out.append(rest[np.argsort(sent.value[rest >> np.uint64(64 - bits)], kind="stable")].view(np.int64))
+                common.append(len(p) - len(only[0][-1]))
             size = [pa.array([len(v.as_buffer()) // 8 for v in batch.column(c)], pa.int64()) for c in ("x", "y")]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), *size, pa.array(delta, pa.list_(pa.int64()))], ["a", "b", "common", "size_a", "size_b", "delta"])
+            deltas = [pa.array(rows, pa.list_(pa.int64())) for rows in only]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), *size, *deltas], ["a", "b", "common", "size_a", "size_b", "only_a", "only_b"])
 
-    return map_arrow(both, count, "a long, b long, common long, size_a long, size_b long, delta array<long>")
+    return map_arrow(both, count, "a long, b long, common long, size_a long, size_b long, only_a array<long>, only_b array<long>")
 
 
-def leader_entries(known: DataFrame) -> DataFrame:
-    """low, token, id, w, p, k, at: what sets each set apart from a leader it was compared with, as index entries.
+def leader_rows(known: DataFrame) -> DataFrame:
+    """low, id, w, p, k, delta: what sets each set apart from a leader it was compared with.
 
     With R tokens of the leader (P in all) that a set lacks and A others that it has, its weight is w = 5 R + 4 A: the set links with the
     leader if w <= P. Two sets can only link if they share at least (w + w' - P) / 9 tokens of what sets them apart from the leader, so their
-    deltas meet as sets do: the first token that both have, in any order that is the same for all, lies early in both. The order here is by
-    how many deltas of the same leader hold a token. What the leader alone has is in all of them and comes last, however rare it is elsewhere;
-    a token of one delta only comes first and meets nobody, so it takes a place but makes no entry.
+    deltas meet as sets do: the first token that both have, in any order that is the same for all, lies early in both. The order here puts
+    what few of the leader's deltas hold first: of what the set has, the globally rare; then of what it lacks, the globally common. What the
+    leader alone has is missing in all others and comes last.
     """
     num, den = SIMILAR
     assert (num, den) == (4, 5)
     c = F.col
-    one = known.select(c("a").alias("low"), c("b").alias("id"), c("size_a").alias("p"), c("size_b").alias("q"), "common", "delta")
-    other = known.select(c("b").alias("low"), c("a").alias("id"), c("size_b").alias("p"), c("size_a").alias("q"), "common", "delta")
+    delta = lambda has, lacks: F.concat(has, F.reverse(lacks)).alias("delta")
+    one = known.select(c("a").alias("low"), c("b").alias("id"), c("size_a").alias("p"), c("size_b").alias("q"), "common", delta("only_b", "only_a"))
+    other = known.select(c("b").alias("low"), c("a").alias("id"), c("size_b").alias("p"), c("size_a").alias("q"), "common", delta("only_a", "only_b"))
     weight = 5 * (c("p") - c("common")) + 4 * (c("q") - c("common"))
-    rows = one.union(other).select("low", "id", weight.alias("w"), "p", F.size("delta").alias("k"), "delta")
-    held = stored(rows.select("low", F.explode("delta").alias("token")).groupBy("low", "token").agg(F.count("*").alias("holders")).filter("holders > 1"), "delta-tokens")
-    spread = rows.select("low", "id", "w", "p", "k", F.explode("delta").alias("token")).join(held, ["low", "token"])
-    each = Window.partitionBy("low", "id")
-    at = c("k") - F.count("*").over(each) + F.row_number().over(each.orderBy("holders", "token")) - 1
-    # the longest beginning that any pair needs
-    return cut(spread.withColumn("at", at.cast("int")).filter(c("at") < F.greatest(_probed(), _listed(F.lit(True)))).drop("holders"))
+    return one.union(other).select("low", "id", weight.alias("w"), "p", F.size("delta").alias("k"), "delta")
 
 
 def _probed() -> Column:
@@ -322,7 +319,7 @@ def _listed(inside: Column) -> Column:
     return F.col("k") - F.ceil(F.when(inside, w + 1).otherwise(F.greatest(2 * w - p, w + 1)) / 9) + 1
 
 
-def through_leaders(entries: DataFrame, parts: DataFrame, heads_only: bool = False) -> DataFrame:
+def through_leaders(group: DataFrame, parts: DataFrame, heads_only: bool = False) -> DataFrame:
     """x, y: pairs across components that may link, of sets that were compared with one leader; each set only with its lists' smallest
     members if ``heads_only``.
 
@@ -331,11 +328,12 @@ def through_leaders(entries: DataFrame, parts: DataFrame, heads_only: bool = Fal
     """
     c = F.col
     named = lambda k: parts.select(c("id").alias(k), c("component").alias(f"{k}_part"))
-    rows = entries.join(named("low"), "low", "left").join(named("id"), "id", "left")
-    rows = rows.select("low", "token", "id", "w", "p", "k", "at", F.coalesce("id_part", "id").alias("part"), F.coalesce("low_part", "low").alias("low_part"))
+    rows = group.join(named("low"), "low", "left").join(named("id"), "id", "left")
+    rows = rows.select("low", "id", "w", "p", "k", "delta", F.coalesce("id_part", "id").alias("part"), F.coalesce("low_part", "low").alias("low_part"))
     inside = c("part") == c("low_part")
-    probe = rows.filter(~inside & (c("at") < _probed())).select("low", "token", c("id").alias("x"), c("w").alias("wx"), "p", c("part").alias("cx"), c("k").alias("kx"), c("at").alias("ax"))
-    index = rows.filter(c("at") < _listed(inside)).select("low", "token", c("id").alias("y"), c("w").alias("wy"), c("part").alias("cy"), c("k").alias("ky"), inside.alias("inside"), c("at").alias("ay"))
+    early = lambda n, at: F.posexplode(F.slice("delta", F.lit(1), F.greatest(n, F.lit(0)).cast("int"))).alias(at, "token")
+    probe = rows.filter(~inside & (c("w") > c("p"))).select("low", c("id").alias("x"), c("w").alias("wx"), "p", c("part").alias("cx"), c("k").alias("kx"), early(_probed(), "ax"))
+    index = rows.select("low", c("id").alias("y"), c("w").alias("wy"), c("part").alias("cy"), c("k").alias("ky"), inside.alias("inside"), early(_listed(inside), "ay"))
     if heads_only:
         index = index.groupBy("low", "token").agg(F.min(F.struct("y", "wy", "cy", "ky", "inside", "ay")).alias("head")).select("low", "token", "head.*")
     least = F.ceil((c("wx") + c("wy") - c("p")) / 9)
@@ -373,10 +371,10 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     # sets that no leader joined meet the smallest member of each list of what sets them apart from a leader, until that joins nothing more
-    entries = leader_entries(known)
+    group = leader_rows(known)
     seen = known.select("a", "b")
     while True:
-        fresh = cut(plausible(ordered(through_leaders(entries, parts, heads_only=True)).join(seen, ["a", "b"], "left_anti"), named))
+        fresh = cut(plausible(ordered(through_leaders(group, parts, heads_only=True)).join(seen, ["a", "b"], "left_anti"), named))
         if fresh.isEmpty():
             break
         seen = cut(seen.union(fresh))
@@ -404,7 +402,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     index = open_rows.filter(most >= fewest).select("token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("component").alias("cy"), F.col("by_low").alias("ly"), F.col("by_high").alias("hy"), F.explode(F.sequence(block(fewest), block(most))).alias("block"))
     probe = open_rows.select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"), F.col("by_low").alias("lx"), F.col("by_high").alias("hx"), block(F.col("n")).alias("block"))
     unseen = probe.join(index, ["token", "block"]).filter(~((c("lx") & c("ly")) | (c("hx") & c("hy"))) & (c("cx") != c("cy")) & ((c("nx") < c("ny")) | ((c("nx") == c("ny")) & (c("x") < c("y")))) & may_link(c("nx"), c("ax"), c("ny"), c("ay")))
-    crossing = unseen.select("x", "y").union(through_leaders(entries, parts))
+    crossing = unseen.select("x", "y").union(through_leaders(group, parts))
     rest = cut(plausible(ordered(crossing).join(seen, ["a", "b"], "left_anti"), named))
     more = compared(texts_by_id, rest, sketch).filter(is_link()).select("a", "b") if not rest.isEmpty() else links.limit(0)
     links = cut(links.union(more))
