@@ -62,9 +62,9 @@ def hold(spark, sf):
     return a.join(b, [*KEYS, "i"]).select("symbol", day().alias("d"), r("v", 4).alias("v"), r("v_lots", 6).alias("v_lots"))
 
 
-@Q.add("d10_equal_weight_hold", o.aligned(f"f AS (SELECT symbol, close AS c0 FROM b WHERE i = 253) SELECT ds AS d, {o.rnd('sum(50000*close/c0)', 4)} AS v FROM b JOIN f USING (symbol) WHERE i > 252 GROUP BY ds"))
+@Q.add("d10_equal_weight_hold", o.portfolios(f"f AS (SELECT symbol, close AS c0 FROM b WHERE i = 253) SELECT ds AS d, {o.rnd('sum(50000*close/c0)', 4)} AS v FROM b JOIN f USING (symbol) WHERE i > 252 GROUP BY ds"))
 def equal_weight(spark, sf):
-    return rp.equal_weight_hold(pair(spark, sf)).select(day().alias("d"), r("v", 4).alias("v"))
+    return rp.equal_weight_hold(pair(spark, sf)).select("portfolio", day().alias("d"), r("v", 4).alias("v"))
 
 
 @Q.add("d11_trade_totals", f"SELECT symbol, config_id, count(*) AS trades, {o.rnd('sum(cost)', 2)} AS total_cost, {o.rnd('sum(realized_net_pnl)', 1)} AS net_pnl FROM ({_LOG_SQL}) GROUP BY symbol, config_id")
@@ -182,9 +182,9 @@ _FEE_P = _FEE_SQL + ", " + o.perf(keys="config_id") + ", trd AS (SELECT config_i
 _FEE_COLS = ["cum_return", "ann_return", "sharpe", "max_drawdown"]
 
 
-@Q.add("d26_fee_table", o.aligned(_FEE_P + " SELECT config_id, " + ", ".join(f"{o.rnd(c)} AS {c}" for c in _FEE_COLS) + ", trades FROM p JOIN trd USING (config_id)"))
+@Q.add("d26_fee_table", o.portfolios(_FEE_P + " SELECT config_id, " + ", ".join(f"{o.rnd(c)} AS {c}" for c in _FEE_COLS) + ", trades FROM p JOIN trd USING (config_id)"))
 def fee_table(spark, sf):
-    return fee_metrics(spark, sf).select("config_id", *[r(c).alias(c) for c in _FEE_COLS], "trades")
+    return fee_metrics(spark, sf).select("portfolio", "config_id", *[r(c).alias(c) for c in _FEE_COLS], "trades")
 
 
 @Q.add("h2_rank_by_sharpe", o.daily(_P + " SELECT symbol, config_id, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, config_id) AS rank FROM p"))
@@ -192,10 +192,10 @@ def rank(spark, sf):
     return mt.ranked(plain_metrics(spark, sf)).select("symbol", "config_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@Q.add("h3_rank_of_flagged", o.aligned(_FEE_P + " SELECT * FROM (SELECT config_id, row_number() OVER (ORDER BY sharpe DESC, config_id) AS rank FROM p) WHERE config_id = '20 bps'"))
+@Q.add("h3_rank_of_flagged", o.portfolios(_FEE_P + " SELECT * FROM (SELECT config_id, row_number() OVER (ORDER BY sharpe DESC, config_id) AS rank FROM p) WHERE config_id = '20 bps'"))
 def rank_flagged(spark, sf):
     d = mt.ranked(fee_metrics(spark, sf), within=("portfolio",))
-    return d.where("config_id = '20 bps'").select("config_id", F.col("rank").cast("bigint").alias("rank"))
+    return d.where("config_id = '20 bps'").select("portfolio", "config_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @Q.add("h6_latest_value", o.daily("SELECT symbol, max_by(close, i) AS close, max(ds) AS d FROM b GROUP BY symbol"))

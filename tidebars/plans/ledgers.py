@@ -20,7 +20,9 @@ from tidebars.sources.ticks import daily, kept
 Q = Registry()
 CK = [*KEYS, "config_id"]
 PK = ["portfolio", "config_id"]
-LEGS = [("ar", 1, "A", 0.5, 0.3, 3.0), ("ar", 2, "R", 0.5, 0.8, 8.0)]
+# Filter parameters go by leg: the first one's, and all others'.
+LEGS = [(name, k, symbol, 0.5, *((0.3, 3.0) if k == 1 else (0.8, 8.0))) for name, pair in o.PAIRS.items() for k, symbol in enumerate(pair, 1)]
+THREE = [("anr", k, symbol, 1 / 3, *((0.3, 3.0) if k == 1 else (0.8, 8.0))) for k, symbol in enumerate("ANR", 1)]
 EQ = f"SELECT symbol, config_id, ds AS d, {o.rnd('v', 3)} AS v FROM eq"
 
 PLAIN = [sg.Config("l2", 15, 80, 2.0), sg.Config("l1", 10, 40, 1.0)]
@@ -142,20 +144,29 @@ def _joint(sig, trade=None, **kw):
 
 
 def _joint_out(eq):
-    return eq.select("config_id", day().alias("d"), r("v", 2).alias("v"), F.col("trades").cast("bigint").alias("trades"))
+    return eq.select("portfolio", "config_id", day().alias("d"), r("v", 2).alias("v"), F.col("trades").cast("bigint").alias("trades"))
 
 
 _SEL = f"SELECT config_id, strftime(d, '%Y-%m-%d') AS d, {o.rnd('v', 2)} AS v, CAST(trades AS BIGINT) AS trades FROM eq"
 
 
+def _x(cfgs, leg, price="close", src="b"):
+    """Crossover signals of one leg's configs as SQL table ``x{leg}``."""
+    sql = o.crossover(cfgs, price, src).replace("cfg(", f"cfg{leg}(").replace("CROSS JOIN cfg", f"CROSS JOIN cfg{leg}").replace("cfg.config_id", f"cfg{leg}.config_id")
+    return sql.replace("sm AS", f"sm{leg} AS").replace("FROM sm ", f"FROM sm{leg} ").replace("sm.symbol", f"sm{leg}.symbol").replace("x AS MAT", f"x{leg} AS MAT")
+
+
+def _legs_sql(cfgs, symbols, price="close", src="b", noise=None):
+    """SQL table ``j`` for a portfolio from one crossover config list for each leg."""
+    ks = range(1, len(symbols) + 1)
+    sig = (lambda k: f"x{k}.sig") if noise is None else lambda k: f"least(1.0, greatest(0.0, x{k}.sig + {noise}*" + o.normal(f"(x{k}.config_id || '/' || x{k}.symbol)", f"x{k}.i") + "))"
+    cols = ", ".join(f"x{k}.close AS c{k}, {sig(k)} AS s{k}, {'0.5' if len(symbols) == 2 else f'1.0/{len(symbols)}'}*x{k}.leverage AS w{k}, x{k}.stop AS st{k}, false AS t{k}" for k in ks)
+    joins = " ".join(f"JOIN x{k} ON x1.config_id = x{k}.config_id AND x1.i = x{k}.i AND x{k}.symbol = '{symbols[k - 1]}'" for k in ks if k > 1)
+    return ", ".join(_x(c, k, price, src) for k, c in enumerate(cfgs, 1)) + f", j AS MATERIALIZED (SELECT x1.config_id, x1.i, x1.d, x1.bb, x1.ss, {cols} FROM x1 {joins} WHERE x1.symbol = '{symbols[0]}')"
+
+
 def _j(cfg_a, cfg_r, price="close", src="b", noise=None):
-    """SQL table ``j`` for the pair from two crossover config lists."""
-    xa = o.crossover(cfg_a, price, src).replace("cfg(", "cfga(").replace("CROSS JOIN cfg", "CROSS JOIN cfga").replace("cfg.config_id", "cfga.config_id").replace("sm AS", "sma AS").replace("FROM sm ", "FROM sma ").replace("sm.symbol", "sma.symbol").replace("x AS MAT", "xa AS MAT")
-    xr = o.crossover(cfg_r, price, src).replace("cfg(", "cfgr(").replace("CROSS JOIN cfg", "CROSS JOIN cfgr").replace("cfg.config_id", "cfgr.config_id").replace("sm AS", "smr AS").replace("FROM sm ", "FROM smr ").replace("sm.symbol", "smr.symbol").replace("x AS MAT", "xr AS MAT")
-    s = "{t}.sig" if noise is None else "least(1.0, greatest(0.0, {t}.sig + " + str(noise) + "*" + o.normal("({t}.config_id || '/' || {t}.symbol)", "{t}.i") + "))"
-    return f"""{xa}, {xr}, j AS MATERIALIZED (SELECT xa.config_id, xa.i, xa.d, xa.bb, xa.ss, xa.close AS c1, xr.close AS c2, {s.format(t='xa')} AS s1, {s.format(t='xr')} AS s2,
-      0.5*xa.leverage AS w1, 0.5*xr.leverage AS w2, xa.stop AS st1, xr.stop AS st2, false AS t1, false AS t2
-      FROM xa JOIN xr ON xa.config_id = xr.config_id AND xa.i = xr.i AND xa.symbol = 'A' AND xr.symbol = 'R')"""
+    return _legs_sql([cfg_a, cfg_r], "AR", price, src, noise)
 
 
 def _both(name, a, b):
@@ -176,12 +187,24 @@ def _pair_kalman():
     return src + o.kalman("bq", "br", "ba", o.ADAPTIVE.format(r="br"))
 
 
-@Q.add("f3_joint_ledger", o.aligned(_pair_kalman() + ", " + _j(_leg(_JOINT, 1), _leg(_JOINT, 2), "kalman_price", "k") + "," + o.joint(2) + " " + _SEL))
+@Q.add("f3_joint_ledger", o.portfolios(_pair_kalman() + ", " + _j(_leg(_JOINT, 1), _leg(_JOINT, 2), "kalman_price", "k") + "," + o.joint(2) + " " + _SEL))
 def joint_ledger(spark, sf):
     sig = sg.crossover(pair_denoised(spark, sf), _JOINT, "kalman_price", keys=LEG_KEYS)
     return _joint_out(_joint(lg.with_stops(sig, [*LEG_KEYS, "config_id"])))
 
 
+_J3 = (12, 60, 1.0, 0.08, 5.0, 15.0)
+_JOINT3 = [sg.Config("joint", *p, only_leg=k) for k, p in enumerate((_J1, _J2, _J3), 1)]
+
+
+@Q.add("f3_three_legs", o.aligned_three(_pair_kalman() + ", " + _legs_sql([_leg(_JOINT3, k) for k in (1, 2, 3)], "ANR", "kalman_price", "k") + "," + o.joint(3) + f" SELECT 'anr' AS portfolio, * FROM ({_SEL})"))
+def three_legs(spark, sf):
+    """One portfolio of all symbols, on the bars that all of them have."""
+    legs = denoise(aligned(daily(spark, sf), portfolios(spark, THREE)), "adaptive", LEG_KEYS, q="q", r="r")
+    sig = lg.with_stops(sg.crossover(legs, _JOINT3, "kalman_price", keys=LEG_KEYS), [*LEG_KEYS, "config_id"])
+    return _joint_out(lg.joint(lg.wide(sig.withColumn("weight", F.lit(1 / 3)), PK), PK))
+
+
 _GRID = sg.sma_grid(1.5)
 
 
@@ -189,7 +212,7 @@ def grid_equity(spark, sf):
     return kept(spark, (sf, "pair-grid"), lambda: _joint(sg.crossover(pair_denoised(spark, sf), _GRID, "kalman_price", keys=LEG_KEYS)))
 
 
-@Q.add("f4_sma_grid", o.aligned(_pair_kalman() + ", " + _j(_GRID, _GRID, "kalman_price", "k") + "," + o.joint(2) + " " + _SEL))
+@Q.add("f4_sma_grid", o.portfolios(_pair_kalman() + ", " + _j(_GRID, _GRID, "kalman_price", "k") + "," + o.joint(2) + " " + _SEL))
 def sma_grid(spark, sf):
     return _joint_out(grid_equity(spark, sf))
 
@@ -197,14 +220,14 @@ def sma_grid(spark, sf):
 _MOM = [sg.Config("momentum", 1, 252, 2.0, only_leg=1), sg.Config("momentum", 1, 252, 1.5, only_leg=2)]
 
 
-@Q.add("f5_momentum", o.aligned(f"""ms AS (SELECT *, CASE WHEN i > 252 AND lag(on_) OVER {o.W} = 1 THEN 1.0 ELSE 0.0 END AS sig FROM (SELECT *, CASE WHEN close > {o.mean('close', 252)} THEN 1 ELSE 0 END AS on_ FROM b)),
+@Q.add("f5_momentum", o.portfolios(f"""ms AS (SELECT *, CASE WHEN i > 252 AND lag(on_) OVER {o.W} = 1 THEN 1.0 ELSE 0.0 END AS sig FROM (SELECT *, CASE WHEN close > {o.mean('close', 252)} THEN 1 ELSE 0 END AS on_ FROM b)),
   j AS MATERIALIZED (SELECT 'momentum' AS config_id, a.i, a.d, 0.0005 AS bb, 0.0015 AS ss, a.close AS c1, r.close AS c2, a.sig AS s1, r.sig AS s2, 1.0 AS w1, 0.75 AS w2, 9.0 AS st1, 9.0 AS st2, false AS t1, false AS t2
     FROM ms a JOIN ms r ON a.i = r.i AND a.symbol = 'A' AND r.symbol = 'R'),""" + o.joint(2) + " " + _SEL))
 def momentum(spark, sf):
     return _joint_out(_joint(sg.momentum(pair(spark, sf), _MOM, keys=LEG_KEYS)))
 
 
-@Q.add("f6_monthly_rebalance", o.aligned(f"""mo AS (SELECT *, (month(d) <> lag(month(d)) OVER {o.W} OR i = 253) AND i > 252 AS t FROM b),
+@Q.add("f6_monthly_rebalance", o.portfolios(f"""mo AS (SELECT *, (month(d) <> lag(month(d)) OVER {o.W} OR i = 253) AND i > 252 AS t FROM b),
   j AS MATERIALIZED (SELECT 'monthly' AS config_id, a.i, a.d, 0.0005 AS bb, 0.0015 AS ss, a.close AS c1, r.close AS c2, CASE WHEN a.i > 252 THEN 1.0 ELSE 0.0 END AS s1, CASE WHEN a.i > 252 THEN 1.0 ELSE 0.0 END AS s2, 1.0 AS w1, 0.75 AS w2, 9.0 AS st1, 9.0 AS st2, a.t AS t1, r.t AS t2
     FROM mo a JOIN mo r ON a.i = r.i AND a.symbol = 'A' AND r.symbol = 'R'),""" + o.joint(2) + " " + _SEL))
 def monthly(spark, sf):
@@ -217,7 +240,7 @@ def monthly(spark, sf):
 _RAW = [sg.Config("raw", 10, 50, 2.0, only_leg=1), sg.Config("raw", 10, 50, 1.5, only_leg=2)]
 
 
-@Q.add("f7_raw_sma", o.aligned(_j(_leg(_RAW, 1), _leg(_RAW, 2)) + "," + o.joint(2) + " " + _SEL))
+@Q.add("f7_raw_sma", o.portfolios(_j(_leg(_RAW, 1), _leg(_RAW, 2)) + "," + o.joint(2) + " " + _SEL))
 def raw_sma(spark, sf):
     return _joint_out(_joint(sg.crossover(pair(spark, sf), _RAW, keys=LEG_KEYS)))
 
@@ -236,7 +259,7 @@ def fee_equity(spark, sf):
 _FEE_SQL = _pair_kalman() + ", " + _j(_leg(_FEE, 1), _leg(_FEE, 2), "kalman_price", "k") + "," + o.joint(2)
 
 
-@Q.add("f8_fee_sweep", o.aligned(_FEE_SQL + " " + _SEL))
+@Q.add("f8_fee_sweep", o.portfolios(_FEE_SQL + " " + _SEL))
 def fee_sweep(spark, sf):
     return _joint_out(fee_equity(spark, sf))
 
@@ -261,9 +284,9 @@ def _seed_sql(sigma):
 
 def _seed_query(name, sigma):
     sql = _seed_sql(sigma).replace("j AS MATERIALIZED (SELECT", "j0 AS (SELECT", 1).replace(
-        "xa.symbol = 'A' AND xr.symbol = 'R'),", "xa.symbol = 'A' AND xr.symbol = 'R'), j AS MATERIALIZED (SELECT * REPLACE (CASE WHEN i > 252 THEN s1 ELSE 0 END AS s1, CASE WHEN i > 252 THEN s2 ELSE 0 END AS s2) FROM j0),", 1)
-    Q.add(name, o.aligned(sql + f" SELECT config_id, {o.rnd('100*(max_by(v, i)/100000-1)', 4)} AS return_pct, CAST(sum(trades) AS BIGINT) AS trades FROM eq WHERE i > 252 GROUP BY config_id"))(
-        lambda spark, sf: _seed_equity(spark, sf, sigma).groupBy("config_id").agg(
+        "WHERE x1.symbol = 'A'),", "WHERE x1.symbol = 'A'), j AS MATERIALIZED (SELECT * REPLACE (CASE WHEN i > 252 THEN s1 ELSE 0 END AS s1, CASE WHEN i > 252 THEN s2 ELSE 0 END AS s2) FROM j0),", 1)
+    Q.add(name, o.portfolios(sql + f" SELECT config_id, {o.rnd('100*(max_by(v, i)/100000-1)', 4)} AS return_pct, CAST(sum(trades) AS BIGINT) AS trades FROM eq WHERE i > 252 GROUP BY config_id"))(
+        lambda spark, sf: _seed_equity(spark, sf, sigma).groupBy(*PK).agg(
             r(100 * (F.max_by("v", "i") / lg.CAPITAL - 1), 4).alias("return_pct"), F.sum("trades").alias("trades")))
 
 
@@ -281,25 +304,25 @@ def pair_vol(spark, sf):
     return owned(rg.with_volatility(pair(spark, sf), keys=LEG_KEYS)).where(f"i > {sg.START}")
 
 
-@Q.add("f10_inverse_vol_weights", o.aligned(_PAIR_VOL + f""" SELECT symbol, ds AS d, {o.rnd('CASE WHEN lo > 0 THEN (1/vol)/tot ELSE 0.5 END', 8)} AS weight
+@Q.add("f10_inverse_vol_weights", o.portfolios(_PAIR_VOL + f""" SELECT symbol, ds AS d, {o.rnd('CASE WHEN lo > 0 THEN (1/vol)/tot ELSE 0.5 END', 8)} AS weight
   FROM (SELECT *, min(vol) OVER (PARTITION BY d) AS lo, sum(1/nullif(vol, 0)) OVER (PARTITION BY d) AS tot FROM raw WHERE i > 252)"""))
 def inverse_vol(spark, sf):
-    return pair_vol(spark, sf).select("symbol", day().alias("d"), r(rt.inverse_vol_weight(), 8).alias("weight"))
+    return pair_vol(spark, sf).select("portfolio", "symbol", day().alias("d"), r(rt.inverse_vol_weight(), 8).alias("weight"))
 
 
-@Q.add("f11_vol_target_leverage", o.aligned(_PAIR_VOL + f" SELECT symbol, ds AS d, {o.rnd("CASE WHEN vol > 0 THEN least(5.0, greatest(1.0, 5*CASE symbol WHEN 'A' THEN 0.006 ELSE 0.015 END/vol)) ELSE 5.0 END", 8)} AS leverage FROM raw WHERE i > 252"))
+@Q.add("f11_vol_target_leverage", o.portfolios(_PAIR_VOL + f" SELECT symbol, ds AS d, {o.rnd("CASE WHEN vol > 0 THEN least(5.0, greatest(1.0, 5*CASE symbol WHEN 'A' THEN 0.006 ELSE 0.015 END/vol)) ELSE 5.0 END", 8)} AS leverage FROM raw WHERE i > 252"))
 def vol_target(spark, sf):
-    return pair_vol(spark, sf).select("symbol", day().alias("d"), r(rt.vol_target_leverage(), 8).alias("leverage"))
+    return pair_vol(spark, sf).select("portfolio", "symbol", day().alias("d"), r(rt.vol_target_leverage(), 8).alias("leverage"))
 
 
 _AGENT_SQL = "CASE regime WHEN 'EXTREME_VOLATILITY' THEN 'DQN' WHEN 'HIGH_VOLATILITY' THEN 'A2C' WHEN 'LOW_VOLATILITY' THEN 'DDPG' ELSE 'PPO' END"
 _STOP_SQL = "CASE WHEN symbol = 'A' THEN CASE agent WHEN 'DQN' THEN 0.015 WHEN 'A2C' THEN 0.02 WHEN 'DDPG' THEN 0.03 ELSE 0.05 END ELSE CASE agent WHEN 'DQN' THEN 0.008 WHEN 'A2C' THEN 0.01 WHEN 'DDPG' THEN 0.015 ELSE 0.02 END END"
 
 
-@Q.add("f12_regime_stops", o.aligned(o.HYSTERESIS + f" SELECT symbol, ds AS d, agent, CAST({_STOP_SQL} AS DOUBLE) AS stop FROM (SELECT *, {_AGENT_SQL} AS agent FROM reg)"))
+@Q.add("f12_regime_stops", o.portfolios(o.HYSTERESIS + f" SELECT symbol, ds AS d, agent, CAST({_STOP_SQL} AS DOUBLE) AS stop FROM (SELECT *, {_AGENT_SQL} AS agent FROM reg)"))
 def regime_stops(spark, sf):
     d = rg.with_regime(pair(spark, sf), keys=LEG_KEYS).withColumn("agent", rg.agent_of(F.col("regime"), rg.ROUTES_BY_CODE))
-    return d.select("symbol", day().alias("d"), "agent", rt.agent_stop(F.col("agent"), F.col("leg")).alias("stop"))
+    return d.select("portfolio", "symbol", day().alias("d"), "agent", rt.agent_stop(F.col("agent"), F.col("leg")).alias("stop"))
 
 
 # ── routing study ────────────────────────────────────────────────────────────────────────────────────
@@ -331,13 +354,13 @@ def routing_equity(spark, sf):
     return kept(spark, (sf, "routing"), lambda: lg.routed(rt.wide_legs(rt.routed_legs(pair(spark, sf))), PK))
 
 
-@Q.add("f13_routing_ablation", o.aligned(_ROUTED_SQL + ", " + o.perf(keys="config_id") + f""", tt AS (SELECT config_id, CAST(sum(trades) AS BIGINT) AS trades FROM eq GROUP BY config_id)
+@Q.add("f13_routing_ablation", o.portfolios(_ROUTED_SQL + ", " + o.perf(keys="config_id") + f""", tt AS (SELECT config_id, CAST(sum(trades) AS BIGINT) AS trades FROM eq GROUP BY config_id)
   SELECT config_id, {o.rnd('cum_return')} AS cum_return, {o.rnd('sharpe')} AS sharpe, {o.rnd('max_drawdown')} AS max_drawdown, trades, row_number() OVER (ORDER BY sharpe DESC, config_id) AS rank, config_id = 'DQN|PPO|DDPG|A2C' AS is_proposed FROM p JOIN tt USING (config_id)"""))
 def routing(spark, sf):
     eq = routing_equity(spark, sf)
     m = performance(eq, PK).join(eq.groupBy(*PK).agg(F.sum("trades").alias("trades")), PK)
     d = ranked(m, within=("portfolio",))
-    return d.select("config_id", *[r(c).alias(c) for c in ("cum_return", "sharpe", "max_drawdown")], "trades", F.col("rank").cast("bigint").alias("rank"), (F.col("config_id") == "DQN|PPO|DDPG|A2C").alias("is_proposed"))
+    return d.select("portfolio", "config_id", *[r(c).alias(c) for c in ("cum_return", "sharpe", "max_drawdown")], "trades", F.col("rank").cast("bigint").alias("rank"), (F.col("config_id") == "DQN|PPO|DDPG|A2C").alias("is_proposed"))
 
 
 @Q.add("c6_mapping_permutations", o.daily(o.HYSTERESIS + ", " + _ROUTES_SQL + """ SELECT config_id, symbol, count(*) FILTER (agent = 'DQN') AS cautious_bars, count(*) FILTER (agent = 'PPO') AS trend_bars FROM (

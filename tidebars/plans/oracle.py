@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 DAILY = """
 t AS (SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS d, l_quantity AS q, row_number() OVER w AS rn,
   100*exp(sum(CAST(round(l_discount*100) AS BIGINT)-5) OVER (w ROWS UNBOUNDED PRECEDING)/400.0) AS px
@@ -25,6 +27,9 @@ b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY h)
   SELECT symbol, h, round(min_by(px,event_id),6) AS open, round(max(px),6) AS high, round(min(px),6) AS low,
     round(max_by(px,event_id),6) AS close, CAST(count(*) AS DOUBLE) AS volume FROM t GROUP BY symbol, h))"""
 
+#: Portfolios of two legs: every pair of adjacent symbols, and the outer ones.
+PAIRS = {"ar": ("A", "R"), "an": ("A", "N"), "nr": ("N", "R")}
+
 W = "(PARTITION BY symbol ORDER BY i)"
 
 
@@ -41,6 +46,20 @@ def aligned(body: str) -> str:
     return f"WITH RECURSIVE {ALIGNED}{' ' if body.lstrip().upper().startswith('SELECT') else ', '}{body}"
 
 
+def aligned_three(body: str) -> str:
+    """``aligned`` on the bars that all three symbols have."""
+    return aligned(body).replace("symbol IN ('A', 'R')", "symbol IN ('A', 'N', 'R')").replace("HAVING count(DISTINCT symbol) = 2", "HAVING count(DISTINCT symbol) = 3")
+
+
+def portfolios(body: str) -> str:
+    """The query of the pair A, R asked of every pair, with the portfolio's name in front."""
+    parts = []
+    for name, (one, two) in PAIRS.items():
+        to = {"'A'": f"'{one}'", "'R'": f"'{two}'", "'ar'": f"'{name}'"}
+        parts.append(f"SELECT '{name}' AS portfolio, * FROM ({re.sub('|'.join(to), lambda m: to[m[0]], aligned(body))})")  # noqa: B023
+    return " UNION ALL ".join(parts)
+
+
 def uniform(seed: str, i: str) -> str:
     return f"(CAST('0x' || substr(md5({seed} || ':' || {i}), 1, 8) AS BIGINT)/4294967296.0)"
 

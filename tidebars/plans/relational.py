@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidebars.functions import scalars as sc
@@ -28,15 +30,16 @@ def common(spark, sf):
     return al.common_times(daily(spark, sf), ["A", "N", "R"]).select("symbol", day().alias("d"), "close")
 
 
-@Q.add("c1_pairwise", o.daily("SELECT x.ds AS d, x.close AS close_a, y.close AS close_b FROM b x JOIN b y ON x.d = y.d AND x.symbol = 'A' AND y.symbol = 'R'"))
+@Q.add("c1_pairwise", o.daily("SELECT x.symbol || y.symbol AS pair, x.ds AS d, x.close AS close_a, y.close AS close_b FROM b x JOIN b y ON x.d = y.d AND x.symbol < y.symbol"))
 def pairwise(spark, sf):
-    return al.pairwise(daily(spark, sf), "A", "R").select(day().alias("d"), "close_a", "close_b")
+    pairs = [al.pairwise(daily(spark, sf), a, b).select(F.lit(a + b).alias("pair"), day().alias("d"), "close_a", "close_b") for a, b in o.PAIRS.values()]
+    return reduce(lambda x, y: x.unionByName(y), pairs)
 
 
-@Q.add("c2_common_dates_of_features", o.daily(_FEAT + f", g AS (SELECT * FROM f WHERE bb_width IS NOT NULL AND symbol IN ('A', 'R')) SELECT symbol, ds AS d, {o.rnd('bb_width', 8)} AS bb_width FROM g WHERE d IN (SELECT d FROM g GROUP BY d HAVING count(DISTINCT symbol) = 2)"))
+@Q.add("c2_common_dates_of_features", o.daily(_FEAT + f", g AS (SELECT * FROM f WHERE bb_width IS NOT NULL) SELECT symbol, ds AS d, {o.rnd('bb_width', 8)} AS bb_width FROM g WHERE d IN (SELECT d FROM g GROUP BY d HAVING count(DISTINCT symbol) = 3)"))
 def common_features(spark, sf):
     f = _simple_features(spark, sf).where("bb_width is not null")
-    return al.common_times(f, ["A", "R"]).select("symbol", day().alias("d"), r("bb_width", 8).alias("bb_width"))
+    return al.common_times(f, ["A", "N", "R"]).select("symbol", day().alias("d"), r("bb_width", 8).alias("bb_width"))
 
 
 @Q.add("c4_agent_lookup", o.daily(o.HYSTERESIS + """ SELECT symbol, CASE regime WHEN 'LOW_VOLATILITY' THEN 'DDPG' WHEN 'NORMAL_VOLATILITY' THEN 'PPO' WHEN 'HIGH_VOLATILITY' THEN 'A2C' ELSE 'DQN' END AS by_code,

@@ -83,10 +83,10 @@ def empirical(spark, sf):
 _SEED_FINAL = "100*(max_by(v, i)/100000-1)"
 
 
-@Q.add("d21_seed_spread", o.aligned(_seed_sql(0.02) + f", fr AS (SELECT config_id, {_SEED_FINAL} AS x FROM eq GROUP BY config_id) SELECT {o.rnd('avg(x)', 4)} AS mean, {o.rnd('stddev_pop(x)', 4)} AS sd FROM fr"))
+@Q.add("d21_seed_spread", o.portfolios(_seed_sql(0.02) + f", fr AS (SELECT config_id, {_SEED_FINAL} AS x FROM eq GROUP BY config_id) SELECT {o.rnd('avg(x)', 4)} AS mean, {o.rnd('stddev_pop(x)', 4)} AS sd FROM fr"))
 def seed_spread(spark, sf):
     fin = _seed_equity(spark, sf, 0.02).groupBy(*PK).agg((100 * (F.max_by("v", "i") / 100_000 - 1)).alias("x"))
-    return rs.spread(fin, ["portfolio"], "x").select(r("mean", 4).alias("mean"), r("sd", 4).alias("sd"))
+    return rs.spread(fin, ["portfolio"], "x").select("portfolio", r("mean", 4).alias("mean"), r("sd", 4).alias("sd"))
 
 
 # ── superior predictive ability and the paired test ──────────────────────────────────────────────────
@@ -104,7 +104,7 @@ _SPA = _pair_kalman() + ", " + _j(_GRID, _GRID, "kalman_price", "k") + "," + o.j
   df AS MATERIALIZED (SELECT a.config_id, a.k, b1.r-a.r AS x FROM rr a JOIN rr b1 ON b1.k = a.k AND b1.config_id = '{_BENCH}' WHERE a.config_id <> '{_BENCH}')"""
 
 
-@Q.add("g3_superior_ability", o.aligned(_SPA + ", ln AS (SELECT 'ar' AS portfolio, count(*) AS n FROM rr WHERE config_id = 'sma_15_60'), " + _draw_sql("ln", "portfolio", "spa", SPA_REPS) + f""",
+@Q.add("g3_superior_ability", o.portfolios(_SPA + ", ln AS (SELECT 'ar' AS portfolio, count(*) AS n FROM rr WHERE config_id = 'sma_15_60'), " + _draw_sql("ln", "portfolio", "spa", SPA_REPS) + f""",
   bm AS (SELECT config_id, rep, avg(x) AS bm FROM bi JOIN df ON df.k = bi.idx GROUP BY ALL),
   ss AS (SELECT config_id, avg(x) AS dbar, count(*) AS n FROM df GROUP BY config_id), vv AS (SELECT config_id, var_pop(bm) AS var FROM bm GROUP BY config_id),
   st AS (SELECT *, greatest(sqrt(var), 1e-8) AS sigma, CASE WHEN dbar > -sqrt(var/n*2*ln(ln(n))) THEN dbar ELSE 0 END AS shift FROM ss JOIN vv USING (config_id)),
@@ -114,7 +114,7 @@ def superior(spark, sf):
     ret = _pair_returns(spark, sf)
     b = ret.where(F.col("config_id") == _BENCH)
     d = rs.spa(b, ret.where(F.col("config_id") != _BENCH), ["portfolio"], "config_id", reps=SPA_REPS)
-    return d.select(r("t_spa").alias("t_spa"), "p_value")
+    return d.select("portfolio", r("t_spa").alias("t_spa"), "p_value")
 
 
 def _paired(spark, sf):
@@ -123,19 +123,19 @@ def _paired(spark, sf):
     return ret.where(F.col("config_id") != _BENCH).join(b, ["portfolio", "i"])
 
 
-@Q.add("c7_paired_returns", o.aligned(_SPA + f" SELECT config_id, k AS bar, {o.rnd('x', 8)} AS diff FROM df"))
+@Q.add("c7_paired_returns", o.portfolios(_SPA + f" SELECT config_id, k AS bar, {o.rnd('x', 8)} AS diff FROM df"))
 def paired(spark, sf):
-    return _paired(spark, sf).select("config_id", (F.col("i") - 1).cast("bigint").alias("bar"), r(F.col("r_b") - F.col("r"), 8).alias("diff"))
+    return _paired(spark, sf).select("portfolio", "config_id", (F.col("i") - 1).cast("bigint").alias("bar"), r(F.col("r_b") - F.col("r"), 8).alias("diff"))
 
 
-@Q.add("g4_paired_t", o.aligned(_SPA + f" SELECT config_id, count(*) AS n, {o.rnd('avg(x)/(nullif(stddev_samp(x), 0)/sqrt(count(*)))')} AS t FROM df GROUP BY config_id"))
+@Q.add("g4_paired_t", o.portfolios(_SPA + f" SELECT config_id, count(*) AS n, {o.rnd('avg(x)/(nullif(stddev_samp(x), 0)/sqrt(count(*)))')} AS t FROM df GROUP BY config_id"))
 def t_statistic(spark, sf):
-    return paired_t(_paired(spark, sf), ["config_id"], "r_b", "r").select("config_id", "n", r("t").alias("t"))
+    return paired_t(_paired(spark, sf), PK, "r_b", "r").select("portfolio", "config_id", "n", r("t").alias("t"))
 
 
 @Q.add("g4_paired_t_p_value")
 def t_p(spark, sf):
-    return paired_t(_paired(spark, sf), ["config_id"], "r_b", "r").select("config_id", "n", r("t").alias("t"), r("p").alias("p"))
+    return paired_t(_paired(spark, sf), PK, "r_b", "r").select("portfolio", "config_id", "n", r("t").alias("t"), r("p").alias("p"))
 
 
 def _shuffled(spark, sf, reps=REPS):
@@ -162,7 +162,7 @@ def study(spark, sf):
     p = rs.exceedance(_shuffled(spark, sf), actual, CK, "ret", "actual")
     ret = _pair_returns(spark, sf)
     spa = rs.spa(ret.where(F.col("config_id") == _BENCH), ret.where(F.col("config_id") != _BENCH), ["portfolio"], "config_id", reps=SPA_REPS)
-    tt = paired_t(_paired(spark, sf), ["config_id"], "r_b", "r")
+    tt = paired_t(_paired(spark, sf), PK, "r_b", "r")
 
     def tall(df, test, series, names):
         cells = F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in names])
@@ -171,7 +171,7 @@ def study(spark, sf):
     sc = F.concat_ws("/", "symbol", "config_id")
     parts = [
         tall(boot, "bootstrap", sc, ["mean", "low", "high"]), tall(shuf, "shuffle", sc, ["mean", "sd"]), tall(p, "shuffle", sc, ["p_value"]),
-        tall(spa, "spa", F.col("portfolio"), ["t_spa", "p_value"]), tall(tt, "paired_t", F.col("config_id"), ["t", "p"]),
+        tall(spa, "spa", F.col("portfolio"), ["t_spa", "p_value"]), tall(tt, "paired_t", F.concat_ws("/", "portfolio", "config_id"), ["t", "p"]),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts).withColumn("value", r("value"))
 
