@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,12 +207,15 @@ def fold_in_order(df: DataFrame, keys, order: str, fold, schema: str) -> DataFra
         for pdf in batches:
             names = pdf[keys]
             starts = np.flatnonzero((names != names.shift()).any(axis=1).to_numpy())
+            done = []
             for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
                 key = tuple(names.iloc[a])
                 if key != last:
                     last, state = key, None
                 state, out = fold(state, pdf.iloc[a:b])
                 if len(out):
-                    yield out
+                    done.append(out)
+            if done:  # one frame for each batch read, however many short series it holds
+                yield pd.concat(done)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)

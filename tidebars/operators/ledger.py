@@ -7,8 +7,8 @@ A trade happens only when the wanted signal changes. Between trades share counts
 * a shared-cash portfolio needs a loop over its *trade bars* only (``trade_states``, small keyed groups);
   all other bars take the last state and value it at their own prices (``joint``).
 
-Trailing stops depend on prices since entry, not on money, so they are resolved before any ledger, one
-holding period at a time (``with_stops``).
+Trailing stops depend on prices since entry, not on money, so they are resolved before any ledger (``with_stops``, by the
+pointers of ``stops``).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidebars.operators.blocks import block_scan, fold_in_order
 from tidebars.operators.features import ratio
 from tidebars.operators.signals import START
+from tidebars.operators.stops import stop_exits
 from tidebars.session import KEYS, cut
 
 CAPITAL = 100_000.0
@@ -38,35 +39,11 @@ def _names(df: DataFrame, keys) -> tuple[list[str], str]:
     return names, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
 
 
-def stop_exits(sig: DataFrame, keys) -> DataFrame:
-    """Bars at which a trailing stop closes the position: (keys, i).
-
-    The peak starts at the entry close and follows new highs; a close more than ``stop`` below it exits, and the next bar of
-    the holding period enters anew with a fresh peak. What is carried from bar to bar is the peak, so a position that never closes is no
-    larger than one that does.
-    """
-    held = sig.where((F.col("sig") > 0) & F.col("stop").isNotNull())
-    names, kinds = _names(held, keys)
-    slim = held.select(*names, F.col("i").cast("bigint").alias("i"), "close", "stop", (F.col("prev_sig") <= 0).alias("opened"))
-
-    def fold(peak, pdf: pd.DataFrame):
-        at = []
-        for k, (p, stop, opened) in enumerate(zip(pdf["close"].tolist(), pdf["stop"].tolist(), pdf["opened"].tolist(), strict=True)):
-            if opened or peak is None or p >= peak:
-                peak = p
-            elif (peak - p) / peak > stop:
-                at.append(k)
-                peak = None
-        return peak, pdf[[*names, "i"]].iloc[at]
-
-    return fold_in_order(slim, names, "i", fold, f"{kinds}, i bigint")
-
-
 def with_stops(sig: DataFrame, keys, block: int | None = None) -> DataFrame:
     """Replace ``sig``/``prev_sig`` by the positions really held once trailing stops are applied."""
     keys = list(keys)
     sig = cut(sig)  # read several times below; recomputing the windows each time would cost more than one write
-    ex = cut(stop_exits(sig, keys))
+    ex = cut(stop_exits(sig, keys, block))
     marks = ex.select(*keys, "i", F.lit(1).alias("_now"), F.lit(0).alias("_then")).unionByName(
         ex.select(*keys, (F.col("i") + 1).alias("i"), F.lit(0).alias("_now"), F.lit(1).alias("_then"))
     ).groupBy(*keys, "i").agg(F.max("_now").alias("_now"), F.max("_then").alias("_then"))

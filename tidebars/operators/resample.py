@@ -1,9 +1,9 @@
 """Stationary bootstrap, superior-predictive-ability test and trade shuffling.
 
-A bootstrap replicate of a series is a chain of circular runs of rows. The uniforms of all rows are drawn in
-place (nothing is shuffled), only the rows that start a run are kept (one in ``block_length``), and a run enters
-every sum as a difference of two prefix sums. So a replicate of N rows costs about N/block_length joined rows,
-and no replicate is ever gathered.
+A bootstrap replicate of a series is a chain of circular runs of rows. Work is dealt by (series, replicate, block of rows): a block draws the uniforms
+of its own rows, keeps those that start a run (one in ``block_length``), and looks a little past its end for the next start, which is a function of
+the row's number and needs no other task. A run enters every sum as a difference of two prefix sums, so a replicate of N rows costs about
+N/block_length joined rows, and no task holds more than a block of it.
 """
 
 from __future__ import annotations
@@ -17,25 +17,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.functions.hashing import below, uniform
-from tidebars.operators.blocks import block_scan
+from tidebars.operators.blocks import BLOCK, block_scan
 from tidebars.operators.ledger import holding_start
 
 
-def draws(lengths: DataFrame, keys, reps: int, block_length: float = 10.0, seed: str = "boot") -> DataFrame:
+def draws(lengths: DataFrame, keys, reps: int, block_length: float = 10.0, seed: str = "boot", block: int | None = None) -> DataFrame:
     """Runs of each replicate: (keys, rep, n, i0, len, pos), positions 0-based; run lengths add up to n.
 
-    Row i starts a run with probability ``1/block_length`` (row 0 always) at a uniform position. The work is
-    spread over (key, rep) before the rows are drawn.
+    Row i starts a run with probability ``1/block_length`` (row 0 always) at a uniform position. The last run of a block ends at the first start past
+    the block, which may lie in any later one.
     """
-    keys = list(keys)
-    d = lengths.select(*keys, F.col("n").cast("bigint").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    d = d.repartition(*keys, "rep")
-    d = d.withColumn("i0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    keys, b = list(keys), block or BLOCK
+    n, end = F.col("n"), F.col("_end")
     s = F.concat(F.lit(seed + "/"), F.col("rep").cast("string"))
-    d = d.where((F.col("i0") == 0) | below(F.concat(F.lit("restart/"), s), F.col("i0"), 1 / block_length))
-    d = d.withColumn("pos", F.floor(uniform(F.concat(F.lit("place/"), s), F.col("i0")) * F.col("n")).cast("bigint"))
-    w = Window.partitionBy(*keys, "rep").orderBy("i0")
-    return d.withColumn("len", F.coalesce(F.lead("i0").over(w), F.col("n")) - F.col("i0"))
+    starts = lambda i: below(F.concat(F.lit("restart/"), s), i, 1 / block_length)
+    d = lengths.select(*keys, n.cast("bigint").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).where("n > 0")
+    d = d.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {b}")))).repartition(*keys, "rep", "_blk")
+    d = d.withColumn("_end", F.least(n, (F.col("_blk") + 1) * b))
+
+    def found(lo: int, hi: int | None):
+        """The first start among the rows ``lo .. hi - 1`` past the block; rows are numbers here, nothing is read."""
+        upto = n if hi is None else F.least(n, end + hi)
+        return F.when(end + lo < upto, F.get(F.filter(F.sequence(end + lo, upto - 1), starts), F.lit(0)))
+
+    # steps of growing size; a later one is evaluated only where the earlier ones have no start
+    steps = [0]
+    while steps[-1] < b:
+        steps.append(max(int(4 * block_length), 16) if not steps[-1] else steps[-1] * 8)
+    d = d.withColumn("_next", F.coalesce(*[found(x, y) for x, y in zip(steps, [*steps[1:], None])], n))
+    d = d.withColumn("i0", F.explode(F.sequence(F.col("_blk") * b, end - 1)))
+    d = d.where((F.col("i0") == 0) | starts(F.col("i0")))
+    d = d.withColumn("pos", F.floor(uniform(F.concat(F.lit("place/"), s), F.col("i0")) * n).cast("bigint"))
+    w = Window.partitionBy(*keys, "rep", "_blk").orderBy("i0")
+    return d.withColumn("len", F.coalesce(F.lead("i0").over(w), F.col("_next")) - F.col("i0")).drop("_blk", "_end", "_next")
 
 
 def indices(runs: DataFrame, keys) -> DataFrame:
@@ -48,10 +62,10 @@ def indices(runs: DataFrame, keys) -> DataFrame:
 def prefix_sums(series: DataFrame, keys, cols: dict, block: int | None = None) -> DataFrame:
     """Sums of the first ``at`` values for at = 0..n-1 (exclusive) and the whole (``tot_``), per key. ``series`` has 1-based i, n."""
     keys = list(keys)
-    d = block_scan(series, {f"s_{c}": ("sum", x) for c, x in cols.items()}, keys, block)
-    tot = series.groupBy(*keys).agg(*[F.sum(x).alias(f"tot_{c}") for c, x in cols.items()])
-    excl = series.select(*keys, "i", *[F.coalesce(x, F.lit(0.0)).alias(f"x_{c}") for c, x in cols.items()])
-    d = d.select(*keys, "i", *[f"s_{c}" for c in cols]).join(excl, [*keys, "i"]).join(tot, keys)
+    own = series.select(*keys, "i", "n", *[F.coalesce(x, F.lit(0.0)).alias(f"x_{c}") for c, x in cols.items()])
+    d = block_scan(own, {f"s_{c}": ("sum", F.col(f"x_{c}")) for c in cols}, keys, block)
+    tot = own.groupBy(*keys).agg(*[F.sum(f"x_{c}").alias(f"tot_{c}") for c in cols])
+    d = d.join(tot, keys)
     return d.select(*keys, (F.col("i") - 1).cast("bigint").alias("at"), *[(F.col(f"s_{c}") - F.col(f"x_{c}")).alias(f"p_{c}") for c in cols], *[f"tot_{c}" for c in cols])
 
 
@@ -71,7 +85,7 @@ def bootstrap_sharpe(series: DataFrame, keys, ret: str = "r", reps: int = 1000,
     """Annualised Sharpe ratio (population deviation) of every replicate: (keys, rep, sharpe); 0 without variance."""
     keys = list(keys)
     lengths = series.groupBy(*keys).agg(F.max("n").alias("n"))
-    runs = draws(lengths, keys, reps, block_length, seed)
+    runs = draws(lengths, keys, reps, block_length, seed, block)
     x = F.col(ret)
     sums = run_sums(runs, prefix_sums(series, keys, {"x": x, "xx": x * x}, block), keys, keys, ["x", "xx"])
     m = F.col("sum_x") / F.col("n")
@@ -99,7 +113,7 @@ def spa(bench: DataFrame, alternatives: DataFrame, group, alt_key: str, ret: str
     b = bench.select(*group, "i", F.col(ret).alias("_b"))
     d = alternatives.join(b, [*group, "i"]).withColumn("d", F.col("_b") - F.col(ret))
     lengths = alternatives.groupBy(*group).agg(F.max("n").alias("n"))
-    runs = draws(lengths, group, reps, block_length, seed)
+    runs = draws(lengths, group, reps, block_length, seed, block)
     means = run_sums(runs, prefix_sums(d, ak, {"d": F.col("d")}, block), group, ak, ["d"]).withColumn("bm", F.col("sum_d") / F.col("n"))
     base = d.groupBy(*ak).agg(F.avg("d").alias("dbar"), F.count("*").alias("bars"))
     spread = means.groupBy(*ak).agg(F.var_pop("bm").alias("var"))

@@ -14,7 +14,7 @@ from tidebars.plans.common import Registry, day, r, second
 from tidebars.session import checkpoint_dir
 from tidebars.sources import bars as br
 from tidebars.sources import configs as cf
-from tidebars.sources.ticks import daily, hourly, kept, table
+from tidebars.sources.ticks import daily, files_of, hourly, kept, table
 
 Q = Registry()
 
@@ -24,14 +24,15 @@ def _new_path(spark, name):
 
 
 def stored_bars(spark, sf):
-    """Daily and hourly bars as a partitioned table in the shared folder; written once per session."""
+    """Daily and hourly bars as a partitioned table in the shared folder; written once per session, and anew when an input file has changed."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _paths:
+    now = files_of(spark, sf)
+    if _paths.get(key, (None,))[0] != now:
         path = _new_path(spark, "bars")
         cols = ["symbol", "timeframe", "ts", *br.OHLCV]
         br.write_bars(daily(spark, sf).select(*cols).unionByName(hourly(spark, sf).select(*cols)), path)
-        _paths[key] = path
-    return _paths[key]
+        _paths[key] = (now, path)
+    return _paths[key][1]
 
 
 _paths: dict = {}
@@ -115,6 +116,20 @@ def configs(spark, sf):
     return cf.flatten_configs(docs, keep=["id"]).select("id", "group", "asset", "fast_window", "slow_window", "leverage_factor", "stop_loss_pct")
 
 
+@Q.add("a10_config_files", """SELECT n_nationkey AS id, CASE WHEN bad = 0 THEN 'swing' END AS "group", CASE WHEN bad = 0 THEN a END AS asset, CAST(CASE WHEN bad = 0 THEN n_nationkey % 20 + 2 ELSE 0 END AS INT) AS fast_window,
+  CAST(CASE WHEN bad = 0 THEN CASE WHEN a = 'A' THEN 80 ELSE n_nationkey + 30 END ELSE 0 END AS INT) AS slow_window, bad = 1 AS broken, CASE WHEN bad = 1 THEN 20 ELSE 0 END AS chars
+  FROM (SELECT *, (n_nationkey % 7 = 3)::INT AS bad FROM nation), (VALUES ('A'), ('R')) w(a) WHERE bad = 0 OR a = 'A'""")
+def config_files(spark, sf):
+    """A file for each nation, some of them cut short, written and scanned."""
+    fast = (F.col("n_nationkey") % 20 + 2).cast("int").alias("fast_window")
+    doc = F.to_json(F.struct(F.struct(F.struct(fast).alias("A"), F.struct(fast, (F.col("n_nationkey") + 30).cast("int").alias("slow_window")).alias("R")).alias("swing")))
+    path = _new_path(spark, "configs")
+    body = F.when(F.col("n_nationkey") % 7 == 3, F.substring(doc, 1, 20)).otherwise(doc)
+    table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), body.alias("value")).write.option("lineSep", " ").partitionBy("id").text(path)
+    d = cf.read_configs(spark, f"{path}/*/*.txt")
+    return d.select(F.regexp_extract("file", r"id=(\d+)/", 1).cast("bigint").alias("id"), "group", "asset", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("fast_window", "slow_window")], F.col("malformed").isNotNull().alias("broken"), F.coalesce(F.length(F.trim("malformed")), F.lit(0)).alias("chars"))
+
+
 def assets(spark):
     p = lambda lev, f, s, st: (lev, f, s, st, False)
     return cf.asset_dimension(spark, [

@@ -20,8 +20,16 @@ def flatten_configs(docs: DataFrame, body: str = "body", keep=()) -> DataFrame:
 
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Configuration files, one document per file."""
-    return flatten_configs(spark.read.text(path, wholetext=True), "value")
+    """A scan of configuration files, one document per file: file (its path), group, asset, parameters, and malformed.
+
+    A file that is no such document is one row with its text in ``malformed`` and nothing else; an empty document gives no rows.
+    """
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    d = docs.withColumn("parsed", F.from_json("value", CONFIG_SCHEMA))
+    broken = F.when(F.col("parsed").isNull(), F.col("value"))
+    d = d.select("file", broken.alias("malformed"), F.explode_outer("parsed").alias("group", "assets"))
+    d = d.select("file", "malformed", "group", F.explode_outer("assets").alias("asset", "p")).where("malformed is not null or asset is not null")
+    return d.select("file", "group", "asset", *[F.when(F.col("asset").isNotNull(), F.coalesce(F.col(f"p.{k}"), F.lit(v))).alias(k) for k, v in DEFAULTS.items()], "malformed")
 
 
 ASSET_SCHEMA = (
