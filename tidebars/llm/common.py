@@ -18,6 +18,9 @@ from tidebars.session import checkpoint_dir, cut  # noqa: F401
 
 #: UTF-8 bytes that one slice hands to vector code; a longer text forms a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch that goes to Python; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows without an id share this key where rows must be joined by id.
 NO_ID = -(1 << 63)
 
@@ -53,6 +56,13 @@ def raw(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB where the session has Spark's own bound of 64 MB, of which a task holds several at a time, in and out. A bound that the
+    caller has set stays."""
+    if spark.conf.get(_BATCHES) == "67108864b":
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def give_back() -> None:
     """Return freed memory to the system: a Python worker lives on between tasks, and what one operator needed is not the next one's."""
     pa.default_memory_pool().release_unused()
@@ -66,6 +76,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         yield from fn(batches)
         give_back()
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
