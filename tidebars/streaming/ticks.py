@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 TICK_SCHEMA = "symbol string, ts timestamp, tick_id bigint, px double, qty double"
 
 
-def arrivals(df: DataFrame, path: str, slices: int, ts: str = "ts"):
+def arrivals(df: DataFrame, path: str, slices: int, ts: str = "ts", close_after: float | None = None, by: str | None = None):
     """Append ``df`` to a folder in ``slices`` pieces of equal time span, yielding after each: a stream that is drained in
-    between sees the data as it would have come in. Every piece is written by as many tasks as it needs."""
-    lo, hi = df.agg(F.min(F.col(ts).cast("double")), F.max(F.col(ts).cast("double"))).first()
+    between sees the data as it would have come in. Every piece is written by as many tasks as it needs.
+
+    ``by``: a column with the time of arrival, where it is not ``ts``; it is not written. With ``close_after`` the last piece brings a row
+    that holds nothing but a time, so many seconds after the last: the watermark passes all rows."""
+    at = F.col(by or ts).cast("double")
+    lo, hi = df.agg(F.min(at), F.max(at)).first()
     width = (hi - lo) / slices or 1.0
-    at = F.least(F.floor((F.col(ts).cast("double") - lo) / width), F.lit(slices - 1))
+    piece = F.least(F.floor((at - lo) / width), F.lit(slices - 1))
+    kept = df.drop(by) if by else df
     for k in range(slices):
-        df.where(at == k).write.mode("append").parquet(path)
+        df.where(piece == k).select(*kept.columns).write.mode("append").parquet(path)
+        if close_after is not None and k == slices - 1:
+            last = F.timestamp_seconds(F.lit(hi + close_after))
+            alone = [(last if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in kept.schema]
+            df.sparkSession.range(1).select(*alone).write.mode("append").parquet(path)
         yield k
 
 
