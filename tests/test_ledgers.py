@@ -174,6 +174,34 @@ def test_run_sums_equal_gathering(spark):
     np.testing.assert_allclose(got["sum_x"], want, rtol=1e-9, atol=1e-12)
 
 
+def test_first_fit_against_a_whole_shuffled_list(spark):
+    """Lists of all slots in order of first appearance, and a mask of all bars; crowded and full series included."""
+    from tidebars.functions.hashing import uniform, uniform_of
+
+    rng = np.random.default_rng(6)
+    left_out = 0
+    for case in range(120):
+        n, head, tail = int(rng.integers(1, 120)), int(rng.integers(0, 15)), int(rng.integers(0, 30))
+        lengths = [int(x) for x in rng.integers(1, 25, rng.integers(0, 12))]
+        draw = lambda k: uniform_of(f"t{case}", k)  # noqa: B023, E731
+        width, order, k = max(n - tail - head, 0), [], 0
+        while len(order) < width:
+            slot = head + int(draw(k) * width)
+            order += [slot] * (slot not in order)
+            k += 1
+        used, want = np.zeros(n + 1, bool), []
+        for m in lengths:
+            free = [x for x in order if x + m < n and not used[x : x + m].any()]
+            left_out += not free
+            if free:
+                used[free[0] : free[0] + m] = True
+                want.append((free[0], free[0] + m))
+        assert rs.first_fit(lengths, n, head, tail, draw) == sorted(want)
+    assert left_out > 20
+    same = spark.range(50).select("id", uniform("s", F.col("id")).alias("u")).collect()
+    assert all(r.u == uniform_of("s", r.id) for r in same)
+
+
 def test_shuffled_returns_equal_the_loop(spark):
     p = walk(260, 13)["close"].to_numpy()
     rng = np.random.default_rng(5)

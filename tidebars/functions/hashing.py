@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ def uniform(seed, i) -> Column:
     return F.conv(_bits(seed, i), 16, 10).cast("double") / 4294967296
 
 
+def uniform_of(seed: str, i: int) -> float:
+    """The same number inside a task."""
+    return int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:8], 16) / 4294967296
+
+
 def _bits(seed, i) -> Column:
     return F.substring(F.md5(F.concat(_col(seed).cast("string"), F.lit(":"), _col(i).cast("string"))), 1, 8)
 

@@ -8,15 +8,14 @@ N/block_length joined rows, and no task holds more than a block of it.
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.functions.hashing import below, uniform
+from tidebars.functions.hashing import below, uniform, uniform_of
 from tidebars.operators.blocks import BLOCK, block_scan
 from tidebars.operators.ledger import holding_start
 
@@ -148,13 +147,42 @@ def durations(sig: DataFrame, keys, block: int | None = None) -> DataFrame:
     return d.groupBy(*keys, F.col("held_from").cast("bigint").alias("start")).agg(F.count("*").cast("bigint").alias("bars"))
 
 
+def first_fit(bars, n: int, head: int, tail: int, draw) -> list[tuple[int, int]]:
+    """Places of holding periods of lengths ``bars``, taken in order, as disjoint (start, end), sorted.
+
+    ``draw(k)`` in [0, 1) is the k-th entry of an endless list of slots. Slots in order of their first appearance in it are a shuffled list,
+    so a period takes the first entry that is free for its whole length and ends before row ``n``. What is held are the periods placed and
+    the entries looked at (the slots over the free ones, on average); a period for which no slot is left is found from the gaps.
+    """
+    starts, ends, slots = [], [], []
+    width = max(n - tail - head, 0)
+    for length in bars:
+        last = min(head + width, n - length)  # starts lie below it
+        k = 0
+        while last > head:
+            if k == 64:  # rarely: is there any room?
+                edges = zip([head, *ends], [*starts, n])
+                if not any(max(x, head) < last and y - max(x, head) >= length for x, y in edges):
+                    break
+            if k == len(slots):
+                slots.append(head + int(draw(k) * width))
+            slot = slots[k]
+            k += 1
+            at = bisect.bisect_right(starts, slot)
+            if slot < last and (not at or ends[at - 1] <= slot) and (at == len(starts) or slot + length <= starts[at]):
+                starts.insert(at, slot)
+                ends.insert(at, slot + length)
+                break
+    return list(zip(starts, ends))
+
+
 def shuffled_trades(trades: DataFrame, lengths: DataFrame, keys, reps: int, head: int = 20, tail: int = 80, seed: str = "shuffle") -> DataFrame:
     """Every replicate puts each holding period, in order, at the first free slot of a shuffled list of bars.
 
     Slots are ``head .. n - tail - 1`` (0-based); a period must end before the series does and must not overlap
     an earlier one; one without a slot is left out. Adjacent periods merge, because no trade happens between
-    them. Returns (keys, rep, a, z): signal bars ``a .. z - 1``. Placement is sequential by nature: it is a
-    small function of one replicate's periods, a few numbers each, never of its bars' data.
+    them. Returns (keys, rep, a, z): signal bars ``a .. z - 1``. Placement is sequential by nature, over one replicate's
+    periods, a few numbers each; nothing in it is as long as the series.
     """
     keys = list(keys)
     per_key = trades.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "bars"))).alias("t"))
@@ -168,19 +196,14 @@ def shuffled_trades(trades: DataFrame, lengths: DataFrame, keys, reps: int, head
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                key = ":".join([seed, *[str(getattr(row, k)) for k in names], str(row.rep)])
-                rng = np.random.default_rng(int(hashlib.md5(key.encode()).hexdigest()[:16], 16))
-                slots = rng.permutation(np.arange(head, max(row.n - tail, head)))
-                used = np.zeros(row.n + 1, dtype=np.int8)
-                for bars in row.bars:
-                    free = np.concatenate([[0], np.cumsum(used)])
-                    ok = slots[(slots + bars < row.n)]
-                    ok = ok[free[ok + bars] == free[ok]]
-                    if len(ok):
-                        used[ok[0] : ok[0] + bars] = 1
-                edge = np.diff(np.concatenate([[0], used, [0]]))
                 ident = [getattr(row, k) for k in names]
-                out += [(*ident, row.rep, int(a), int(z)) for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
+                key = ":".join([seed, *[str(x) for x in ident], str(row.rep)])
+                merged = []
+                for start, end in first_fit([int(x) for x in row.bars], int(row.n), head, tail, lambda k: uniform_of(key, k)):  # noqa: B023
+                    if merged and merged[-1][1] == start:
+                        start = merged.pop()[0]
+                    merged.append((start, end))
+                out += [(*ident, row.rep, *m) for m in merged]
             yield pd.DataFrame(out, columns=[*names, "rep", "a", "z"])
 
     return d.mapInPandas(place, f"{schema}, rep int, a bigint, z bigint")
