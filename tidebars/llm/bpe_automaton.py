@@ -17,6 +17,7 @@ import json
 import re
 import struct
 import unicodedata
+from array import array
 
 import pyarrow as pa
 import regex
@@ -28,6 +29,8 @@ from tidebars.llm.common import documents, filled, kept_in_worker, map_arrow, ra
 #: Words, pieces and table entries that a worker remembers at most; beyond it the table concerned starts anew.
 MEMO = 120_000
 MOVES = 500_000
+#: Symbols are numbers below this: a byte, or 256 and a byte.
+SYMBOLS = 512
 
 
 def byte_symbols() -> dict[int, str]:
@@ -38,30 +41,35 @@ def byte_symbols() -> dict[int, str]:
 
 
 class Automaton:
-    """Compiled merges. ``encode`` takes a list of symbols (the last one marked as a word end by the caller) and gives token ids."""
+    """Compiled merges. ``encode`` takes a list of symbols (the last one marked as a word end by the caller) and gives token ids.
+
+    Tables are arrays by token or state, or dictionaries from one packed number to another: a worker holds them beside the rest of its task.
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.label = {i: t for t, i in vocab.items()}
+        self.ids = max(self.label, default=-1) + 1
         made = {a + b for a, b in merges}
-        self.parent, self.without, self.born = [0], [-1], [0]  # of states; state 0 has every arc
-        self.goes = {i: 0 for t, i in vocab.items() if t not in made}  # token -> state its arc leads to
-        self.time, self.left = dict.fromkeys(self.goes, 0), {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.parent, self.without, self.born = array("i", [0]), array("i", [-1]), array("i", [0])  # of states; state 0 has every arc
+        self.goes = array("i", [-1]) * self.ids  # token -> state its arc leads to; -1: never read
+        self.time, self.left = array("i", [0]) * self.ids, array("i", [-1]) * self.ids
+        self.arcs: dict[int, bool] = {}
+        for t, i in vocab.items():
+            if t not in made:
+                self.goes[i] = 0
         for when, (a, b) in enumerate(merges, 1):
-            x, y, xy = vocab.get(a), vocab.get(b), vocab.get(a + b)
-            if xy is None or x not in self.goes or y not in self.goes or xy in self.goes or not self.has(self.goes[x], y):
+            x, y, xy = (vocab.get(t, -1) for t in (a, b, a + b))
+            if min(x, y, xy) < 0 or self.goes[x] < 0 or self.goes[y] < 0 or self.goes[xy] >= 0 or not self.has(self.goes[x], y):
                 continue  # the pair never stands side by side
             self.goes[xy], self.time[xy], self.left[xy] = self.goes[y], when, x
             self.parent.append(self.goes[x])
             self.without.append(y)
             self.born.append(when)
             self.goes[x] = len(self.parent) - 1
-        self.trie: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
 
     def has(self, state: int, token: int) -> bool:
         """Whether ``token`` can be read in ``state``."""
-        known = self.arcs.get((state, token))
+        known = self.arcs.get(state * self.ids + token)
         if known is None:
             s, t = state, token
             while True:
@@ -70,7 +78,7 @@ class Automaton:
                 elif self.time[t] < self.born[s]:
                     s = self.parent[s]
                     continue
-                elif t in self.left:
+                elif self.left[t] >= 0:
                     t = self.left[t]
                     continue
                 else:
@@ -78,70 +86,77 @@ class Automaton:
                 break
             if len(self.arcs) >= MOVES:
                 self.arcs.clear()
-            self.arcs[state, token] = known
+            self.arcs[state * self.ids + token] = known
         return known
 
     def build_tables(self, split) -> None:
-        """The prefix tree of all tokens; ``split`` cuts a label into symbols (small integers)."""
-        self.size = {i: len(split(t)) for i, t in self.label.items()}
-        for token in self.goes:
+        """The prefix tree of all tokens; ``split`` cuts a label into symbols (below SYMBOLS)."""
+        self.size = array("i", [0]) * self.ids
+        self.step: dict[int, int] = {}  # node of the tree * SYMBOLS + symbol -> node
+        self.token_at, self.inner = array("i", [-1]), bytearray(1)  # of nodes: the token that ends there, and whether others go on
+        for token, label in self.label.items():
+            symbols = split(label)
+            self.size[token] = len(symbols)
+            if self.goes[token] < 0:
+                continue
             at = 0
-            for symbol in split(self.label[token]):
-                nxt = self.trie[at].get(symbol)
+            for symbol in symbols:
+                nxt = self.step.get(at * SYMBOLS + symbol)
                 if nxt is None:
-                    nxt = self.trie[at][symbol] = len(self.trie)
-                    self.trie.append({})
+                    nxt = self.step[at * SYMBOLS + symbol] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.inner.append(0)
+                    self.inner[at] = 1
                 at = nxt
             self.token_at[at] = token
         self.reset()
 
     def reset(self) -> None:
-        first = frozenset([(0, 0)])
-        self.sets, self.number, self.last, self.moves = [first], {first: 0}, [-1], [{}]
-        self.n_moves = 0
+        """Only the first set is known: state 0 at the root of the tree."""
+        first = array("q", [0, -1]).tobytes()
+        self.sets, self.number, self.last = [first], {first: 0}, array("i", [-1])
+        self.moves: dict[int, int] = {}  # set number * SYMBOLS + symbol -> set number * SYMBOLS
 
     def move(self, state: int, symbol: int) -> int:
         """The next set of (automaton state, prefix), made when first met."""
-        found, last = set(), -1
-        for at, prefix in self.sets[state]:
-            nxt = self.trie[prefix].get(symbol)
+        found, last, nodes = set(), -1, len(self.token_at)
+        for member in memoryview(self.sets[state // SYMBOLS]).cast("q")[:-1]:
+            at, prefix = divmod(member, nodes)
+            nxt = self.step.get(prefix * SYMBOLS + symbol)
             if nxt is None:
                 continue
-            if self.trie[nxt]:
-                found.add((at, nxt))
+            if self.inner[nxt]:
+                found.add(at * nodes + nxt)
             token = self.token_at[nxt]
             if token >= 0 and self.has(at, token):
-                found.add((self.goes[token], 0))
+                found.add(self.goes[token] * nodes)
                 last = token
         if not found:
             raise ValueError(f"no token goes on with symbol {symbol}")
         # different tokens may lead to one state, so the token read last belongs to a set's name
-        key = frozenset(found | {(-1, last)})
+        key = array("q", [*sorted(found), last]).tobytes()
         to = self.number.get(key)
         if to is None:
-            to = self.number[key] = len(self.sets)
-            self.sets.append(frozenset(found))
+            to = self.number[key] = len(self.sets) * SYMBOLS
+            self.sets.append(key)
             self.last.append(last)
-            self.moves.append({})
-        self.moves[state][symbol] = to
-        self.n_moves += 1
+        self.moves[state + symbol] = to
         return to
 
     def encode(self, symbols: list[int]) -> list[int]:
         """Token ids of one word; the caller marks its last symbol as a word end."""
-        if self.n_moves > MOVES:
+        if len(self.moves) > MOVES:
             self.reset()
-        state, ends, moves, last = 0, [], self.moves, self.last
+        state, met, moves = 0, [], self.moves
         for symbol in symbols:
             try:
-                state = moves[state][symbol]
+                state = moves[state + symbol]
             except KeyError:
                 state = self.move(state, symbol)
-            ends.append(last[state])
-        out, i, size = [], len(symbols), self.size
+            met.append(state)
+        out, i, size, last = [], len(symbols), self.size, self.last
         while i:
-            token = ends[i - 1]
+            token = last[met[i - 1] // SYMBOLS]
             out.append(token)
             i -= size[token]
         out.reverse()
@@ -193,14 +208,14 @@ class WordEndBpe:
         self.new[key] = value
         return value
 
+    def run(self, word: bytes) -> tuple[bytes, bytes]:
+        symbols = list(word)
+        symbols[-1] += 256
+        return self.keep(word, self.packed(self.auto.encode(symbols)))
+
     def word(self, word: bytes) -> tuple[bytes, bytes]:
         """Ids and decoded text of one word of ``pre_split``, which gives itself as a piece."""
-        got = self.new.get(word) or self.old.get(word)
-        if got is None:
-            symbols = list(word)
-            symbols[-1] += 256
-            got = self.keep(word, self.packed(self.auto.encode(symbols)))
-        return got
+        return self.new.get(word) or self.old.get(word) or self.run(word)
 
     def pre_split(self, text: str) -> list[bytes]:
         """Words as bytes. Beyond the Latin blocks the library's own tables of letters and cases decide."""
@@ -220,7 +235,7 @@ class WordEndBpe:
             return self.keep(piece, got)
         if piece.isalpha():  # ASCII letters only
             low = piece.lower()
-            return self.word(low) if low == piece else self.keep(piece, self.word(low))
+            return self.run(low) if low == piece else self.keep(piece, self.word(low))
         text = piece.decode("utf-8", "replace")
         found, at = [], 0
         for m in self.special_at.finditer(text):
