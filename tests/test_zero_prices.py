@@ -80,6 +80,11 @@ def test_ruin(spark, con, folder):
     np.testing.assert_allclose(got, want, rtol=1e-9)
 
 
+@pytest.mark.parametrize("name", ["f2_stopped_equity", "f17_trade_log", "b9_trade_search", "d11_trade_totals"])
+def test_stops_and_trade_log(spark, con, folder, name):
+    same(spark, con, folder, name)
+
+
 def test_ruin_before_a_purchase_at_zero_stays_ruin(spark):
     """Ruined in one holding period, a later purchase at 0 changes nothing; bought at 0 first, a later fall changes nothing."""
     n = 12
@@ -91,3 +96,30 @@ def test_ruin_before_a_purchase_at_zero_stays_ruin(spark):
         got = lg.single(d, start=1, block=block).toPandas().sort_values("i").groupby("config_id")["v"].apply(list)
         assert got["ruin first"][0] == 100_000 and got["ruin first"][1] > 0 and got["ruin first"][2:] == [0.0] * 10
         assert got["nothing first"][0] == 100_000 and np.isnan(got["nothing first"][1:]).all()
+
+
+@pytest.mark.parametrize("block", [1, 3, 16])
+def test_stop_at_a_peak_of_zero(spark, block):
+    """Stops at closes of 0 against a plain loop, over blocks."""
+    n, rng = 200, np.random.default_rng(4)
+    d = walk(n, 4, vol=0.2).assign(config_id="c", stop=0.1)
+    d["close"] = np.where(rng.random(n) < 0.3, 0.0, d["close"])
+    d["sig"] = np.repeat(rng.integers(0, 2, n // 5), 5).astype(float)
+    d["prev_sig"] = d["sig"].shift(fill_value=0.0)
+    want, peak = [], None
+    for i, p, s in zip(d["i"], d["close"], d["sig"]):
+        if not s:
+            peak = None
+            continue
+        if peak is None:
+            peak = p
+            continue
+        peak = max(peak, p)
+        if peak == 0 or (peak - p) / peak > 0.1:
+            want.append(i)
+            peak = None
+    from tidebars.operators.stops import stop_exits
+
+    got = stop_exits(spark.createDataFrame(d), ["symbol", "timeframe", "config_id"], block)
+    assert sorted(x["i"] for x in got.collect()) == want and len(want) > 20
+    assert Block(np.zeros(2), np.full(2, 0.1), np.array([True, False])).exits(float("nan")).tolist() == [1]
