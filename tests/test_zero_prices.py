@@ -85,6 +85,11 @@ def test_stops_and_trade_log(spark, con, folder, name):
     same(spark, con, folder, name)
 
 
+@pytest.mark.parametrize("name", ["d19_bootstrap_interval", "d20_empirical_p"])
+def test_bootstrap(spark, con, folder, name):
+    same(spark, con, folder, name)
+
+
 def test_ruin_before_a_purchase_at_zero_stays_ruin(spark):
     """Ruined in one holding period, a later purchase at 0 changes nothing; bought at 0 first, a later fall changes nothing."""
     n = 12
@@ -98,6 +103,20 @@ def test_ruin_before_a_purchase_at_zero_stays_ruin(spark):
         assert got["nothing first"][0] == 100_000 and np.isnan(got["nothing first"][1:]).all()
 
 
+def test_replicates_without_nan_keep_their_numbers(spark):
+    """A NaN return is in the replicates that draw it and in no other."""
+    n, reps = 60, 80
+    r = np.random.default_rng(1).normal(0, 0.01, n)
+    r[[7, 31]] = np.nan
+    d = spark.createDataFrame([("s", i + 1, n, float(x)) for i, x in enumerate(r)], "symbol string, i long, n long, r double")
+    runs = rs.draws(d.groupBy("symbol").agg(F.max("n").alias("n")), ["symbol"], reps, block=16)
+    drawn = rs.indices(runs, ["symbol"]).toPandas().groupby("rep")["idx"].apply(lambda x: r[x.to_numpy()])
+    got = rs.bootstrap_sharpe(d, ["symbol"], reps=reps, block=16).toPandas().set_index("rep")["sharpe"]
+    want = drawn.apply(lambda x: (x.mean() - (1.05 ** (1 / 252) - 1)) / x.std() * np.sqrt(252))
+    assert 0 < want.isna().sum() < reps
+    np.testing.assert_allclose(got.sort_index(), want.sort_index(), rtol=1e-9)
+
+
 @pytest.mark.parametrize("block", [1, 3, 16])
 def test_stop_at_a_peak_of_zero(spark, block):
     """Stops at closes of 0 against a plain loop, over blocks."""

@@ -81,13 +81,17 @@ def run_sums(runs: DataFrame, prefix: DataFrame, run_keys, keys, cols) -> DataFr
 
 
 def bootstrap_sharpe(series: DataFrame, keys, ret: str = "r", reps: int = 1000, block_length: float = 10.0, rf: float = 0.05, year: int = 252, seed: str = "boot", block: int | None = None) -> DataFrame:
-    """Annualised Sharpe ratio (population deviation) of every replicate: (keys, rep, sharpe); 0 without variance."""
+    """Annualised Sharpe ratio (population deviation) of every replicate: (keys, rep, sharpe); 0 without variance, NaN for one that holds a NaN.
+
+    NaN returns are counted apart, as a difference of prefix sums would hand them to every later run.
+    """
     keys = list(keys)
     lengths = series.groupBy(*keys).agg(F.max("n").alias("n"))
     runs = draws(lengths, keys, reps, block_length, seed, block)
-    x = F.col(ret)
-    sums = run_sums(runs, prefix_sums(series, keys, {"x": x, "xx": x * x}, block), keys, keys, ["x", "xx"])
-    m = F.col("sum_x") / F.col("n")
+    x = F.nanvl(F.col(ret), F.lit(0.0))
+    cols = {"x": x, "xx": x * x, "nan": F.isnan(ret).cast("double")}
+    sums = run_sums(runs, prefix_sums(series, keys, cols, block), keys, keys, cols)
+    m = F.when(F.col("sum_nan") > 0, float("nan")).otherwise(F.col("sum_x") / F.col("n"))
     sd = F.sqrt(F.greatest(F.col("sum_xx") / F.col("n") - m * m, F.lit(0.0)))
     rf_d = math.pow(1 + rf, 1 / year) - 1
     return sums.select(*keys, "rep", F.when(sd > 1e-12, (m - rf_d) / sd * math.sqrt(year)).otherwise(0.0).alias("sharpe"))
