@@ -90,6 +90,10 @@ def test_bootstrap(spark, con, folder, name):
     same(spark, con, folder, name)
 
 
+def test_seeds(spark, con, folder):
+    same(spark, con, folder, "d21_seed_spread")
+
+
 def test_ruin_before_a_purchase_at_zero_stays_ruin(spark):
     """Ruined in one holding period, a later purchase at 0 changes nothing; bought at 0 first, a later fall changes nothing."""
     n = 12
