@@ -94,6 +94,17 @@ def test_seeds(spark, con, folder):
     same(spark, con, folder, "d21_seed_spread")
 
 
+def test_lots_at_zero_are_null(spark, folder):
+    got = catalog()["f15_lot_rounding"][0](spark, folder).toPandas()
+    at = daily(spark, folder).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("d"), "close").toPandas()
+    d = got.merge(at, on=["symbol", "d"])
+    some = d["close"] > 0
+    assert len(d) == 3 * DAYS and 0 < (~some).sum()
+    assert d.loc[~some, ["units", "short_units"]].isna().all().all()
+    assert (d.loc[some, "units"] == np.trunc(100_000 / (d.loc[some, "close"] * 10)) * 10).all()
+    assert (d.loc[some, "short_units"] == np.trunc(-50_000 / (d.loc[some, "close"] * 25)) * 25).all()
+
+
 def test_ruin_before_a_purchase_at_zero_stays_ruin(spark):
     """Ruined in one holding period, a later purchase at 0 changes nothing; bought at 0 first, a later fall changes nothing."""
     n = 12
