@@ -58,6 +58,16 @@ def indices(runs: DataFrame, keys) -> DataFrame:
     return d.select(*keys, "rep", (F.col("i0") + F.col("_k")).alias("i"), F.pmod(F.col("pos") + F.col("_k"), F.col("n")).alias("idx"))
 
 
+def gathered(runs: DataFrame, series: DataFrame, keys, cols) -> DataFrame:
+    """The rows each replicate draws: (keys, rep, i, idx, cols). ``series`` has 1-based i.
+
+    Runs look small to the planner, which counts bytes before they are written out; the join is told to sort, lest it sends every drawn row to
+    every task by way of the driver.
+    """
+    rows = series.select(*keys, (F.col("i") - 1).cast("bigint").alias("idx"), *cols)
+    return indices(runs, keys).join(rows.hint("merge"), [*keys, "idx"])
+
+
 def prefix_sums(series: DataFrame, keys, cols: dict, block: int | None = None) -> DataFrame:
     """Sums of the first ``at`` values for at = 0..n-1 (exclusive) and the whole (``tot_``), per key. ``series`` has 1-based i, n."""
     keys = list(keys)

@@ -63,7 +63,7 @@ def bootstrap(spark, sf):
 def gather(spark, sf):
     ret = strategy_returns(spark, sf)
     runs = rs.draws(ret.groupBy(*CK).agg(F.max("n").alias("n")), CK, REPS)
-    d = rs.indices(runs, CK).join(ret.select(*CK, (F.col("i") - 1).alias("idx"), "r"), [*CK, "idx"])
+    d = rs.gathered(runs, ret, CK, ["r"])
     return d.groupBy("symbol", "config_id", "rep").agg(F.count("*").alias("rows"), r(F.avg("r"), 8).alias("mean"))
 
 
