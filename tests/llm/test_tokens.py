@@ -124,3 +124,41 @@ def test_other_libraries(make, tmp_path):
     got = tc.token_counts(make([(1, "Hello there, world"), (2, None)]), path, str(tmp_path / "c")).collect()
     assert {r.doc_id: r.n_tokens for r in got} == {1: len(model.encode("Hello there, world")), 2: 0}
     assert tc.token_counts(make([]), path, str(tmp_path / "d")).count() == 0
+
+
+def test_a_worker_keeps_the_values_of_one_operator_only():
+    """The automaton's tables are not held while the next operator runs in the same worker."""
+    from tidebars.llm import common
+
+    def keeps(name, value):
+        def fn(batches):
+            return common.kept_in_worker(name, lambda: value)
+
+        return fn
+
+    common.worker_of("first")
+    big = keeps("tables", [1])(None)
+    common.worker_of("first")
+    assert keeps("tables", [2])(None) is big
+    common.worker_of("second")
+    assert keeps("tables", [3])(None) == [3]
+
+
+def test_operators_name_themselves_to_their_workers(spark):
+    import pyarrow as pa
+
+    from tidebars.llm import common
+
+    def owner_of(module):
+        def fn(batches):
+            for b in batches:
+                left = sorted(vars(common._store()).get("_kept", {}))
+                common.kept_in_worker(module, dict)
+                yield pa.RecordBatch.from_arrays([pa.array([",".join(left)] * b.num_rows)], ["left"])
+
+        fn.__module__ = module
+        return common.map_arrow(spark.range(0, 8, 1, 1), fn, "left string")
+
+    for _ in range(2):
+        assert {r.left for r in owner_of("one").collect()} <= {"", "one"}
+        assert {r.left for r in owner_of("two").collect()} <= {"", "two"}

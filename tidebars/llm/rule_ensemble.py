@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tidebars.llm.common import cut, documents, filled, give_back, kept_in_worker, map_arrow, raw, slices, word_hashes
+from tidebars.llm.common import cut, documents, filled, give_back, kept_in_worker, map_arrow, raw, slices, word_hashes, worker_of
 
 #: Labelled rows that training reads at most, the first by a hash of their id. Every row is scored.
 TRAINING_ROWS = 20_000
@@ -160,6 +160,7 @@ def scored(docs: DataFrame, model: RuleEnsemble, text: str = "text", threshold:
 @F.arrow_udf(ArrayType(DoubleType()))
 def text_statistics(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """``statistics`` of a string column."""
+    worker_of(statistics.__module__)
     for column in texts:
         parts = [statistics(raw(part.column("text"))) for part in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text")]
         got = np.concatenate(parts) if parts else np.empty((0, len(STATISTICS)))
