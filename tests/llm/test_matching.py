@@ -209,3 +209,43 @@ def test_parity_bits_bound_differences(prose):
         assert bound <= real and bound % 2 == real % 2
         if len(x) < 2 * len(y) and len(y) < 2 * len(x):
             assert bound >= real / 3
+
+
+def jobs_of(spark, run):
+    """The number of jobs that ``run`` starts, and its result."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        out = run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), out
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_stars_need_no_round(spark):
+    """Edges that are stars already are not joined again: what the driver holds for a round is not spent on them."""
+    stars = spark.createDataFrame([(k % 5, 10 + k) for k in range(60)] + [(3, 3)], "a long, b long")
+    chain = spark.createDataFrame([(k, k + 1) for k in range(12)], "a long, b long")
+    few, got = jobs_of(spark, lambda: sj.components(stars).collect())
+    many, line = jobs_of(spark, lambda: sj.components(chain).collect())
+    assert sorted((r.id, r.component) for r in got) == [(10 + k, k % 5) for k in range(60)]
+    assert sorted((r.id, r.component) for r in line) == [(k, 0) for k in range(1, 13)]
+    assert few <= 8 < many
+
+
+def test_rounds_make_no_broadcast_tables(spark, monkeypatch):
+    """Joins over small edges are not turned into broadcasts, of which the driver makes and holds the tables."""
+    plans = []
+    monkeypatch.setattr(sj, "cut", lambda df: [plans.append(df), df.collect()] and spark.createDataFrame(df.collect(), df.schema))
+    sj.components(spark.createDataFrame([(k, k + 1) for k in range(12)], "a long, b long")).collect()
+    text = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert sum(t.count("SortMergeJoin") for t in text) >= 2 and not any("BroadcastHashJoin" in t for t in text)
+
+
+def test_the_sketch_is_sent_once(spark, make, prose, monkeypatch):
+    sent = []
+    make_one = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: sent.append(getattr(v, "nbytes", 0)) or make_one(self, v))
+    rows = [(n, f"{prose(30, n % 7)} {prose(3, 100 + n)}") for n in range(40)]
+    check(make, rows)
+    assert sum(n >= 4 << sj.SKETCH_BITS for n in sent) == 1

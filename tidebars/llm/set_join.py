@@ -25,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,22 +103,22 @@ def token_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
                 got = np.frombuffer(data, "<u2").astype(np.uint64)
                 total[piece] = total[piece] + got if piece in total else got
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.astype("<u8").tobytes() for x in total.values()], pa.binary())], ["piece", "counts"])
+            capped = [np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(capped, pa.binary())], ["piece", "counts"])
 
     kind = "piece int, counts binary"
-    summed = map_arrow(map_arrow(docs, run, kind).repartition(pieces, "piece"), add, kind)
-    out = np.zeros(1 << bits, np.uint64)
+    summed = map_arrow(map_arrow(docs, run, kind).repartition(pieces, "piece"), add, kind).toArrow()  # one array of fixed size in all
+    out = np.zeros(1 << bits, np.uint32)
     step = len(out) // pieces
-    for r in summed.collect():  # one array of fixed size in all
-        out[r.piece * step : (r.piece + 1) * step] = np.frombuffer(r.counts, "<u8")
-    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
+    for piece, data in zip(summed.column("piece").to_pylist(), summed.column("counts"), strict=True):
+        out[piece * step : (piece + 1) * step] = np.frombuffer(data.as_buffer(), "<u4")
+    return out
 
 
-def prefixes(docs: DataFrame, sketch: np.ndarray, hot: int = HOT) -> DataFrame:
+def prefixes(docs: DataFrame, sent: Broadcast, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty), its first tokens in the global order, how many of them (all that come before
-    the rest) are not hot, and its parity bits. docs: doc_id, text."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)
-    bits, limit = len(sketch).bit_length() - 1, float(sketch.mean()) + hot
+    the rest) are not hot, and its parity bits. docs: doc_id, text; sent: the token sketch."""
+    bits, limit = len(sent.value).bit_length() - 1, float(sent.value.mean()) + hot
 
     def run(batches):
         for part in slices(batches, "text"):
@@ -140,7 +141,7 @@ def plausible(pairs: DataFrame, rows: DataFrame, similar: tuple[int, int] = SIMI
     """The pairs (a, b) whose parity bits leave room for such a similarity. None of them is lost; what moves is about a tenth of the sets."""
     num, den = similar
     side = lambda k: rows.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    both = pairs.select("a", "b").join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
 
     def run(batches):
         for batch in batches:
@@ -234,31 +235,32 @@ def may_link(n: Column, at: Column, m: Column, by: Column) -> Column:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id and component (its smallest id) of every id in ``links`` (a, b). Alternates two steps until nothing changes: join larger neighbours to
-    a node's smallest neighbour, then smaller ones. Edges with thousands at one node are aggregated before their shuffle."""
+    """id and component (its smallest id) of every id in ``links`` (a, b). Alternates two steps until the edges are stars: join larger neighbours
+    to a node's smallest neighbour, then smaller ones. Edges with thousands at one node are aggregated before their shuffle.
+
+    The joins are sort-merge joins whatever their size: both sides are shuffled by then, and tables made for a broadcast would add up in the
+    driver over the rounds.
+    """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    before = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        # in a star the smallest node has larger neighbours only, and each of them has no other
+        if least.filter("m < a and n > 1").count() == 0:
+            break
+        large = both.join(least.select("a", F.least("m", "a").alias("m")).hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").union(least.select("a", F.col("m").alias("b"))).distinct()
+        small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").union(least.select("a", F.col("m").alias("b"))).distinct()
         edges = cut(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
 
 
-def compared(docs: DataFrame, pairs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def compared(docs: DataFrame, pairs: DataFrame, sent: Broadcast) -> DataFrame:
     """a, b, common, size_a, size_b for the pairs (a, b) of doc_ids, and the tokens that only one of them has, only_a and only_b, in the global order.
     Sets are made again from the texts of documents that occur in a pair.
 
-    A document may pass the bit array without being in a pair; it then joins nothing."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)
-    bits = len(sketch).bit_length() - 1
+    A document may pass the bit array without being in a pair; it then joins nothing. sent: the token sketch."""
+    bits = len(sent.value).bit_length() - 1
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     words = bit_filter(ids.select(F.xxhash64("id").alias("h")), "h", FILTER_BITS)
     keyed = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
@@ -354,8 +356,8 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     equal results. An empty table gives no rows.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), filled(text).alias("text"))
-    sketch = token_sketch(texts.select("text"))
-    rows = cut(prefixes(texts, sketch))
+    sent = docs.sparkSession.sparkContext.broadcast(token_sketch(texts.select("text")))
+    rows = cut(prefixes(texts, sent))
     named = rows.filter("doc_id is not null and digest is not null")
     # what is summed by a key is stored before it is joined by that key: then both sides are shuffled, and Spark may split large partitions
     classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")), "classes")
@@ -365,31 +367,30 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     above = met.filter((c("id") < c("high")) & may_link(c("n"), c("at"), c("high_n"), c("high_at"))).select(c("id").alias("a"), c("high").alias("b"))
     first = cut(plausible(below.union(above).distinct(), named, LEAD))
     texts_by_id = texts.filter("doc_id is not null")
-    known = cut(compared(texts_by_id, first, sketch))
-    links = known.filter(is_link()).select("a", "b")
-    parts = stored(components(links), "parts")
+    known = cut(compared(texts_by_id, first, sent))
+    parts = stored(components(known.filter(is_link()).select("a", "b")), "parts")
+    joined = lambda: parts.select(c("id").alias("a"), c("component").alias("b"))
     ordered = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     # sets that no leader joined meet the smallest member of each list of what sets them apart from a leader, until that joins nothing more
     group = leader_rows(known)
-    seen = known.select("a", "b")
+    seen = first
     while True:
         fresh = cut(plausible(ordered(through_leaders(group, parts, heads_only=True)).join(seen, ["a", "b"], "left_anti"), named))
         if fresh.isEmpty():
             break
-        seen = cut(seen.union(fresh))
-        met_now = cut(compared(texts_by_id, fresh, sketch).filter(is_link()).select("a", "b"))
+        seen = seen.union(fresh)
+        met_now = cut(compared(texts_by_id, fresh, sent).filter(is_link()).select("a", "b"))
         if met_now.isEmpty():
             break
-        links = cut(links.union(met_now))
-        parts = stored(components(links), "parts")
+        parts = stored(components(joined().union(met_now)), "parts")
 
     # answer skipping: across components only; pairs compared with a common leader by their deltas, others by their places in the list
     placed = met.select("token", "id", "n", "at", "low", "high").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = stored(placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token"), "mixed-lists")
     # pairs that bits ruled out have no deltas
-    with_low = known.select(c("a").alias("low"), c("b").alias("id"), F.lit(True).alias("by_low")).distinct()
-    with_high = known.select(c("a").alias("id"), c("b").alias("high"), F.lit(True).alias("by_high")).distinct()
+    with_low = first.select(c("a").alias("low"), c("b").alias("id"), F.lit(True).alias("by_low"))
+    with_high = first.select(c("a").alias("id"), c("b").alias("high"), F.lit(True).alias("by_high"))
     open_rows = placed.join(mixed, "token").join(with_low, ["low", "id"], "left").join(with_high, ["high", "id"], "left")
     by = [(F.coalesce(f"by_{k}", F.lit(False)) | (c("id") == c(k))).alias(f"by_{k}") for k in ("low", "high")]
     open_rows = cut(open_rows.select("token", "id", "n", "at", "component", *by))
@@ -404,11 +405,13 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     unseen = probe.join(index, ["token", "block"]).filter(~((c("lx") & c("ly")) | (c("hx") & c("hy"))) & (c("cx") != c("cy")) & ((c("nx") < c("ny")) | ((c("nx") == c("ny")) & (c("x") < c("y")))) & may_link(c("nx"), c("ax"), c("ny"), c("ay")))
     crossing = unseen.select("x", "y").union(through_leaders(group, parts))
     rest = cut(plausible(ordered(crossing).join(seen, ["a", "b"], "left_anti"), named))
-    more = compared(texts_by_id, rest, sketch).filter(is_link()).select("a", "b") if not rest.isEmpty() else links.limit(0)
-    links = cut(links.union(more))
+    links = joined()
+    if not rest.isEmpty():
+        links = links.union(compared(texts_by_id, rest, sent).filter(is_link()).select("a", "b"))
     # rows of one id, and members of one class, are tied without comparison
     ties = named.select("doc_id", "digest").join(classes.filter("members > 1"), "digest").filter("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     whole = components(links.union(ties))
+    sent.unpersist()
     return rows.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
