@@ -249,3 +249,13 @@ def test_the_sketch_is_sent_once(spark, make, prose, monkeypatch):
     rows = [(n, f"{prose(30, n % 7)} {prose(3, 100 + n)}") for n in range(40)]
     check(make, rows)
     assert sum(n >= 4 << sj.SKETCH_BITS for n in sent) == 1
+
+
+def test_only_leaders_of_moved_sets_meet_again(spark):
+    group = spark.createDataFrame([(low, i, f"{low}-{i}") for low, i in [(1, 2), (1, 3), (4, 5), (6, 7), (8, 9), (10, 11)]], "low long, id long, delta string")
+    parts = lambda d: spark.createDataFrame(list(d.items()), "id long, component long")
+    before = parts({2: 1, 7: 6, 9: 8})
+    after = parts({2: 1, 3: 1, 7: 6, 9: 0, 8: 0, 10: 4})  # 3 joins 1; 8 and 9 get a smaller component; 10 joins 4; 5, 6 and 7 stay
+    got = sj.regrouped(group, before, after)
+    assert got.columns == group.columns
+    assert sorted(r.delta for r in got.collect()) == ["1-2", "1-3", "10-11", "8-9"]

@@ -343,6 +343,15 @@ def through_leaders(group: DataFrame, parts: DataFrame, heads_only: bool = False
     return probe.join(index, ["low", "token"]).filter(later & (c("cx") != c("cy")) & (c("ax") + least <= c("kx")) & (c("ay") + least <= c("ky"))).select("x", "y")
 
 
+def regrouped(group: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows of leaders that are in another component than before, or have a set that is. All other leaders would give the same pairs again."""
+    was = before.select("id", F.col("component").alias("was"))
+    moved = stored(after.join(was, "id", "left").filter(F.coalesce("was", "id") != F.col("component")).select("id"), "moved")
+    of_sets = group.select("low", "id").join(moved, "id", "left_semi").select("low")
+    themselves = group.select("low").distinct().join(moved.withColumnRenamed("id", "low"), "low", "left_semi")
+    return group.join(stored(of_sets.union(themselves).distinct(), "moved-leaders"), "low", "left_semi")
+
+
 def is_link() -> Column:
     union = F.col("size_a") + F.col("size_b") - F.col("common")
     return F.col("common") * SIMILAR[1] >= union * SIMILAR[0]
@@ -374,16 +383,17 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     # sets that no leader joined meet the smallest member of each list of what sets them apart from a leader, until that joins nothing more
     group = leader_rows(known)
-    seen = first
+    seen, now = first, group
     while True:
-        fresh = cut(plausible(ordered(through_leaders(group, parts, heads_only=True)).join(seen, ["a", "b"], "left_anti"), named))
+        fresh = cut(plausible(ordered(through_leaders(now, parts, heads_only=True)).join(seen, ["a", "b"], "left_anti"), named))
         if fresh.isEmpty():
             break
         seen = seen.union(fresh)
         met_now = cut(compared(texts_by_id, fresh, sent).filter(is_link()).select("a", "b"))
         if met_now.isEmpty():
             break
-        parts = stored(components(joined().union(met_now)), "parts")
+        before, parts = parts, stored(components(joined().union(met_now)), "parts")
+        now = regrouped(group, before, parts)
 
     # answer skipping: across components only; pairs compared with a common leader by their deltas, others by their places in the list
     placed = met.select("token", "id", "n", "at", "low", "high").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
