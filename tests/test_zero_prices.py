@@ -157,3 +157,41 @@ def test_stop_at_a_peak_of_zero(spark, block):
     got = stop_exits(spark.createDataFrame(d), ["symbol", "timeframe", "config_id"], block)
     assert sorted(x["i"] for x in got.collect()) == want and len(want) > 20
     assert Block(np.zeros(2), np.full(2, 0.1), np.array([True, False])).exits(float("nan")).tolist() == [1]
+
+
+def test_shuffled_trades_bought_at_zero(spark):
+    """Bought at 0 makes a replicate NaN, a ruin before it keeps it at -1, and the rest is as it was; against the loop over the bars."""
+    n, keys = 160, ["symbol", "config_id"]
+    p = walk(n, 8, vol=0.12)["close"].to_numpy()
+    p[60:64] = p[100:103] = 0.0
+    prices = spark.createDataFrame([("s", "c", i + 1, n, float(x)) for i, x in enumerate(p)], "symbol string, config_id string, i long, n long, close double")
+    trades = spark.createDataFrame([("s", "c", 5 * k, 6 + k) for k in range(5)], "symbol string, config_id string, start long, bars long")
+    periods = rs.shuffled_trades(trades, prices.groupBy(*keys).agg(F.max("n").alias("n")), keys, 150, tail=20).cache()
+    got = rs.shuffled_returns(periods, prices, keys, 150, leverage=2.0).toPandas().set_index("rep")["ret"].sort_index()
+    want = {}
+    for rep, g in periods.toPandas().groupby("rep"):
+        sig = np.zeros(n)
+        for a, z in zip(g["a"], g["z"]):
+            sig[a:z] = 1
+        cash, shares, before, value = 1e5, 0.0, 0.0, 1e5
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for k in range(1, n):
+                value = np.float64(cash + shares * p[k])
+                if value <= 0:
+                    value = 0.0
+                    break
+                if sig[k - 1] != before:
+                    target = sig[k - 1] * value * 2 / p[k]
+                    cash -= (target - shares) * p[k] + abs(target - shares) * p[k] * (0.0005 if target > shares else 0.0015)
+                    shares, before = target, sig[k - 1]
+                value = cash + shares * p[k]
+        want[rep] = max(value, 0.0) / 1e5 - 1 if value == value else value
+    want = pd.Series(want).sort_index()
+    np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-9)
+    assert want.isna().sum() > 10 and (want == -1).sum() > 10 and (want > -1).sum() > 10
+
+
+@pytest.mark.parametrize("name", ["g2_trade_shuffle"])
+def test_shuffled_queries_at_zero(spark, folder, name):
+    d = catalog()[name][0](spark, folder).toPandas()
+    assert len(d) == 6000 and d.loc[d["symbol"] == "R", "ret"].notna().all() and d.loc[d["symbol"] == "N", "ret"].isna().any()

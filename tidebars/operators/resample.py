@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidebars.functions.hashing import below, uniform, uniform_of
 from tidebars.operators.blocks import BLOCK, block_scan
+from tidebars.operators.features import ratio
 from tidebars.operators.ledger import holding_start
 
 
@@ -228,7 +229,8 @@ def shuffled_returns(periods: DataFrame, prices: DataFrame, keys, reps: int, lev
 
     A period with signal bars ``a .. z-1`` is bought at bar ``a+1`` and sold at bar ``z+1`` (0-based), so its
     factor needs the entry, exit and lowest close: one equi-join of held bars with prices and one aggregation.
-    A period whose value before trading is not positive anywhere ruins the replicate.
+    A period whose value before trading is not positive anywhere ruins the replicate. A purchase at a price of 0 is of no number of
+    shares: the return is NaN, unless there was a ruin in an earlier period.
     """
     keys = list(keys)
     px = prices.select(*keys, (F.col("i") - 1).cast("bigint").alias("at"), "close", F.col("n").cast("bigint").alias("n"))
@@ -239,10 +241,17 @@ def shuffled_returns(periods: DataFrame, prices: DataFrame, keys, reps: int, lev
         F.min_by("close", "at").alias("p0"), F.max_by("close", "at").alias("p1"), F.min("close").alias("lo"), F.max("at").alias("last")
     )
     b, s = buy_bps / 10000, sell_bps / 10000
-    h = lambda p: 1 + leverage * (F.col(p) / F.col("p0") - 1) - leverage * b
-    fee = F.when(F.col("last") == F.col("z") + 1, leverage * s * F.col("p1") / F.col("p0")).otherwise(0.0)
-    g = g.withColumn("factor", F.when(h("lo") <= 0, 0.0).otherwise(F.greatest(h("p1") - fee, F.lit(0.0))))
-    got = g.groupBy(*keys, "rep").agg((F.product("factor") - 1).alias("ret"))
+    h = lambda p: 1 + leverage * (ratio(F.col(p), F.col("p0")) - 1) - leverage * b
+    fee = F.when(F.col("last") == F.col("z") + 1, ratio(leverage * s * F.col("p1"), F.col("p0"))).otherwise(0.0)
+    unknown = F.col("p0") == 0
+    g = g.withColumn("factor", F.when(unknown, None).when(h("lo") <= 0, 0.0).otherwise(F.greatest(h("p1") - fee, F.lit(0.0))))
+    never = F.lit(2**62)
+    got = g.groupBy(*keys, "rep").agg(
+        F.product("factor").alias("_base"),
+        F.coalesce(F.min(F.when(F.col("factor") == 0, F.col("a"))), never).alias("_dead"), F.coalesce(F.min(F.when(unknown, F.col("a"))), never).alias("_unknown"),
+    )
+    ret = F.when(F.col("_unknown") < F.col("_dead"), float("nan")).when(F.col("_dead") < never, -1.0).otherwise(F.col("_base") - 1)
+    got = got.select(*keys, "rep", ret.alias("ret"))
     # replicates in which nothing could be placed return 0
     every = prices.select(*keys).distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     return every.join(got, [*keys, "rep"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
