@@ -21,6 +21,11 @@ from tidebars.operators.features import ratio
 from tidebars.operators.ledger import holding_start
 
 
+def _tasks(df: DataFrame) -> int:
+    """A number that Spark keeps: a few small rows that grow to many in the same stage would otherwise be gathered in one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def draws(lengths: DataFrame, keys, reps: int, block_length: float = 10.0, seed: str = "boot", block: int | None = None) -> DataFrame:
     """Runs of each replicate: (keys, rep, n, i0, len, pos), positions 0-based; run lengths add up to n.
 
@@ -32,7 +37,7 @@ def draws(lengths: DataFrame, keys, reps: int, block_length: float = 10.0, seed:
     s = F.concat(F.lit(seed + "/"), F.col("rep").cast("string"))
     starts = lambda i: below(F.concat(F.lit("restart/"), s), i, 1 / block_length)
     d = lengths.select(*keys, n.cast("bigint").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).where("n > 0")
-    d = d.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {b}")))).repartition(*keys, "rep", "_blk")
+    d = d.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {b}")))).repartition(_tasks(lengths), *keys, "rep", "_blk")
     d = d.withColumn("_end", F.least(n, (F.col("_blk") + 1) * b))
 
     def found(lo: int, hi: int | None):
@@ -80,13 +85,16 @@ def prefix_sums(series: DataFrame, keys, cols: dict, block: int | None = None) -
 
 
 def run_sums(runs: DataFrame, prefix: DataFrame, run_keys, keys, cols) -> DataFrame:
-    """Sum of each column over every replicate: (keys, rep, n, sum_...). Runs wrap around at most once."""
+    """Sum of each column over every replicate: (keys, rep, n, sum_...). Runs wrap around at most once.
+
+    The joins are told to sort, as in ``gathered``: runs are many, and the planner counts the few rows they are drawn from.
+    """
     keys, cols = list(keys), list(cols)
     end = F.col("pos") + F.col("len")
     d = runs.withColumn("to", F.when(end >= F.col("n"), end - F.col("n")).otherwise(end)).withColumn("wrap", (end >= F.col("n")).cast("double"))
     a = prefix.select(*keys, F.col("at").alias("pos"), *[F.col(f"p_{c}").alias(f"a_{c}") for c in cols])
     b = prefix.select(*keys, F.col("at").alias("to"), *[F.col(f"p_{c}").alias(f"b_{c}") for c in cols], *[f"tot_{c}" for c in cols])
-    d = d.join(a, [*run_keys, "pos"]).join(b, list(dict.fromkeys([*keys, "to"])))
+    d = d.join(a.hint("merge"), [*run_keys, "pos"]).join(b.hint("merge"), list(dict.fromkeys([*keys, "to"])))
     part = {c: F.col(f"b_{c}") - F.col(f"a_{c}") + F.col("wrap") * F.col(f"tot_{c}") for c in cols}
     return d.groupBy(*keys, "rep").agg(F.max("n").alias("n"), *[F.sum(x).alias(f"sum_{c}") for c, x in part.items()])
 
@@ -203,7 +211,7 @@ def shuffled_trades(trades: DataFrame, lengths: DataFrame, keys, reps: int, head
     per_key = trades.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "bars"))).alias("t"))
     d = per_key.join(lengths, keys).select(
         *keys, F.col("n").cast("bigint").alias("n"), F.col("t.bars").alias("bars"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
-    ).repartition(*keys, "rep")
+    ).repartition(_tasks(trades), *keys, "rep")
     names = [f.name for f in d.schema if f.name in keys]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in keys)
 
@@ -234,9 +242,9 @@ def shuffled_returns(periods: DataFrame, prices: DataFrame, keys, reps: int, lev
     """
     keys = list(keys)
     px = prices.select(*keys, (F.col("i") - 1).cast("bigint").alias("at"), "close", F.col("n").cast("bigint").alias("n"))
-    # one row per held bar, from entry a+1 to exit z+1 (dropped by the join when past the end)
+    # one row per held bar, from entry a+1 to exit z+1 (dropped by the join when past the end); sorted, as in ``run_sums``
     held = periods.withColumn("at", F.explode(F.sequence(F.col("a") + 1, F.col("z") + 1)))
-    d = held.join(px, [*keys, "at"])
+    d = held.join(px.hint("merge"), [*keys, "at"])
     g = d.groupBy(*keys, "rep", "a", "z").agg(
         F.min_by("close", "at").alias("p0"), F.max_by("close", "at").alias("p1"), F.min("close").alias("lo"), F.max("at").alias("last")
     )
