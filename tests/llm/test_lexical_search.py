@@ -89,3 +89,34 @@ def test_bounds_hold_and_spare_work(table):
     search = ls.Search(q, 10)
     search.read(texts, np.arange(len(texts)))
     assert search.scored < 0.5 * np.count_nonzero(exact)
+
+
+def test_slices_without_any_term_of_an_item(spark, make, table):
+    """Documents alone in their tasks that share coordinates with items, but no term."""
+    rows, items = table
+    rows = [(n, f"zzq{n} " * (n % 7 + 1)) for n in range(40)] + rows[:30]
+    docs = make(rows).repartitionByRange(len(rows), "doc_id")
+    got = ls.ranked(docs, spark.createDataFrame(items, "item_id long, text string"), bits=2).collect()
+    assert sorted(map(tuple, got), key=repr) == expected(rows, items)
+    q = ls.Queries(["aaa bbb"]).weigh(10, 100, np.array([1, 1]), 0)
+    search = ls.Search(q, 10)
+    for k, t in enumerate([b"ccc", b"", b"aaa x", b"ccc"]):
+        search.read([t], np.array([k]))
+    assert [x.tolist() for x in search.id] == [[2]]
+
+
+def test_short_documents_in_lots(table, monkeypatch):
+    rows, items = table
+    texts = [(t or "").encode() for _, t in rows]
+    q = ls.Queries([t or "" for _, t in items])
+    q.weigh(300, 12000, np.full(len(q.terms), 20))
+    found = []
+    for cells in (ls.CELLS, 7 * len(items)):
+        monkeypatch.setattr(ls, "CELLS", cells)
+        search = ls.Search(q, 10)
+        most = []
+        monkeypatch.setattr(search, "_next", lambda bound, f=search._next, most=most: most.append(bound.size) or f(bound))
+        search.read(texts, np.arange(len(texts)))
+        assert max(most) <= cells
+        found.append([(s.tolist(), i.tolist()) for s, i in zip(search.score, search.id)])
+    assert found[0] == found[1] and any(found[0][0])

@@ -32,6 +32,8 @@ LEVEL = 4096
 BLOCK_BYTES = 1 << 17
 #: Documents scored exactly for each query before its threshold is looked at again.
 ROUND = 12
+#: Bounds (documents times items) that are held at once; short documents come in several lots.
+CELLS = 1 << 21
 #: Rows without an id stand after all others.
 LAST = (1 << 63) - 1
 _TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -108,14 +110,21 @@ class Search:
         self.scored = 0
 
     def read(self, texts: list[bytes], ids: np.ndarray) -> None:
+        lot = max(1, CELLS // max(1, len(self.q.of)))
+        for a in range(0, len(texts), lot):
+            self._read(texts[a : a + lot], ids[a : a + lot])
+
+    def _read(self, texts: list[bytes], ids: np.ndarray) -> None:
         q = self.q
         words, owner, hashed, tf = postings(texts)
+        at = np.searchsorted(q.terms, hashed)
+        met = np.flatnonzero(q.terms[np.minimum(at, len(q.terms) - 1)] == hashed)
+        if not len(met):  # coordinates may be shared and bounds above 0, but every score is 0
+            return
         got = impact(tf, length_part(words, q.n, q.total)[owner])
         table = sketches(len(texts), owner, hashed, got, q.bits)
         # in single precision; the margin is far above what rounding can take away
         bound = (table[:, q.used].astype(np.float32) @ q.matrix) * np.float32(LEVEL * (1 + 1e-4))
-        at = np.searchsorted(q.terms, hashed)
-        met = np.flatnonzero(q.terms[np.minimum(at, len(q.terms) - 1)] == hashed)
         key, value = owner[met].astype(np.int64) * len(q.terms) + at[met], got[met]
         while True:
             docs, which = self._next(bound)
