@@ -191,7 +191,11 @@ def test_shuffled_trades_bought_at_zero(spark):
     assert want.isna().sum() > 10 and (want == -1).sum() > 10 and (want > -1).sum() > 10
 
 
-@pytest.mark.parametrize("name", ["g2_trade_shuffle"])
-def test_shuffled_queries_at_zero(spark, folder, name):
-    d = catalog()[name][0](spark, folder).toPandas()
+def test_shuffled_queries_at_zero(spark, folder):
+    d = catalog()["g2_trade_shuffle"][0](spark, folder).toPandas()
     assert len(d) == 6000 and d.loc[d["symbol"] == "R", "ret"].notna().all() and d.loc[d["symbol"] == "N", "ret"].isna().any()
+    study = catalog()["g5_study"][0](spark, folder).toPandas()
+    mean = study[(study["test"] == "shuffle") & (study["statistic"] == "mean")].set_index("series")["value"]
+    assert len(mean) == 6 and set(study["test"]) == {"bootstrap", "shuffle", "spa", "paired_t"}
+    want = d.groupby(["symbol", "config_id"])["ret"].apply(lambda x: x.mean(skipna=False))
+    np.testing.assert_allclose(mean.sort_index(), want.sort_index(), atol=1e-5)
